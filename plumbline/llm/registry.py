@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, toxicity
+from . import exact_dedup, mixing, packing, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_mixing": mixing.op3_mixing,
+    "op9_packing": packing.op9_packing,
 }
 SQL: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op3_mixing": mixing.OP3_SQL,
 }
