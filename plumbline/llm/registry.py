@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, toxicity
+from . import exact_dedup, html_text, mixing, packing, secrets, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_mixing": mixing.op3_mixing,
+    "op4_secrets": secrets.op4_secrets,
+    "op5_html_text": html_text.op5_html_text,
+    "op6_warc": warc.op6_warc,
     "op9_packing": packing.op9_packing,
 }
 SQL: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op3_mixing": mixing.OP3_SQL,
+    "op6_warc": warc.OP6_SQL,
 }
