@@ -12,7 +12,7 @@ noise of the estimate.
 
 Parameters that bound the fit: ``rows_per_class`` labelled rows of each class
 (least hash of doc_id first), ``calibration_rows`` more for the threshold, and
-``max_units`` units of the model, which so fits in a broadcast of 16 bytes each.
+``max_units`` units of the model, which so fits in a broadcast of 16 bytes each; units met only once are left out.
 Scoring reads every row and whole text.
 
 Nulls and edges: a null or empty text has no evidence and a score below 0.5; a
@@ -109,7 +109,7 @@ def _log_ratios(level, discount: float) -> tuple[np.ndarray, np.ndarray, np.ndar
     return keys[order], (unit[0] - unit[1])[order], parents, weight[0] - weight[1]
 
 
-def fit(documents: DataFrame, labels: DataFrame, rows_per_class: int = 2500, calibration_rows: int = 4000, max_units: int = 1_000_000, discounts=(5.0, 2.0, 1.0), evidences=(3.0, 2.0, 1.0)) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, rows_per_class: int = 2500, calibration_rows: int = 4000, max_units: int = 500_000, discounts=(5.0, 2.0, 1.0), evidences=(3.0, 2.0, 1.0)) -> Model:
     """Learn from labels that are not held out; a fifth of all labels sets the threshold and picks discount and evidence."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic")).where(~is_held_out())
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
@@ -121,6 +121,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows_per_class: int = 2500, cal
     counted = (
         sample.where("fits").select("toxic", "text").mapInArrow(_units, UNIT_SCHEMA).distinct()
         .groupBy("level", "unit", "parent").agg(F.count_if("toxic").alias("n_toxic"), F.count_if(~F.col("toxic")).alias("n_ordinary"))
+        .where("n_toxic + n_ordinary > 1")  # a unit met once never passes a discount
         .orderBy(F.desc(F.col("n_toxic") + F.col("n_ordinary")), "level", "unit").limit(max_units)
     )
     units = counted.toPandas()
