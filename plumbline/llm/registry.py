@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, mixing, packing, secrets, toxicity, warc
+from . import exact_dedup, html_text, mixing, packing, quality, secrets, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_secrets": secrets.op4_secrets,
     "op5_html_text": html_text.op5_html_text,
     "op6_warc": warc.op6_warc,
+    "op7_quality": quality.op7_quality,
     "op9_packing": packing.op9_packing,
 }
 SQL: dict[str, str] = {

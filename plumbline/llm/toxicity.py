@@ -35,6 +35,7 @@ from .shared import is_held_out, materialise, table
 from .wordhash import BLANKS, PUNCTUATION, hash_prefixes, pair_key, text_chunks
 
 LENGTHS = (4, 6, None)
+UNIT = 1 << 20  # log ratios are summed in whole multiples of 1 / UNIT: sums are exact in any order
 SEPARATORS = BLANKS + PUNCTUATION
 UNIT_SCHEMA = "toxic boolean, level int, unit long, parent long, before long"
 
@@ -53,15 +54,15 @@ class Model:
         for level, (keys, ratio, parents, backoff) in enumerate(self.levels):
             rest = _lookup(parents, backoff, units[level - 1] if level else np.zeros(len(total), np.uint64), 0.0)
             total += _lookup(keys, ratio, units[level], rest)
-        return np.where(np.abs(total) >= self.min_evidence, total, 0.0)
+        return np.where(np.abs(total) >= self.min_evidence, np.round(total * UNIT), 0.0).astype(np.int64)
 
     def evidence(self, texts: pa.Array) -> np.ndarray:
         """The length-normalised difference of the two log-likelihoods of each text."""
         out = np.zeros(len(texts))
         for row, raw, bounds in text_chunks(texts):
             units, rows = hash_prefixes(raw, bounds, LENGTHS, SEPARATORS)
-            run = np.concatenate([[0.0], np.cumsum(self.word_ratios(units))])
-            out[row : row + len(rows) - 1] = (run[rows[1:]] - run[rows[:-1]]) / np.maximum(1, np.diff(rows))
+            run = np.concatenate([[0], np.cumsum(self.word_ratios(units))])
+            out[row : row + len(rows) - 1] = (run[rows[1:]] - run[rows[:-1]]) / UNIT / np.maximum(1, np.diff(rows))
         return out
 
     def score(self, evidence: np.ndarray) -> np.ndarray:

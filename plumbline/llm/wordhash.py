@@ -69,8 +69,11 @@ def hash_words(raw: np.ndarray, bounds: np.ndarray, separators: bytes = BLANKS)
     return words, rows
 
 
-def hash_prefixes(raw: np.ndarray, bounds: np.ndarray, lengths: tuple[int | None, ...], separators: bytes = BLANKS) -> tuple[list[np.ndarray], np.ndarray]:
-    """As hash_words, for each of ``lengths`` the hashes of the words' first bytes (None: whole words)."""
+def hash_prefixes(raw: np.ndarray, bounds: np.ndarray, lengths: tuple[int | None, ...], separators: bytes = BLANKS, apart: bytes = b"") -> tuple[list[np.ndarray], np.ndarray]:
+    """As hash_words, for each of ``lengths`` the hashes of the words' first bytes (None: whole words).
+
+    Runs of the bytes ``apart`` are words of their own.
+    """
     n = len(raw)
     if not n:
         return [np.zeros(0, np.uint64) for _ in lengths], np.zeros(len(bounds), np.int64)
@@ -79,6 +82,11 @@ def hash_prefixes(raw: np.ndarray, bounds: np.ndarray, lengths: tuple[int | None
     inside = ~is_sep[raw]
     breaks = np.zeros(n + 1, dtype=bool)
     breaks[bounds] = True
+    if apart:
+        is_apart = np.zeros(256, dtype=bool)
+        is_apart[list(apart)] = True
+        kind = is_apart[raw]
+        breaks[1:n] |= kind[1:] != kind[:-1]
     first = inside.copy()
     first[1:] &= ~inside[:-1] | breaks[1:n]
     last = inside.copy()
