@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, mixing, packing, quality, secrets, toxicity, warc
+from . import exact_dedup, html_text, mixing, ngram_join, packing, quality, secrets, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_warc": warc.op6_warc,
     "op7_quality": quality.op7_quality,
     "op9_packing": packing.op9_packing,
+    "op10_ngram_join": ngram_join.op10_ngram_join,
 }
 SQL: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
