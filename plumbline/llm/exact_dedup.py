@@ -90,6 +90,23 @@ def exact_dedup(documents: DataFrame, capacity: int = 1 << 15, max_depth: int =
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"), "bucket", "chain")
 
 
+def keep_one(documents: DataFrame, **options) -> DataFrame:
+    """The rows of documents that stay; of rows that repeat both doc_id and text one stays.
+
+    Of each row that stays the text is joined by doc_id and digest; nothing but
+    the index is read a second time.
+    """
+    index = build_index(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), **({"capacity": 1 << 15, "max_depth": 16} | options))
+    stays = index.select(F.col("keep_id").alias("_keep_id"), F.col("digest").alias("_digest"), "group_size")
+    marked = documents.withColumn("_normal_digest", F.sha2(normalised(F.col("text").cast("string")), 256)).withColumn("_points", F.length(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    kept = marked.join(stays, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep_id")) & (F.col("_normal_digest") == F.col("_digest")))
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    once = kept.where("group_size = 1").select(*columns)
+    # a kept row may be repeated, or share its doc_id with another text of the group
+    first = Window.partitionBy("_keep_id", "_digest").orderBy(F.desc("_points"), *[F.col(f"`{c}`") for c in documents.columns if dict(documents.dtypes)[c] in ("bigint", "int", "string", "double")])
+    return once.unionByName(kept.where("group_size > 1").withColumn("_rank", F.row_number().over(first)).where("_rank = 1").select(*columns))
+
+
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 

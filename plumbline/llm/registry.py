@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, mixing, ngram_join, packing, quality, secrets, toxicity, warc
+from . import embedding_dedup, exact_dedup, html_text, mixing, ngram_join, packing, quality, secrets, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_html_text": html_text.op5_html_text,
     "op6_warc": warc.op6_warc,
     "op7_quality": quality.op7_quality,
+    "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op9_packing": packing.op9_packing,
     "op10_ngram_join": ngram_join.op10_ngram_join,
 }
