@@ -69,12 +69,12 @@ def build_index(documents: DataFrame, capacity: int, max_depth: int) -> DataFram
     entries = (
         texts.select("*", F.xxhash64("normal").alias("pseudo_key"))
         .groupBy("pseudo_key", "normal").agg(best.alias("best"), F.count("*").alias("group_size"))
-        .select("pseudo_key", F.sha2("normal", 256).alias("digest"), F.col("best.doc_id").alias("keep_id"), "group_size")
+        .select("pseudo_key", F.sha2("normal", 256).alias("digest"), F.col("best.doc_id").alias("keep_id"), F.col("best.n_points").alias("keep_points"), "group_size")
     )
     entries = materialise(entries, "dedup-entries")
     chain = F.row_number().over(Window.partitionBy("bucket", "pseudo_key").orderBy("digest"))
     owned = entries.withColumn("slot", _slot("pseudo_key", max_depth)).join(directory(entries, capacity, max_depth), "slot")
-    index = owned.repartitionByRange("bucket", "pseudo_key").select("bucket", "local_depth", "pseudo_key", "digest", "keep_id", "group_size").withColumn("chain", chain)
+    index = owned.repartitionByRange("bucket", "pseudo_key").select("bucket", "local_depth", "pseudo_key", "digest", "keep_id", "keep_points", "group_size").withColumn("chain", chain)
     path = fresh_path(spark, "dedup-index")
     index.write.parquet(path)
     return spark.read.schema(index.schema).parquet(path)
@@ -90,21 +90,14 @@ def exact_dedup(documents: DataFrame, capacity: int = 1 << 15, max_depth: int =
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"), "bucket", "chain")
 
 
-def keep_one(documents: DataFrame, **options) -> DataFrame:
-    """The rows of documents that stay; of rows that repeat both doc_id and text one stays.
-
-    Of each row that stays the text is joined by doc_id and digest; nothing but
-    the index is read a second time.
-    """
-    index = build_index(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), **({"capacity": 1 << 15, "max_depth": 16} | options))
-    stays = index.select(F.col("keep_id").alias("_keep_id"), F.col("digest").alias("_digest"), "group_size")
-    marked = documents.withColumn("_normal_digest", F.sha2(normalised(F.col("text").cast("string")), 256)).withColumn("_points", F.length(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    kept = marked.join(stays, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep_id")) & (F.col("_normal_digest") == F.col("_digest")))
-    columns = [F.col(f"`{c}`") for c in documents.columns]
-    once = kept.where("group_size = 1").select(*columns)
-    # a kept row may be repeated, or share its doc_id with another text of the group
-    first = Window.partitionBy("_keep_id", "_digest").orderBy(F.desc("_points"), *[F.col(f"`{c}`") for c in documents.columns if dict(documents.dtypes)[c] in ("bigint", "int", "string", "double")])
-    return once.unionByName(kept.where("group_size > 1").withColumn("_rank", F.row_number().over(first)).where("_rank = 1").select(*columns))
+def keep_one(documents: DataFrame, capacity: int = 1 << 15, max_depth: int = 16) -> DataFrame:
+    """The rows of documents that stay; of rows that repeat doc_id, normalised text and length one stays."""
+    index = build_index(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), capacity, max_depth)
+    text, none = F.col("text").cast("string"), F.lit(-(1 << 63))
+    keys = {"_id": F.coalesce(F.col("doc_id").cast("long"), none), "_digest": F.sha2(normalised(text), 256), "_points": F.length(F.coalesce(text, F.lit("")))}
+    stays = index.select(F.coalesce("keep_id", none).alias("_id"), F.col("digest").alias("_digest"), F.col("keep_points").alias("_points"))
+    # the join deals by the three keys, so that dropping repeated rows needs no further exchange
+    return documents.withColumns(keys).join(stays, list(keys)).dropDuplicates(list(keys)).select(*[F.col(f"`{c}`") for c in documents.columns])
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:
