@@ -13,7 +13,7 @@ from plumbline.plans import catalogue
 from plumbline.rules import manifests, text
 from plumbline.sinks import reports
 from plumbline.sources import files, tables
-from plumbline.sources.tables import ACCEPTED, BASE, CURRENT, DECLARATIONS_SQL, HISTORY_SQL, MUTANTS_SQL, RANGES_SQL, findings_sql
+from plumbline.sources.tables import ACCEPTED, BASE, CONFIGS_SQL, CURRENT, DECLARATIONS_SQL, HISTORY_SQL, MUTANTS_SQL, RANGES_SQL, findings_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,7 +36,6 @@ def current(spark, sf):
 CUR, OLD, ACC = findings_sql(CURRENT), findings_sql(BASE), findings_sql(ACCEPTED)
 UNITS = "(SELECT 'tests/' || coalesce(lang, 'none') || '/' || coalesce(source, 'none') || '/doc' || doc_id || '.md' AS file, coalesce(text, '') AS source FROM documents)"
 PAGES = "(SELECT 'pages/p' || page_id || '.xml' AS file, coalesce(html, '') AS source FROM pages)"
-TURNS = "(SELECT 'docs/c' || conv_id || '-' || turn || '.md' AS file, coalesce(text, '') AS source FROM conversations)"
 
 
 def lines_sql(units: str) -> str:
@@ -132,28 +131,25 @@ PII_WHERE = (
     "AND NOT (detector = 'address' AND regexp_matches(text, '(?i)\\b(?:anytown|demo|fake|sample|test)\\b'))"
 )
 _detector("detect_personal_data", text.personal_data, {"email": text.EMAIL, "phone": text.PHONE, "address": text.ADDRESS}, tables.units, UNITS, "redacted", PII_WHERE, 0, "sensitive-data.pii-test-fixture")
-_detector("detect_aws_keys", text.aws_keys, {"aws-access-key": text.AWS_KEY}, tables.units, UNITS, "short", NOT_DUMMY, 0, "sensitive-data.aws-access-key")
+_detector("detect_aws_keys", text.aws_keys, {"aws-access-key": text.AWS_KEY}, tables.config_units, CONFIGS_SQL, "short", NOT_DUMMY, 0, "sensitive-data.aws-access-key")
 HEALTH_WHERE = f"regexp_matches(text, '{text.HEALTH_WORD}')"
-_detector("detect_health_ids", text.health_ids, text.HEALTH, tables.conversation_units, TURNS, "redacted", HEALTH_WHERE, 0, "sensitive-data.phi-pattern")
-_detector("detect_jwt", text.jwt_tokens, {"jwt": text.JWT}, tables.units, UNITS, "short", NOT_DUMMY, 0, "sensitive-data.jwt-token")
+_detector("detect_health_ids", text.health_ids, text.HEALTH, tables.config_units, CONFIGS_SQL, "redacted", HEALTH_WHERE, 0, "sensitive-data.phi-pattern")
+_detector("detect_jwt", text.jwt_tokens, {"jwt": text.JWT}, tables.config_units, CONFIGS_SQL, "short", NOT_DUMMY, 0, "sensitive-data.jwt-token")
 
 
-@query(f"SELECT file, line, 'sensitive-data.api-key-pattern' AS rule_id, detector, substr(value, 1, 4) || {REDACTED} AS preview FROM {matches_sql(PAGES, text.API_KEYS)} m WHERE {NOT_DUMMY}")
+@query(f"SELECT file, line, 'sensitive-data.api-key-pattern' AS rule_id, detector, substr(value, 1, 4) || {REDACTED} AS preview FROM {matches_sql(CONFIGS_SQL, text.API_KEYS)} m WHERE {NOT_DUMMY}")
 def detect_api_keys(spark, sf):
-    return text.api_keys(tables.page_units(spark, sf))
+    return text.api_keys(tables.config_units(spark, sf))
 
 
-@query(f"SELECT file, line, 'sensitive-data.private-key' AS rule_id, detector, value AS preview FROM {matches_sql(UNITS, {'private-key': text.PRIVATE_KEY})} m")
+@query(f"SELECT file, line, 'sensitive-data.private-key' AS rule_id, detector, value AS preview FROM {matches_sql(CONFIGS_SQL, {'private-key': text.PRIVATE_KEY})} m")
 def detect_private_keys(spark, sf):
-    return text.private_keys(tables.units(spark, sf))
+    return text.private_keys(tables.config_units(spark, sf))
 
 
-@query(f"SELECT file, line, CASE detector WHEN 'url' THEN 'sensitive-data.url-credentials' ELSE 'sensitive-data.database-url-password' END AS rule_id, detector, {REDACTED} AS preview FROM {matches_sql(PAGES, {'database-url': text.DATABASE_URL, 'url': text.WEB_URL}, 1)} m WHERE {NOT_DUMMY}")
+@query(f"SELECT file, line, CASE detector WHEN 'url' THEN 'sensitive-data.url-credentials' ELSE 'sensitive-data.database-url-password' END AS rule_id, detector, {REDACTED} AS preview FROM {matches_sql(CONFIGS_SQL, {'database-url': text.DATABASE_URL, 'url': text.WEB_URL}, 1)} m WHERE {NOT_DUMMY}")
 def detect_url_credentials(spark, sf):
-    return text.url_credentials(tables.page_units(spark, sf))
-
-
-ENTROPY_SQL = "(SELECT round(coalesce(-sum(n / t * log2(n / t)), 0), 6) FROM (SELECT count(*)::DOUBLE AS n, (sum(count(*)) OVER ())::DOUBLE AS t FROM (SELECT unnest(string_split(literal, '')) AS c) GROUP BY c))"
+    return text.url_credentials(tables.config_units(spark, sf))
 
 
 @query(f"WITH m AS {matches_sql(UNITS, {'literal': text.LITERAL}, 1)}, e AS (SELECT value, round(-sum(n / t * log2(n / t)), 6) AS entropy FROM (SELECT value, n::DOUBLE AS n, sum(n) OVER (PARTITION BY value)::DOUBLE AS t FROM (SELECT value, c, count(*) AS n FROM (SELECT value, unnest(string_split(value, '')) AS c FROM (SELECT DISTINCT value FROM m)) GROUP BY ALL)) GROUP BY value) SELECT file, line, value AS literal, entropy FROM m JOIN e USING (value)")
@@ -294,9 +290,6 @@ def preview_allowlist(spark, sf):
 # ---------------------------------------------------------------- dedupe, baseline, review
 
 
-REPEATED = f"(SELECT *, ord // 3 AS third FROM {CUR} c)"
-
-
 @query(f"SELECT min(ord) AS ord FROM (SELECT * REPLACE (0 AS m_lines, 0 AS m_complexity) FROM {CUR} c) GROUP BY rule_id, file, line, end_line, symbol, message")
 def exact_dedupe(spark, sf):
     return reconcile.exact_dedupe(current(spark, sf).withColumn("m_lines", F.lit(0)).withColumn("m_complexity", F.lit(0))).select("ord")

@@ -36,7 +36,11 @@ def ignore_decision(path: Column, patterns: list[str] = (), include_ignored: boo
 
 
 def discover(spark: SparkSession, root: str, patterns: list[str] = (), include_ignored: bool = False) -> DataFrame:
-    """Units below a folder of any Hadoop file system: file (relative), type, source."""
+    """Units below a folder of any Hadoop file system: file (relative), type, source.
+
+    Spark's listing leaves out names that begin with a dot or an underscore; name
+    such files in ``root`` itself to read them.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = "file:" + root if root.startswith("/") else root.replace("file://", "file:")
     relative = F.regexp_replace(F.substring(F.col("path"), len(base.rstrip("/")) + 1, 1 << 20), "^/+", "")
@@ -69,7 +73,12 @@ def read_mutants(spark: SparkSession, path: str) -> DataFrame:
     """file, line, mutator, status of a mutation report."""
     mutant = "array<struct<mutator:struct<mutatorName:string,originalFilePath:string,originalStartLine:int>>>"
     raw = spark.read.schema(", ".join(f"{s} {mutant}" for s in SECTIONS)).json(path, multiLine=True, mode="FAILFAST")
-    each = F.flatten(F.array(*[F.transform(F.coalesce(section, F.array().cast(mutant)), lambda m, s=status: F.struct(m["mutator"]["originalFilePath"].alias("file"), m["mutator"]["originalStartLine"].alias("line"), m["mutator"]["mutatorName"].alias("mutator"), F.lit(s).alias("status"))) for section, status in SECTIONS.items()]))
+
+    def rows(section: str, status: str) -> Column:
+        place = lambda m: F.struct(m["mutator"]["originalFilePath"].alias("file"), m["mutator"]["originalStartLine"].alias("line"), m["mutator"]["mutatorName"].alias("mutator"), F.lit(status).alias("status"))
+        return F.transform(F.coalesce(section, F.array().cast(mutant)), place)
+
+    each = F.flatten(F.array(*[rows(section, status) for section, status in SECTIONS.items()]))
     return raw.select(F.inline(each))
 
 

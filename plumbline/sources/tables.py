@@ -119,3 +119,25 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 HISTORY_SQL = "(SELECT epoch(date_trunc('day', ts))::BIGINT AS ord, CASE WHEN event_type <> 'error' THEN event_type END AS scope, round((sum(event_id % 1000) % 10000)::DOUBLE / 100, 2) AS score, count(*) AS findings FROM events GROUP BY ts::DATE, date_trunc('day', ts), event_type)"
+
+
+def config_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One settings file per customer, with keys and addresses made from digests."""
+    c = table(spark, sf_dir, "customer")
+    d = F.md5(F.col("c_custkey").cast("string").cast("binary"))
+    part = lambda a, n: F.substring(d, a, n)
+    rows = F.array_compact(F.array(
+        F.concat(F.lit("aws AKIA"), F.upper(part(1, 16))),
+        F.concat(F.lit("stripe sk_live_"), part(1, 24), F.lit(" npm npm_"), part(3, 22)),
+        F.concat(F.lit("jwt eyJ"), part(1, 12), F.lit(".eyJ"), part(5, 12), F.lit("."), part(9, 12)),
+        F.when(F.col("c_custkey") % 3 == 0, F.lit("-----BEGIN RSA PRIVATE KEY-----")),
+        F.concat(F.lit("db postgres://u:"), part(1, 9), F.lit("@db/x web https://u:"), part(11, 7), F.lit("@host/y")),
+        F.concat(F.lit("patient ssn 123-45-"), F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0")),
+    ))
+    return c.select(F.concat(F.lit("conf/c"), F.col("c_custkey").cast("string"), F.lit(".ini")).alias("file"), F.lit("text").alias("type"), F.array_join(rows, "\n").alias("source"))
+
+
+CONFIGS_SQL = """(SELECT 'conf/c' || c_custkey || '.ini' AS file, 'aws AKIA' || upper(substr(d, 1, 16)) || chr(10) || 'stripe sk_live_' || substr(d, 1, 24) || ' npm npm_' || substr(d, 3, 22) || chr(10)
+  || 'jwt eyJ' || substr(d, 1, 12) || '.eyJ' || substr(d, 5, 12) || '.' || substr(d, 9, 12) || chr(10) || CASE WHEN c_custkey % 3 = 0 THEN '-----BEGIN RSA PRIVATE KEY-----' || chr(10) ELSE '' END
+  || 'db postgres://u:' || substr(d, 1, 9) || '@db/x web https://u:' || substr(d, 11, 7) || '@host/y' || chr(10) || 'patient ssn 123-45-' || lpad((c_custkey % 10000)::VARCHAR, 4, '0') AS source
+  FROM (SELECT c_custkey, md5(c_custkey::VARCHAR) AS d FROM customer))"""
