@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.text import entropy, fingerprint, identifier_tokens, matches_path, path_regex, stable_identity
 from plumbline.operators import measures, reconcile, regions, scoring
 from plumbline.plans import catalogue
-from plumbline.rules import manifests, text
+from plumbline.rules import code, manifests, text
 from plumbline.sinks import reports
 from plumbline.sources import files, tables
 from plumbline.sources.tables import ACCEPTED, BASE, CONFIGS_SQL, CURRENT, DECLARATIONS_SQL, HISTORY_SQL, MUTANTS_SQL, RANGES_SQL, findings_sql
@@ -452,6 +452,19 @@ def trend_trim(spark, sf):
     return measures.trimmed(tables.history(spark, sf), 5)
 
 
+# ---------------------------------------------------------------- code
+
+
+@query(tables.CODE_FINDINGS_SQL)
+def code_findings(spark, sf):
+    return code.code_findings(tables.code_units(spark, sf))
+
+
+@query(tables.CODE_SCOPES_SQL)
+def code_scopes(spark, sf):
+    return code.declarations(code.code_lines(tables.code_units(spark, sf))).select("file", "kind", "name", "start", "end", "visibility")
+
+
 # ---------------------------------------------------------------- manifests and sinks
 
 

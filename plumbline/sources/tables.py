@@ -141,3 +141,47 @@ CONFIGS_SQL = """(SELECT 'conf/c' || c_custkey || '.ini' AS file, 'aws AKIA' ||
   || 'jwt eyJ' || substr(d, 1, 12) || '.eyJ' || substr(d, 5, 12) || '.' || substr(d, 9, 12) || chr(10) || CASE WHEN c_custkey % 3 = 0 THEN '-----BEGIN RSA PRIVATE KEY-----' || chr(10) ELSE '' END
   || 'db postgres://u:' || substr(d, 1, 9) || '@db/x web https://u:' || substr(d, 11, 7) || '@host/y' || chr(10) || 'patient ssn 123-45-' || lpad((c_custkey % 10000)::VARCHAR, 4, '0') AS source
   FROM (SELECT c_custkey, md5(c_custkey::VARCHAR) AS d FROM customer))"""
+
+
+def code_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One small class file per part."""
+    k = F.col("p_partkey")
+    text = k.cast("string")
+    lines = F.array(
+        F.lit("<?php"),
+        F.concat(F.lit("use A\\B"), text, F.lit(";")),
+        F.when(k % 3 == 0, "").otherwise("/** Doc. */"),
+        F.concat(F.lit("class "), F.when(k % 5 == 0, "D").otherwise("C"), text),
+        F.when(k % 2 == 0, F.concat(F.lit("{ // B"), text)).otherwise("{"),
+        F.lit("    private const X = 1;"),
+        F.lit("    /** p { */"),
+        F.lit("    public $p = '}';"),
+        F.lit("    /** d */"),
+        F.concat(F.lit("    public function run($a1) { return "), F.when(k % 4 == 0, "self::X").otherwise("$a1"), F.lit("; }")),
+        F.lit("    private function f($v) { return md5($v); }"),
+        F.lit("}"),
+    )
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("src/C"), text, F.lit(".php")).alias("file"), F.lit("php").alias("type"), F.array_join(lines, "\n").alias("source"))
+
+
+def _expected(rule: str, line: int, symbol: str = "NULL", where: str = "true") -> str:
+    return f"SELECT 'src/C' || p_partkey || '.php' AS file, {line}::INT AS line, '{rule}' AS rule_id, {symbol} AS symbol, NULL::BIGINT AS value FROM part WHERE {where}"
+
+
+NAME = "CASE WHEN p_partkey % 5 = 0 THEN 'D' ELSE 'C' END || p_partkey"
+CODE_FINDINGS_SQL = " UNION ALL ".join([
+    _expected("waste.unused-import", 2, "'B' || p_partkey", "p_partkey % 2 = 1"),
+    _expected("docs.missing-class-phpdoc", 4, NAME, "p_partkey % 3 = 0"),
+    _expected("naming.class-file-mismatch", 4, NAME, "p_partkey % 5 = 0"),
+    _expected("docs.missing-constant-phpdoc", 6, "'X'"),
+    _expected("dead-code.unused-private-constant", 6, "'X'", "p_partkey % 4 <> 0"),
+    _expected("modernisation.public-property", 8, "'p'"),
+    _expected("naming.short-variable", 8, "'p'"),
+    _expected("naming.generic-method", 10, "'run'"),
+    _expected("docs.missing-public-phpdoc", 11, "'f'"),
+    _expected("dead-code.unused-private-method", 11, "'f'"),
+    _expected("naming.short-variable", 11, "'v'"),
+    _expected("security.weak-crypto", 11),
+])
+CODE_SCOPES_SQL = f"""SELECT 'src/C' || p_partkey || '.php' AS file, kind, CASE WHEN kind = 'class' THEN {NAME} ELSE name END AS name, s AS start, e AS "end", visibility
+  FROM part, (VALUES ('class', 'c', 4, 12, 'public'), ('method', 'run', 10, 10, 'public'), ('method', 'f', 11, 11, 'private')) v(kind, name, s, e, visibility)"""
