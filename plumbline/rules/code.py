@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.sources.staging import staged
+
 COMMENT = r"/\*[\s\S]*?\*/|//[^\n]*+|#(?!\[)[^\n]*+"
 STRING = r"'[^'\\]*+(?:\\[\s\S][^'\\]*+)*+'|\"[^\"\\]*+(?:\\[\s\S][^\"\\]*+)*+\""
 PIECE = rf"(?:{COMMENT})|(?:{STRING})|[^/#'\"]++|[\s\S]"
@@ -55,7 +57,7 @@ def masked(units: DataFrame) -> DataFrame:
 
 
 def code_lines(units: DataFrame) -> DataFrame:
-    """file, line, raw, code, depth before and after, and running counts of solid lines, branches and assertions."""
+    """file, line, raw, code, depth before, after and at its peak, and running counts of solid lines, branches and assertions."""
     both = F.arrays_zip(F.split("source", "\n").alias("raw"), F.split("code", "\n").alias("code"))
     rows = masked(units).select("file", F.posexplode(both).alias("at", "x")).select("file", (F.col("at") + 1).alias("line"), F.col("x.raw").alias("raw"), F.col("x.code").alias("code"))
     w = Window.partitionBy("file").orderBy("line")
@@ -63,6 +65,7 @@ def code_lines(units: DataFrame) -> DataFrame:
     doc = F.when((F.trim("raw") != "") & ~F.col("raw").rlike(r"^\s*#\["), F.col("raw"))
     rows = rows.withColumn("opens", n(r"\{")).withColumn("closes", n(r"\}")).withColumn("depth", F.sum(F.col("opens") - F.col("closes")).over(w))
     rows = rows.withColumn("before", F.col("depth") - F.col("opens") + F.col("closes"))
+    rows = rows.withColumn("peak", F.col("before") + F.length(F.regexp_replace(F.regexp_extract("code", r"^[^}]*", 0), r"[^{]", "")))
     rows = rows.withColumn("solid", F.sum((F.trim("code") != "").cast("int")).over(w)).withColumn("branches", F.sum(n(BRANCH)).over(w)).withColumn("assertions", F.sum(n(ASSERTION)).over(w))
     return rows.withColumn("above", F.last(doc, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
 
@@ -106,83 +109,92 @@ def members(decls: DataFrame) -> DataFrame:
     return decls.where("kind = 'method'").join(c, inside).drop("_file", "_end", "_depth")
 
 
-def _rule(rows: DataFrame, rule: str, line: str = "start", symbol: str | None = "name", value: Column | None = None) -> DataFrame:
-    return rows.select("file", F.col(line).cast("int").alias("line"), F.lit(rule).alias("rule_id"), (F.col(symbol) if symbol else F.lit(None).cast("string")).alias("symbol"), (F.lit(None) if value is None else value).cast("long").alias("value"))
+def _report(rows: DataFrame, rules: dict[str, tuple[Column, Column | None]], line: str = "start", symbol: str | None = "name") -> DataFrame:
+    """One pass over rows for several rules: file, line, rule_id, symbol, value for each condition that holds."""
+    none = F.lit(None).cast("long")
+    hits = F.array_compact(F.array(*[F.when(test, F.struct(F.lit(rule).alias("rule_id"), (none if value is None else value.cast("long")).alias("value"))) for rule, (test, value) in rules.items()]))
+    each = rows.select("file", F.col(line).cast("int").alias("line"), (F.col(symbol) if symbol else F.lit(None).cast("string")).alias("symbol"), F.inline(hits))
+    return each.select("file", "line", "rule_id", "symbol", "value")
+
+
+def _over(rule: str, value: Column, where: Column | None = None) -> dict[str, tuple[Column, Column]]:
+    return {rule: ((value > LIMITS[rule]) if where is None else where & (value > LIMITS[rule]), value)}
 
 
 def code_findings(units: DataFrame) -> DataFrame:
-    """file, line, rule_id, symbol, value of all lexical rules on code units."""
-    lines = code_lines(units)
-    decls = measured(lines, declarations(lines))
+    """file, line, rule_id, symbol, value of all lexical rules on code units.
+
+    Lines and measured declarations are staged once; each of the passes below
+    evaluates all rules that need the same rows.
+    """
+    code, text = F.col("code"), units.select("file", "source")
+    lines = staged(code_lines(text), "code-lines")
+    decls = staged(measured(lines, declarations(lines)), "code-declarations")
     methods = members(decls)
-    callables = decls.where("kind in ('method', 'function')")
-    classes = decls.where("kind in ('class', 'interface', 'trait', 'enum')")
-    out = [_rule(lines.where(F.col("code").rlike(p)), rule, "line", None) for rule, p in CALLS.items()]
-    # sizes and complexity
-    over = lambda rows, rule, value: _rule(rows.where(value > LIMITS[rule]), rule, value=value)
+    is_class, is_callable, name = F.col("kind").isin("class", "interface", "trait", "enum"), F.col("kind").isin("method", "function"), F.col("name")
+    empty = (F.col("end") == F.col("start")) & F.col("header").rlike(r"\{\s*\}")
     parameters = F.size(F.filter(F.split(F.regexp_replace(F.regexp_extract("header", r"\bfunction\s+&?\s*\w+\s*\(((?:[^()]++|\([^()]*+\))*+)", 1), r"\([^()]*\)", ""), ","), lambda x: F.trim(x) != ""))
-    out += [
-        over(classes.where("kind <> 'interface'"), "size.class-length", F.col("m_solid")),
-        over(callables, "size.method-length", F.col("m_solid")),
-        over(callables, "size.parameter-count", parameters),
-        over(callables.where("not bodyless"), "complexity.cyclomatic", F.col("m_branches") + 1),
-    ]
-    per_class = methods.groupBy("file", F.col("class_name").alias("name"), F.col("class_start").alias("start"), "class_kind").agg(F.count_if(F.col("visibility") == "public").alias("n_public"), F.sum("m_solid").alias("total"), F.count("*").alias("n"))
-    out += [over(per_class.where("class_kind in ('class', 'enum')"), "size.public-method-count", F.col("n_public")), over(per_class.where("class_kind <> 'interface'"), "size.average-method-length", F.floor(F.col("total") / F.col("n")))]
-    deepest = lines.select(F.col("file").alias("_file"), F.col("line").alias("_line"), F.greatest("depth", "before").alias("_depth"))
-    nested = callables.join(deepest, (F.col("file") == F.col("_file")) & (F.col("_line") >= F.col("start")) & (F.col("_line") <= F.col("end"))).groupBy("file", "name", "start", "depth").agg((F.max("_depth") - F.first("depth") - 1).alias("m_depth"))
-    out.append(over(nested, "complexity.nesting-depth", F.col("m_depth")))
-    # properties and constants
-    at_class = classes.select(F.col("file").alias("_file"), F.col("name").alias("class_name"), F.col("start").alias("class_start"), F.col("end").alias("_end"), (F.col("depth") + 1).alias("_depth"))
+    out = [_report(lines, {rule: (code.rlike(p), None) for rule, p in CALLS.items()} | {"security.silent-catch": (code.rlike(r"\bcatch\s*\([^)]*\)\s*\{\s*\}"), None)}, "line", None)]
+    out.append(_report(decls, {
+        **_over("size.class-length", F.col("m_solid"), is_class & (F.col("kind") != "interface")),
+        **_over("size.method-length", F.col("m_solid"), is_callable),
+        **_over("size.parameter-count", parameters, is_callable),
+        **_over("complexity.cyclomatic", F.col("m_branches") + 1, is_callable & ~F.col("bodyless")),
+        "docs.missing-class-phpdoc": (is_class & ~F.col("documented"), None),
+        "naming.confusing-name": (is_class & name.isin(*CONFUSING), None),
+        "naming.generic-method": (is_callable & F.lower("name").isin(*GENERIC), None),
+        "waste.empty-method": (is_callable & empty, None),
+        "waste.empty-class": (is_class & empty & ~F.col("header").rlike(r"\bextends\s+\w*(?:Exception|Throwable)\b"), None),
+    }))
+    # methods in their class, and classes by their methods
+    is_test = F.col("class_name").rlike("Tests?$") & name.rlike("^test")
+    out.append(_report(methods, {"docs.missing-public-phpdoc": (~F.col("documented"), None), "test-quality.no-assertions": (is_test & (F.col("m_assertions") == 0), None), **_over("test-quality.test-method-too-long", F.col("m_solid") - 2, is_test)}))
+    snake = F.substring("name", 5, 1 << 20).contains("_")
+    per_class = methods.groupBy("file", "class_name", "class_start", "class_kind").agg(F.count_if(F.col("visibility") == "public").alias("n_public"), F.sum("m_solid").alias("total"), F.count("*").alias("n"), F.count_if(is_test).alias("n_tests"), F.count_if(is_test & snake).alias("n_snake"))
+    out.append(_report(per_class, {
+        **_over("size.public-method-count", F.col("n_public"), F.col("class_kind").isin("class", "enum")),
+        **_over("size.average-method-length", F.floor(F.col("total") / F.col("n")), F.col("class_kind") != "interface"),
+        "naming.test-naming-consistency": ((F.col("n_tests") >= 2) & (F.col("n_snake") > 0) & (F.col("n_snake") < F.col("n_tests")), None),
+    }, "class_start", "class_name"))
+    stem = F.regexp_extract("file", r"([^/]+)\.php$", 1)
+    solo = decls.where(is_class).groupBy("file").agg(F.count("*").alias("n"), F.first("name").alias("name"), F.min("start").alias("start"))
+    out.append(_report(solo, {"naming.class-file-mismatch": ((F.col("n") == 1) & stem.rlike(r"^[A-Za-z_]\w*$") & (stem != name), None)}))
+    # lines inside callables
+    within = lines.select(F.col("file").alias("_file"), F.col("line").alias("_line"), F.greatest("depth", "peak").alias("_depth"), F.col("code").alias("_code"))
+    inside = (F.col("file") == F.col("_file")) & (F.col("_line") >= F.col("start")) & (F.col("_line") <= F.col("end"))
+    nested = decls.where(is_callable).join(within, inside).groupBy("file", "name", "start", "depth").agg((F.max("_depth") - F.first("depth") - 1).alias("m_depth"))
+    out.append(_report(nested, _over("complexity.nesting-depth", F.col("m_depth"))))
+    bodies = methods.where(is_test).join(within, inside & (F.col("_line") > F.col("start")) & (F.col("_line") < F.col("end")))
+    out.append(_report(bodies, {
+        "test-quality.sleep-in-test": (F.col("_code").rlike(r"(?<![\w>:$])(?:sleep|usleep|time_nanosleep)\s*\("), None),
+        "test-quality.conditional-logic": (F.col("_code").rlike(r"\bif\s*\("), None),
+        "test-quality.skipped-without-reason": (F.col("_code").rlike(r"\bmarkTestSkipped\s*\(\s*(?:\)|['\"]{2})"), None),
+    }, "_line"))
+    # properties and constants of classes
     field = r"^\s*(?:public|protected|private|var)\s+(?:static\s+|readonly\s+)*(?:\??[\w\\|]+\s+)?\$(\w+)"
     constant = r"^\s*(?:(?:public|protected|private|final)\s+)*const\s+(?:\w+\s+)?(\w+)\s*="
-    held = lambda pattern: lines.where(F.col("code").rlike(pattern)).withColumn("name", F.regexp_extract("code", pattern, 1)).join(at_class, (F.col("file") == F.col("_file")) & (F.col("before") == F.col("_depth")) & (F.col("line") > F.col("class_start")) & (F.col("line") <= F.col("_end")))
-    fields, constants = held(field), held(constant)
-    documented = F.coalesce(F.col("above").rlike(r"\*/\s*$"), F.lit(False))
-    counted = fields.groupBy("file", F.col("class_name").alias("name"), F.col("class_start").alias("start")).agg(F.count("*").alias("n"))
-    out += [over(counted, "size.property-count", F.col("n")), _rule(fields.where(~documented), "docs.missing-property-phpdoc", "line"), _rule(constants.where(~documented), "docs.missing-constant-phpdoc", "line"), _rule(fields.where(F.col("code").rlike(r"^\s*public\s+(?!static|readonly)")), "modernisation.public-property", "line")]
-    # documentation and names
-    stem, solo = F.regexp_extract("file", r"([^/]+)\.php$", 1), classes.groupBy("file").agg(F.count("*").alias("n"), F.first("name").alias("name"), F.min("start").alias("start"))
-    out += [
-        _rule(classes.where(~F.col("documented")), "docs.missing-class-phpdoc"),
-        _rule(methods.where(~F.col("documented")), "docs.missing-public-phpdoc"),
-        _rule(solo.where((F.col("n") == 1) & stem.rlike(r"^[A-Za-z_]\w*$") & (stem != F.col("name"))), "naming.class-file-mismatch"),
-        _rule(classes.where(F.col("name").isin(*CONFUSING)), "naming.confusing-name"),
-        _rule(callables.where(F.lower("name").isin(*GENERIC)), "naming.generic-method"),
-    ]
-    names = lines.select("file", "line", F.explode(F.array_distinct(F.regexp_extract_all("code", F.lit(r"\$(\w+)"), F.lit(1)))).alias("name")).groupBy("file", "name").agg(F.min("line").alias("start"))
-    out += [
-        _rule(names.where((F.length("name") == 1) & ~F.col("name").isin(*COUNTERS)), "naming.short-variable"),
-        _rule(names.where(F.col("name").rlike(f"^(?:{TYPE_PREFIXES})[A-Z]")), "naming.hungarian-notation"),
-        _rule(names.where(F.lower("name").isin(*PLACEHOLDERS)), "naming.identifier-quality"),
-    ]
-    # dead code: declarations without a reference by name in their file
+    at_class = decls.where(is_class).select(F.col("file").alias("_file"), F.col("name").alias("class_name"), F.col("start").alias("class_start"), F.col("end").alias("_end"), (F.col("depth") + 1).alias("_depth"))
+    held = lines.withColumn("is_field", code.rlike(field)).where(F.col("is_field") | code.rlike(constant)).withColumn("name", F.when(F.col("is_field"), F.regexp_extract("code", field, 1)).otherwise(F.regexp_extract("code", constant, 1)))
+    held = held.join(at_class, (F.col("file") == F.col("_file")) & (F.col("before") == F.col("_depth")) & (F.col("line") > F.col("class_start")) & (F.col("line") <= F.col("_end"))).drop("_file")
+    bare = ~F.coalesce(F.col("above").rlike(r"\*/\s*$"), F.lit(False))
+    out.append(_report(held, {"docs.missing-property-phpdoc": (F.col("is_field") & bare, None), "docs.missing-constant-phpdoc": (~F.col("is_field") & bare, None), "modernisation.public-property": (F.col("is_field") & code.rlike(r"^\s*public\s+(?!static|readonly)"), None)}, "line"))
+    out.append(_report(held.where("is_field").groupBy("file", "class_name", "class_start").agg(F.count("*").alias("n")), _over("size.property-count", F.col("n")), "class_start", "class_name"))
+    # private members without a reference by name in their file
+    private = methods.where((F.col("visibility") == "private") & ~name.startswith("__")).select("file", F.col("start").alias("line"), "name", F.lit("method").alias("what"))
+    private = private.unionByName(held.where(code.rlike(r"^\s*private\b")).select("file", "line", "name", F.when(F.col("is_field"), "property").otherwise("constant").alias("what")))
     refs = lines.select(F.col("file").alias("_file"), F.explode(F.regexp_extract_all("code", F.lit(r"(?:->|::)\s*\$?(\w+)"), F.lit(1))).alias("_name")).distinct()
-    unused = lambda rows: rows.join(refs, (F.col("file") == F.col("_file")) & (F.col("name") == F.col("_name")), "left_anti")
-    private = lambda rows: rows.where(F.col("code").rlike(r"^\s*private\b")).drop("_file")
-    out += [_rule(unused(methods.where("visibility = 'private'").where(~F.col("name").startswith("__"))), "dead-code.unused-private-method"), _rule(unused(private(fields)), "dead-code.unused-private-property", "line"), _rule(unused(private(constants)), "dead-code.unused-private-constant", "line")]
+    unused = private.join(refs, (F.col("file") == F.col("_file")) & (F.col("name") == F.col("_name")), "left_anti")
+    out.append(_report(unused, {f"dead-code.unused-private-{what}": (F.col("what") == what, None) for what in ("method", "property", "constant")}, "line"))
     alias = F.coalesce(F.nullif(F.regexp_extract("code", r"\bas\s+(\w+)\s*;", 1), F.lit("")), F.regexp_extract("code", r"(\w+)\s*;", 1))
-    imports = lines.where(F.col("code").rlike(r"^use\s+[\w\\]+(?:\s+as\s+\w+)?\s*;")).select("file", "line", alias.alias("name"))
-    words = lines.where(~F.col("code").rlike(r"^use\s")).select(F.col("file").alias("_file"), F.explode(F.regexp_extract_all("raw", F.lit(r"\w+"), F.lit(0))).alias("_name")).distinct()
-    out.append(_rule(imports.join(words, (F.col("file") == F.col("_file")) & (F.col("name") == F.col("_name")), "left_anti"), "waste.unused-import", "line"))
-    out += [_rule(callables.where((F.col("end") == F.col("start")) & F.col("header").rlike(r"\{\s*\}")), "waste.empty-method"), _rule(classes.where((F.col("end") == F.col("start")) & F.col("header").rlike(r"\{\s*\}") & ~F.col("header").rlike(r"\bextends\s+\w*(?:Exception|Throwable)\b")), "waste.empty-class")]
-    out.append(_rule(lines.where(F.col("code").rlike(r"\bcatch\s*\([^)]*\)\s*\{\s*\}")), "security.silent-catch", "line", None))
-    comments = pieces(units).select("file", F.explode("pieces").alias("text")).where(F.col("text").rlike(r"^(?:/\*(?!\*)|//|#)"))
-    indicators = F.size(F.regexp_extract_all("text", F.lit(r"(?m);\s*$|\$\w+\s*=[^=]|\b(?:if|foreach|while)\s*\("), F.lit(0)))
-    out.append(_rule(comments.where(indicators >= 2).withColumn("line", F.lit(None).cast("int")).groupBy("file").agg(F.count("*").alias("n"), F.first("line").alias("line")), "waste.commented-out-code", "line", None, F.col("n")))
-    # tests
-    tests = methods.where(F.col("class_name").rlike("Tests?$") & F.col("name").rlike("^test"))
-    within = lines.select(F.col("file").alias("_file"), F.col("line").alias("_line"), F.col("code").alias("_code"))
-    bodies = tests.select("file", "name", "start", "end").join(within, (F.col("file") == F.col("_file")) & (F.col("_line") > F.col("start")) & (F.col("_line") < F.col("end")))
-    styles = tests.groupBy("file", F.col("class_name").alias("name"), F.col("class_start").alias("start")).agg(F.count("*").alias("n"), F.count_if(F.substring("name", 5, 1 << 20).contains("_")).alias("snake"))
-    out += [
-        _rule(tests.where("m_assertions = 0"), "test-quality.no-assertions"),
-        over(tests, "test-quality.test-method-too-long", F.col("m_solid") - 2),
-        _rule(bodies.where(F.col("_code").rlike(r"(?<![\w>:$])(?:sleep|usleep|time_nanosleep)\s*\(")), "test-quality.sleep-in-test", "_line"),
-        _rule(bodies.where(F.col("_code").rlike(r"\bif\s*\(")), "test-quality.conditional-logic", "_line"),
-        _rule(bodies.where(F.col("_code").rlike(r"\bmarkTestSkipped\s*\(\s*(?:\)|['\"]{2})")), "test-quality.skipped-without-reason", "_line"),
-        _rule(styles.where("n >= 2 and snake > 0 and snake < n"), "naming.test-naming-consistency"),
-    ]
+    imports = lines.where(code.rlike(r"^use\s+[\w\\]+(?:\s+as\s+\w+)?\s*;")).select("file", "line", alias.alias("name"))
+    words = lines.where(~code.rlike(r"^use\s")).select(F.col("file").alias("_file"), F.explode(F.regexp_extract_all("raw", F.lit(r"\w+"), F.lit(0))).alias("_name")).distinct()
+    out.append(_report(imports.join(words, (F.col("file") == F.col("_file")) & (F.col("name") == F.col("_name")), "left_anti"), {"waste.unused-import": (F.lit(True), None)}, "line"))
+    # names of variables, at their first line, and commented-out code
+    names = lines.select("file", "line", F.explode(F.array_distinct(F.regexp_extract_all("code", F.lit(r"\$(\w+)"), F.lit(1)))).alias("name")).groupBy("file", "name").agg(F.min("line").alias("start"))
+    out.append(_report(names, {"naming.short-variable": ((F.length("name") == 1) & ~name.isin(*COUNTERS), None), "naming.hungarian-notation": (name.rlike(f"^(?:{TYPE_PREFIXES})[A-Z]"), None), "naming.identifier-quality": (F.lower("name").isin(*PLACEHOLDERS), None)}))
+    is_comment = lambda p: p.rlike(r"^(?:/\*(?!\*)|//|#)") & (F.size(F.regexp_extract_all(p, F.lit(r"(?m);\s*$|\$\w+\s*=[^=]|\b(?:if|foreach|while)\s*\("), F.lit(0))) >= 2)
+    comments = pieces(text).select("file", F.size(F.filter("pieces", is_comment)).alias("n"), F.lit(None).cast("int").alias("line"))
+    out.append(_report(comments, {"waste.commented-out-code": (F.col("n") > 0, F.col("n"))}, "line", None))
     found = out[0]
     for rows in out[1:]:
         found = found.unionByName(rows)

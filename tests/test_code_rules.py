@@ -37,7 +37,7 @@ class FooTest {
 EXPECTED = {
     (None, "waste.commented-out-code", None), (3, "waste.unused-import", "Away"), (6, "naming.class-file-mismatch", "Thing"), (8, "dead-code.unused-private-constant", "DEAD"), (8, "docs.missing-constant-phpdoc", "DEAD"),
     (11, "docs.missing-property-phpdoc", "open"), (11, "modernisation.public-property", "open"), (12, "dead-code.unused-private-method", "hidden"), (12, "docs.missing-public-phpdoc", "hidden"), (12, "naming.hungarian-notation", "strName"),
-    (12, "naming.short-variable", "q"), (12, "security.weak-crypto", None), (14, "naming.generic-method", "run"), (14, "naming.short-variable", "a"), (14, "naming.short-variable", "b"), (14, "naming.short-variable", "c"), (15, "naming.short-variable", "v"),
+    (12, "naming.short-variable", "q"), (12, "security.weak-crypto", None), (14, "naming.generic-method", "run"), (14, "complexity.nesting-depth", "run"), (14, "naming.short-variable", "a"), (14, "naming.short-variable", "b"), (14, "naming.short-variable", "c"), (15, "naming.short-variable", "v"),
     (15, "security.error-suppression", None), (16, "security.dangerous-function-call", None), (16, "security.silent-catch", None), (19, "docs.missing-public-phpdoc", "nothing"), (19, "waste.empty-method", "nothing"),
 }
 EXPECTED_TEST = {

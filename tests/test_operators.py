@@ -220,3 +220,16 @@ def test_streams(spark, tmp_path):
         assert spark.read.parquet(str(tmp_path / "out")).count() == expected
         if expected == 1:
             units.write.mode("append").parquet(str(tmp_path / "in")) if spark.read.parquet(str(tmp_path / "in")).count() == 1 and (tmp_path / "seen").exists() else (tmp_path / "seen").touch()
+
+
+def test_one_pass_scan_equals_the_single_rules(spark):
+    from plumbline.sources import tables
+
+    sf = "/root/testdata/sf0.001"
+    units = tables.config_units(spark, sf).unionByName(tables.units(spark, sf)).unionByName(spark.createDataFrame([("tests/x", "text", 'API_KEY = "Zx9Qw3Er7Ty1Ui5Op2As" \'aB3$\' "q9Zx8Wv7Ut6Sr5Qp4On3Ml2Kj1Ih0Gf9"\nmail a@b.io 12 Main Street')], "file string, type string, source string"))
+    rules = (text.api_keys, text.aws_keys, text.private_keys, text.jwt_tokens, text.url_credentials, text.env_values, text.high_entropy, text.health_ids, text.personal_data)
+    single = rules[0](units)
+    for rule in rules[1:]:
+        single = single.unionByName(rule(units))
+    found = sorted(map(str, map(tuple, text.scan(units).collect())))
+    assert found == sorted(map(str, map(tuple, single.collect()))) and len(found) > 100
