@@ -44,6 +44,8 @@ NO_TEXT = frozenset("head nav header footer aside form script style noscript ifr
 NO_ARTICLE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar nav navbar navigation menu breadcrumb breadcrumbs header footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login comment comments disqus replies respond related recommended share sharing social widget toolbar pagination pager copyright complementary contentinfo search".split()
 )
+#: Names such as no-sidebar or has-comments tell what a page holds, not what the element is.
+ABOUT_OTHERS = re.compile(r"\b(?:no|has|with|without)[-_][a-z0-9_-]+")
 OUTER = frozenset("html body article main".split())
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？]")
@@ -56,7 +58,7 @@ def _barred(tag: str, attributes: str) -> bool:
         return False
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
-        if name in ("class", "id", "role") and not NO_ARTICLE.isdisjoint(re.split(r"[^a-z0-9]+", value)):
+        if name in ("class", "id", "role") and not NO_ARTICLE.isdisjoint(re.split(r"[^a-z0-9]+", ABOUT_OTHERS.sub("", value))):
             return True
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True

@@ -195,6 +195,7 @@ PAGES = [
     ("<article><p>cut off in a tag <a hre", "cut off in a tag"),
     ("<article><!-- not > closed <p>gone", ""),
     ("just text, no markup", "just text, no markup"),
+    ('<div class="page has-sidebar"><p>Kept, as it is text.</p><div id="side-bar" class="user-comments">gone</div></div>', "Kept, as it is text."),
     ("", ""),
     (None, ""),
 ]
