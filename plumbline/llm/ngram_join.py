@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import EDGE, connected_components
+from .components import EDGE, connected_components, roots
 from .shared import materialise, table
 from .wordhash import hash_words, shingles, text_chunks
 
@@ -51,9 +51,9 @@ def text_sets(texts: pa.Array, size: int):
 
 def _common(size: int):
     def run(batches):
-        for batch in batches:
-            sets = list(text_sets(batch.column("text"), size))
-            found, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        texts = (batch.column("text").slice(row, 2500) for batch in batches for row in range(0, batch.num_rows, 2500))
+        for some in texts:
+            found, n = np.unique(np.concatenate(list(text_sets(some, size))), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["token", "n"])
 
     return run
@@ -115,54 +115,57 @@ def candidates(sets: DataFrame, percent: int, most_matches: int, hot: int) -> Da
     return pairs.groupBy("src", "dst").agg(F.count("*").alias("hits"), F.first("need").alias("need")).where("hits >= need").select("src", "dst").unionByName(chained)
 
 
-def links(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Which of some sets link, as a symmetric matrix."""
+def links(sets: list[np.ndarray], percent: int, strip: int = 256, cells: int = 4_000_000):
+    """Pairs (a, b) of linked sets with a < b, in strips of rows; memory is of the order of len(sets)**2 + cells."""
     n = np.array([len(s) for s in sets])
     tokens = np.concatenate(sets)
     order = np.argsort(tokens, kind="stable")
-    owner, tokens = np.repeat(np.arange(len(sets)), n)[order], tokens[order]
-    new = np.concatenate([[True], tokens[1:] != tokens[:-1]])
-    column = np.cumsum(new) - 1
+    owner, tokens = np.repeat(np.arange(len(sets), dtype=np.int32), n)[order], tokens[order]
+    column = np.cumsum(np.concatenate([[True], tokens[1:] != tokens[:-1]])) - 1
     often = np.bincount(column)[column] > 1
-    owner, column = owner[often], np.unique(column[often], return_inverse=True)[1]
+    owner, column = owner[often], column[often]
+    if not len(column):
+        return
+    column = np.cumsum(np.concatenate([[0], column[1:] != column[:-1]]))
     common = np.zeros((len(sets), len(sets)), dtype=np.float32)
-    step = max(1, 4_000_000 // len(sets))
-    for first in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+    step = max(1, min(int(column[-1]) + 1, cells // len(sets)))
+    for first in range(0, int(column[-1]) + 1, step):
         a, b = np.searchsorted(column, [first, first + step])
-        dense = np.zeros((len(sets), step if len(column) and column[-1] >= first + step else int(column[-1]) + 1 - first), dtype=np.float32)
+        dense = np.zeros((len(sets), step), dtype=np.float32)
         dense[owner[a:b], column[a:b] - first] = 1
-        common += dense @ dense.T
-    common = common.astype(np.int64)
-    found = 100 * common >= percent * (n[:, None] + n[None, :] - common)
-    np.fill_diagonal(found, False)
-    return found
+        for row in range(0, len(sets), strip):
+            common[row : row + strip] += dense[row : row + strip] @ dense.T
+    for row in range(0, len(sets), strip):
+        both = common[row : row + strip].astype(np.float64)
+        a, b = np.nonzero(100 * both >= percent * (n[row : row + strip, None] + n[None, :] - both))
+        a = a + row
+        yield a[a < b], b[a < b]
 
 
 def _verified(size: int, percent: int):
     def stars(docs: list[int], texts: list[str]):
-        sets = list(text_sets(pa.array(texts, pa.large_string()), size))
-        a, b = np.nonzero(np.triu(links(sets, percent)))
-        if not len(a):
-            return None
-        from .components import roots
-
         ids = np.array(docs, dtype=np.int64)
-        nodes, root = roots(ids[a], ids[b])
+        src, dst = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a, b in links(list(text_sets(pa.array(texts, pa.large_string()), size)), percent):
+            nodes, root = roots(ids[a], ids[b])
+            src.append(nodes[nodes != root])
+            dst.append(root[nodes != root])
+        nodes, root = roots(np.concatenate(src), np.concatenate(dst))
         leaf = nodes != root
         return pa.RecordBatch.from_arrays([pa.array(nodes[leaf]), pa.array(root[leaf])], ["src", "dst"])
 
     def run(batches):
         key, docs, texts = None, [], []
-        for batch in batches:
-            for now, doc, text in zip(batch.column("group").to_pylist(), batch.column("doc").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for batch in (whole.slice(row, 1000) for whole in batches for row in range(0, whole.num_rows, 1000)):
+            for now, doc, text in zip(*(batch.column(c).to_pylist() for c in ("group", "doc", "text")), strict=True):
                 if now != key:
-                    if len(docs) > 1 and (found := stars(docs, texts)) is not None:
-                        yield found
+                    if len(docs) > 1:
+                        yield stars(docs, texts)
                     key, docs, texts = now, [], []
                 docs.append(doc)
                 texts.append(text or "")
-        if len(docs) > 1 and (found := stars(docs, texts)) is not None:
-            yield found
+        if len(docs) > 1:
+            yield stars(docs, texts)
 
     return run
 

@@ -142,22 +142,26 @@ class Layout:
 
 
 def _cut(totals: dict, window: int, sequence: int):
+    names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
+
     def run(batches):
         layout = Layout(totals, window)
-        for batch in batches:
-            rows = {c: batch.column(c).to_pylist() for c in ("doc_id", "queue", "first", "doc_tokens", "width")}
-            out = ([], [], [], [], [], [], [])
-            for doc_id, queue, first, n, width, ids in zip(*rows.values(), batch.column("ids"), strict=True):
-                ids = np.frombuffer(ids.as_buffer(), dtype="<u2" if width == 2 else "<u4").astype("<u4")
-                for start, k, place in layout.pieces(queue, first, n, sequence):
-                    for column, value in zip(out, (doc_id, start, k, n, place // sequence, place % sequence, ids[start : start + k].tobytes()), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out[:-1]] + [pa.array(out[-1], pa.binary())], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+        for whole in batches:
+            for row in range(0, whole.num_rows, 1000):
+                batch = whole.slice(row, 1000)
+                rows = {c: batch.column(c).to_pylist() for c in ("doc_id", "queue", "first", "doc_tokens", "width")}
+                out = ([], [], [], [], [], [], [])
+                for doc_id, queue, first, n, width, ids in zip(*rows.values(), batch.column("ids"), strict=True):
+                    ids = np.frombuffer(ids.as_buffer(), dtype="<u2" if width == 2 else "<u4").astype("<u4")
+                    for start, k, place in layout.pieces(queue, first, n, sequence):
+                        for column, value in zip(out, (doc_id, start, k, n, place // sequence, place % sequence, ids[start : start + k].tobytes()), strict=True):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out[:-1]] + [pa.array(out[-1], pa.binary())], names)
 
     return run
 
 
-def pack(documents: DataFrame, vocabulary: str, pattern: str, sequence: int = SEQUENCE, end: int = END, window_sequences: int = 64, max_queues: int = 1024, pieces_in_memory: int = 300_000) -> DataFrame:
+def pack(documents: DataFrame, vocabulary: str, pattern: str, sequence: int = SEQUENCE, end: int = END, window_sequences: int = 64, max_queues: int = 1024, pieces_in_memory: int = 150_000) -> DataFrame:
     """Pieces: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit)."""
     queue = F.col("source").cast("string")
     if documents.select(queue).distinct().limit(max_queues + 1).count() > max_queues:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 BLANKS = b" \t\n\v\f\r"
 PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _MASK = (1 << 64) - 1
