@@ -207,17 +207,18 @@ def _searcher(at_least: float, beam: int):
 def search(classes: DataFrame, at_least: float, overlap: int, shard_rows: int, block_rows: int, sample_rows: int, degree: int, alpha: float, beam: int) -> DataFrame:
     """Per class that has links: rep, n (linked vectors of other classes), root stars: rep, n, root."""
     centroids = fit_centroids(classes, shard_rows, overlap, sample_rows)
-    placed = classes.select("rep", "label", F.size("embedding").alias("length"), "copies", "embedding").mapInArrow(_assigner(centroids, overlap), "rep long, label long, copies long, embedding array<float>, shards array<long>")
+    placed = classes.select("rep", "label", F.size("embedding").alias("length"), "copies", "embedding").mapInArrow(_assigner(centroids, overlap), "rep long, label long, copies long, embedding array<double>, shards array<long>")
     placed = materialise(placed.withColumn("shard", F.explode("shards")), "embedding-shards")
     blocks = placed.groupBy(F.col("shard").alias("_shard")).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+    placed = placed.withColumn("kind", F.concat_ws("/", "label", F.size("embedding"), "shard"))
     placed = placed.join(blocks, F.col("shard") == F.col("_shard")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     near = (
-        placed.select("rep", "embedding", F.concat_ws("/", "shard", "block").alias("block_key")).repartition("block_key").sortWithinPartitions("block_key")
+        placed.select("rep", "embedding", F.concat_ws("/", "kind", "block").alias("block_key")).repartition("block_key").sortWithinPartitions("block_key")
         .mapInArrow(_builder(degree, alpha), "rep long, near array<long>").groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     )
     near = materialise(near, "embedding-graph")  # overlap lists of at most block_rows in each row
     tasks = placed.withColumn("pair", F.explode(F.expr("array_distinct(flatten(transform(sequence(0, blocks - 1), i -> array(struct(block as asker, i as held), struct(i as asker, block as held)))))")))
-    tasks = tasks.select("rep", "copies", "embedding", "shards", "shard", (F.col("pair.asker") == F.col("block")).alias("asks"), (F.col("pair.held") == F.col("block")).alias("is_base"), F.concat_ws("/", "shard", "pair.asker", "pair.held").alias("task"))
+    tasks = tasks.select("rep", "copies", "embedding", "shards", "shard", (F.col("pair.asker") == F.col("block")).alias("asks"), (F.col("pair.held") == F.col("block")).alias("is_base"), F.concat_ws("/", "kind", "pair.asker", "pair.held").alias("task"))
     tasks = tasks.join(near.withColumnRenamed("rep", "_rep"), F.col("rep") == F.col("_rep")).drop("_rep")
     found = tasks.repartition("task").sortWithinPartitions("task").mapInArrow(_searcher(at_least, beam), "rep long, n long, root long")
     return materialise(found, "embedding-links")
@@ -252,8 +253,8 @@ def audit(rows: DataFrame, counts: DataFrame, at_least: float, audit_rows: int)
 
 def near_duplicates(embeddings: DataFrame, at_least: float = 0.93, overlap: int = 3, shard_rows: int = 500, block_rows: int = 1500, sample_rows: int = 20_000, degree: int = 24, alpha: float = 1.2, beam: int = 24, audit_rows: int = 1000, recall: float = 0.9) -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept."""
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("long").alias("label"))
-    good = F.expr("label is not null and embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < cast('Infinity' as float)) and exists(embedding, x -> x <> 0)")
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
+    good = F.expr("label is not null and embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < cast('Infinity' as double)) and exists(embedding, x -> x <> 0)")
     rows = materialise(rows.withColumn("good", F.coalesce(good, F.lit(False))), "embedding-rows")
     usable = rows.where("good")
     classes = materialise(usable.groupBy("label", "embedding").agg(F.min(F.coalesce("vec_id", F.lit((1 << 63) - 1))).alias("rep"), F.count("*").alias("copies")), "embedding-classes")
