@@ -47,7 +47,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     small-star rounds alternate until nothing changes: every node's neighbours
     that are greater (or not) are linked to its smallest neighbour. Both rounds
     need only a minimum per node and a join back to the edges, so that a node with
-    very many neighbours is never gathered in one task.
+    very many neighbours is never gathered in one task; the minima are written
+    first, so that both sides of the join are plain exchanges that AQE can split.
     """
     now = materialise(edges.select("src", "dst").where("src <> dst").mapInArrow(_contract, EDGE).distinct(), "components")
     before = None
@@ -58,10 +59,11 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         before = state
         both = now.unionByName(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         least = both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("least")).select("node", F.least("node", "least").alias("least"))
+        least = materialise(least, "components-least")
         large = both.where("dst > src").join(least, F.col("src") == F.col("node")).select(F.col("dst").alias("src"), F.col("least").alias("dst"))
-        large = large.where("src <> dst").distinct()
+        large = materialise(large.where("src <> dst").distinct(), "components-large")
         # src > dst now holds in every edge
-        low = large.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("least"))
+        low = materialise(large.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("least")), "components-least")
         small = large.join(low, F.col("src") == F.col("node")).select(F.col("dst").alias("src"), F.col("least").alias("dst")).where("src <> dst")
         now = materialise(small.unionByName(low.select(F.col("node").alias("src"), F.col("least").alias("dst"))).distinct(), "components")
     else:
