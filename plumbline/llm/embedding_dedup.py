@@ -14,9 +14,13 @@
    in the smallest shard that both vectors share, so that each pair counts once and
    no pair leaves its task: tasks return link counts and stars.
 6. Found pairs are verified by cosine in double precision, in the search itself.
-7. An audit compares the counts of at most ``audit_rows`` vectors (of those whose
-   id is divisible by 100) with brute force against all rows; below ``recall`` the
-   search runs again with twice the overlap.
+7. An audit compares at most ``audit_rows`` classes (first those with an id that is
+   divisible by 100) with brute force against all classes. Only links between
+   different classes count, each once however many copies it has, so that copies,
+   which no search has to find, cannot hide lost links. Below ``recall``, over all
+   links or as the mean of the classes that have links, the search runs again with
+   twice the overlap; if it still falls short beyond ``most_overlap``, all pairs of
+   a label are compared by blocks instead.
 
 Only vectors of equal label and length are compared. A vector that is null, zero
 or holds null or non-finite components, or has a null label, links with nothing
@@ -176,7 +180,15 @@ def range_search(x: np.ndarray, near: np.ndarray, queries: np.ndarray, at_least:
             sims[r, c] = np.einsum("ij,ij->i", queries[r], x[c])
 
 
-def _searcher(at_least: float, beam: int):
+def _adjacency(ids: np.ndarray, lists) -> np.ndarray:
+    place = {v: i for i, v in enumerate(ids.tolist())}
+    near = np.zeros((len(ids), len(ids)), dtype=np.float32)
+    for i, row in enumerate(lists.to_pylist()):
+        near[i, [place[v] for v in row or () if v in place]] = 1
+    return near
+
+
+def _searcher(at_least: float, beam: int, exact: bool):
     def run(batches):
         for group in _groups(batches, "task"):
             ids, copies = group["rep"].to_numpy(), group["copies"].to_numpy()
@@ -184,92 +196,92 @@ def _searcher(at_least: float, beam: int):
             if not len(asks) or not len(base):
                 continue
             x = _vectors(group["embedding"])
-            place = {v: i for i, v in enumerate(ids[base].tolist())}
-            near = np.zeros((len(base), len(base)), dtype=np.float32)
-            adjacency = group["near"].to_pylist()
-            for i, b in enumerate(base.tolist()):
-                near[i, [place[v] for v in adjacency[b] or () if v in place]] = 1
-            found = range_search(x[base], near, x[asks], at_least, beam) >= at_least
+            if exact:
+                found = x[asks] @ x[base].T >= at_least
+            else:
+                found = range_search(x[base], _adjacency(ids[base], group["near"].take(pa.array(base))), x[asks], at_least, beam) >= at_least
             rows, columns = np.nonzero(found)
             a, b = asks[rows], base[columns]
             shards, here = group["shards"].to_pylist(), group["shard"][0].as_py()
             first = np.array([min(set(shards[i]) & set(shards[j])) == here and ids[i] != ids[j] for i, j in zip(a.tolist(), b.tolist(), strict=True)], dtype=bool)
             a, b = a[first], b[first]
             n = np.bincount(a, weights=copies[b], minlength=len(ids)).astype(np.int64)
+            others = np.bincount(a, minlength=len(ids))
             nodes, root = roots(ids[a], ids[b])
             to = dict(zip(nodes.tolist(), root.tolist(), strict=True))
             some = sorted({*np.flatnonzero(n).tolist(), *b.tolist()})
-            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(n[some]), pa.array([to[v] for v in ids[some].tolist()], pa.int64())], ["rep", "n", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(n[some]), pa.array(others[some]), pa.array([to[v] for v in ids[some].tolist()], pa.int64())], ["rep", "n", "others", "root"])
 
     return run
 
 
-def search(classes: DataFrame, at_least: float, overlap: int, shard_rows: int, block_rows: int, sample_rows: int, degree: int, alpha: float, beam: int) -> DataFrame:
-    """Per class that has links: rep, n (linked vectors of other classes), root stars: rep, n, root."""
-    centroids = fit_centroids(classes, shard_rows, overlap, sample_rows)
+def search(classes: DataFrame, at_least: float, overlap: int, shard_rows: int, block_rows: int, sample_rows: int, degree: int, alpha: float, beam: int, exact: bool = False) -> DataFrame:
+    """Per class that has links: rep, n (linked vectors of other classes), others (linked classes), root stars: rep, n, others, root.
+
+    exact: each label and length is one shard, and every pair of its blocks is compared without a graph.
+    """
+    centroids = {} if exact else fit_centroids(classes, shard_rows, overlap, sample_rows)
     placed = classes.select("rep", "label", F.size("embedding").alias("length"), "copies", "embedding").mapInArrow(_assigner(centroids, overlap), "rep long, label long, copies long, embedding array<double>, shards array<long>")
     placed = materialise(placed.withColumn("shard", F.explode("shards")), "embedding-shards")
     blocks = placed.groupBy(F.col("shard").alias("_shard")).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
     placed = placed.withColumn("kind", F.concat_ws("/", "label", F.size("embedding"), "shard"))
     placed = placed.join(blocks, F.col("shard") == F.col("_shard")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    near = (
-        placed.select("rep", "embedding", F.concat_ws("/", "kind", "block").alias("block_key")).repartition("block_key").sortWithinPartitions("block_key")
-        .mapInArrow(_builder(degree, alpha), "rep long, near array<long>").groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    )
-    near = materialise(near, "embedding-graph")  # overlap lists of at most block_rows in each row
     tasks = placed.withColumn("pair", F.explode(F.expr("array_distinct(flatten(transform(sequence(0, blocks - 1), i -> array(struct(block as asker, i as held), struct(i as asker, block as held)))))")))
     tasks = tasks.select("rep", "copies", "embedding", "shards", "shard", (F.col("pair.asker") == F.col("block")).alias("asks"), (F.col("pair.held") == F.col("block")).alias("is_base"), F.concat_ws("/", "kind", "pair.asker", "pair.held").alias("task"))
-    tasks = tasks.join(near.withColumnRenamed("rep", "_rep"), F.col("rep") == F.col("_rep")).drop("_rep")
-    found = tasks.repartition("task").sortWithinPartitions("task").mapInArrow(_searcher(at_least, beam), "rep long, n long, root long")
+    if not exact:
+        near = (
+            placed.select("rep", "embedding", F.concat_ws("/", "kind", "block").alias("block_key")).repartition("block_key").sortWithinPartitions("block_key")
+            .mapInArrow(_builder(degree, alpha), "rep long, near array<long>").groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+        )
+        near = materialise(near, "embedding-graph")  # overlap lists of at most block_rows in each row
+        tasks = tasks.join(near.withColumnRenamed("rep", "_rep"), F.col("rep") == F.col("_rep")).drop("_rep")
+    found = tasks.repartition("task").sortWithinPartitions("task").mapInArrow(_searcher(at_least, beam, exact), "rep long, n long, others long, root long")
     return materialise(found, "embedding-links")
 
 
-def audit(rows: DataFrame, counts: DataFrame, at_least: float, audit_rows: int) -> float:
-    """Share of the links of a bounded set of queries, counted by brute force, that the search found."""
-    asked = rows.where("vec_id % 100 = 0")
-    share = min(1.0, audit_rows / max(1, asked.count()))
-    asked = asked.where(F.pmod(F.xxhash64(F.lit("audit"), "vec_id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * audit_rows).toPandas()
-    if not len(asked):
-        return 1.0
+def audit(named: DataFrame, at_least: float, audit_rows: int) -> float:
+    """Share of the links to other classes, of a bounded set of classes and counted by brute force, that the search found: of all, or as the mean of classes if that is less."""
+    asked = named.orderBy(F.desc("asked"), F.xxhash64(F.lit("audit"), "_label", "_embedding")).limit(audit_rows).select("_label", "_embedding", "others").toPandas()
     groups = {}
-    for (label, length), g in asked.groupby(["label", asked["embedding"].map(len)]):
-        x = np.array(g["embedding"].to_list(), dtype=np.float64)
-        groups[label, length] = g["vec_id"].to_numpy(), x / np.linalg.norm(x, axis=1, keepdims=True)
+    for (label, length), g in asked.groupby(["_label", asked["_embedding"].map(len)]):
+        x = np.array(g["_embedding"].to_list(), dtype=np.float64)
+        groups[label, length] = g.index.to_numpy(), x / np.linalg.norm(x, axis=1, keepdims=True)
 
     def count(batches):
         for batch in batches:
-            keys = list(zip(batch.column("label").to_pylist(), map(len, batch.column("embedding").to_pylist()), strict=True))
+            keys = list(zip(batch.column("_label").to_pylist(), map(len, batch.column("_embedding").to_pylist()), strict=True))
             for key in set(keys) & set(groups):
                 ids, x = groups[key]
                 mine = pa.array([i for i, k in enumerate(keys) if k == key])
-                linked = (x @ _vectors(batch.column("embedding").take(mine)).T >= at_least).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(linked.astype(np.int64))], ["vec_id", "n"])
+                linked = (x @ _vectors(batch.column("_embedding").take(mine)).T >= at_least).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(linked.astype(np.int64))], ["id", "n"])
 
-    true = rows.select("vec_id", "label", "embedding").mapInArrow(count, "vec_id long, n long").groupBy("vec_id").agg((F.sum("n") - 1).alias("n"))
-    both = true.join(counts.select(F.col("vec_id").alias("_id"), "n_links"), F.col("vec_id") == F.col("_id"))
-    links, met = both.agg(F.sum("n"), F.sum(F.least("n", "n_links"))).first()
-    return met / links if links else 1.0
+    true = named.select("_label", "_embedding").mapInArrow(count, "id long, n long").groupBy("id").agg((F.sum("n") - 1).alias("n")).where("n > 0").toPandas()
+    if not len(true):
+        return 1.0
+    met = np.minimum(true["n"], asked["others"].to_numpy()[true["id"]])
+    return float(min(met.sum() / true["n"].sum(), (met / true["n"]).mean()))
 
 
-def near_duplicates(embeddings: DataFrame, at_least: float = 0.93, overlap: int = 3, shard_rows: int = 500, block_rows: int = 1500, sample_rows: int = 20_000, degree: int = 24, alpha: float = 1.2, beam: int = 24, audit_rows: int = 1000, recall: float = 0.9) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, at_least: float = 0.93, overlap: int = 3, shard_rows: int = 500, block_rows: int = 1500, sample_rows: int = 20_000, degree: int = 24, alpha: float = 1.2, beam: int = 24, audit_rows: int = 1000, recall: float = 0.9, most_overlap: int = 100) -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept."""
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
     good = F.expr("label is not null and embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < cast('Infinity' as double)) and exists(embedding, x -> x <> 0)")
     rows = materialise(rows.withColumn("good", F.coalesce(good, F.lit(False))), "embedding-rows")
     usable = rows.where("good")
-    classes = materialise(usable.groupBy("label", "embedding").agg(F.min(F.coalesce("vec_id", F.lit((1 << 63) - 1))).alias("rep"), F.count("*").alias("copies")), "embedding-classes")
+    classes = materialise(usable.groupBy("label", "embedding").agg(F.min(F.coalesce("vec_id", F.lit((1 << 63) - 1))).alias("rep"), F.count("*").alias("copies"), F.coalesce(F.max(F.col("vec_id") % 100 == 0), F.lit(False)).alias("asked")), "embedding-classes")
     # a class is named by its smallest vec_id; if that names another class too, the components of both are the same
     while True:
-        found = search(classes, at_least, overlap, shard_rows, block_rows, sample_rows, degree, alpha, beam)
+        exact = overlap > most_overlap
+        found = search(classes, at_least, overlap, shard_rows, block_rows, sample_rows, degree, alpha, beam, exact)
         components = connected_components(found.select(F.col("rep").alias("src"), F.col("root").alias("dst")))
-        links = found.groupBy(F.col("rep").alias("_rep")).agg(F.sum("n").alias("n"))
+        links = found.groupBy(F.col("rep").alias("_rep")).agg(F.sum("n").alias("n"), F.sum("others").alias("others"))
         named = classes.join(links, F.col("rep") == F.col("_rep"), "left").join(components, F.col("rep") == F.col("node"), "left")
-        named = materialise(named.select(F.col("label").alias("_label"), F.col("embedding").alias("_embedding"), "copies", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "rep").alias("component")), "embedding-named")
-        joined = usable.join(named, (F.col("label") == F.col("_label")) & (F.col("embedding") == F.col("_embedding"))).select("vec_id", (F.col("n") + F.col("copies") - 1).alias("n_links"), F.nullif(F.col("component"), F.lit((1 << 63) - 1)).alias("component_id"))
-        joined = materialise(joined, "embedding-result")
-        if audit(usable, joined, at_least, audit_rows) >= recall or overlap > 100:
+        named = materialise(named.select(F.col("label").alias("_label"), F.col("embedding").alias("_embedding"), "copies", "asked", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("others", F.lit(0)).alias("others"), F.coalesce("component", "rep").alias("component")), "embedding-named")
+        if exact or audit(named, at_least, audit_rows) >= recall:
             break
         overlap *= 2
+    joined = usable.join(named, (F.col("label") == F.col("_label")) & (F.col("embedding") == F.col("_embedding"))).select("vec_id", (F.col("n") + F.col("copies") - 1).alias("n_links"), F.nullif(F.col("component"), F.lit((1 << 63) - 1)).alias("component_id"))
     rest = rows.where("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return joined.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
