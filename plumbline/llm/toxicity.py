@@ -11,8 +11,11 @@ words; differences of single words below ``min_evidence`` nats are taken as
 noise of the estimate.
 
 Parameters that bound the fit: ``rows_per_class`` labelled rows of each class
-(least hash of doc_id first), ``calibration_rows`` more for the threshold, and
-``max_units`` units of the model, which so fits in a broadcast of 16 bytes each; units met only once are left out.
+(least hash of doc_id first) and ``calibration_rows`` more for the threshold. All
+units of those rows count in the totals, in the freed mass and in the shared
+distribution, which are taken before any unit is left out. A unit that passes the
+discount in neither class has the log ratio of its parent's backoff weights, which
+a lookup falls back to; so the model need not list it, and nothing is lost.
 Scoring reads every row and whole text.
 
 Nulls and edges: a null or empty text has no evidence and a score below 0.5; a
@@ -92,16 +95,19 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["toxic", "level", "unit", "parent", "before"])
 
 
-def _log_ratios(level, discount: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    parents, group = np.unique(level["parent"].to_numpy().view(np.uint64), return_inverse=True)
+def _log_ratios(level, groups, discount: float, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the units that pass the i-th discount in a class; groups: totals and freed mass of their parents, over all units."""
+    groups = groups.sort_values("parent_key")
+    parents = groups["parent_key"].to_numpy()
+    level = level[np.maximum(level["n_toxic"], level["n_ordinary"]) > discount]
+    group = np.searchsorted(parents, level["parent"].to_numpy().view(np.uint64))
     counts = [level[c].to_numpy(dtype=float) for c in ("n_toxic", "n_ordinary")]
-    both = counts[0] + counts[1]
-    shared = 0.98 * both / np.bincount(group, weights=both)[group]  # the rest is for units not seen
+    totals = [groups[c].to_numpy(dtype=float) for c in ("toxic", "ordinary")]
+    shared = 0.98 * (counts[0] + counts[1]) / (totals[0] + totals[1])[group]  # the rest is for units not seen
     unit, weight = [], []
-    for n in counts:
-        total, freed = np.bincount(group, weights=n), np.bincount(group, weights=np.minimum(n, discount))
+    for n, total, side in zip(counts, totals, ("toxic", "ordinary"), strict=True):
         known = total > 0
-        share = np.divide(freed, total, out=np.ones_like(freed), where=known)
+        share = np.divide(groups[f"freed_{side}_{i}"].to_numpy(dtype=float), total, out=np.ones_like(total), where=known)
         seen = np.divide(np.maximum(n - discount, 0), total[group], out=np.zeros_like(n), where=known[group])
         unit.append(np.log(seen + share[group] * shared))
         weight.append(np.log(share))
@@ -110,7 +116,7 @@ def _log_ratios(level, discount: float) -> tuple[np.ndarray, np.ndarray, np.ndar
     return keys[order], (unit[0] - unit[1])[order], parents, weight[0] - weight[1]
 
 
-def fit(documents: DataFrame, labels: DataFrame, rows_per_class: int = 2500, calibration_rows: int = 4000, max_units: int = 500_000, discounts=(5.0, 2.0, 1.0), evidences=(3.0, 2.0, 1.0)) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, rows_per_class: int = 2500, calibration_rows: int = 4000, discounts=(5.0, 2.0, 1.0), evidences=(3.0, 2.0, 1.0)) -> Model:
     """Learn from labels that are not held out; a fifth of all labels sets the threshold and picks discount and evidence."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic")).where(~is_held_out())
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
@@ -119,17 +125,25 @@ def fit(documents: DataFrame, labels: DataFrame, rows_per_class: int = 2500, cal
     chosen = train[0].unionByName(train[1]).withColumn("fits", F.lit(True)).unionByName(known.where(fold == 4).orderBy(*order).limit(calibration_rows).withColumn("fits", F.lit(False)))
     # at most 2 * rows_per_class + calibration_rows ids
     sample = materialise(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "toxicity-sample")
-    counted = (
+    counted = materialise(
         sample.where("fits").select("toxic", "text").mapInArrow(_units, UNIT_SCHEMA).distinct()
-        .groupBy("level", "unit", "parent").agg(F.count_if("toxic").alias("n_toxic"), F.count_if(~F.col("toxic")).alias("n_ordinary"))
-        .where("n_toxic + n_ordinary > 1")  # a unit met once never passes a discount
-        .orderBy(F.desc(F.col("n_toxic") + F.col("n_ordinary")), "level", "unit").limit(max_units)
+        .groupBy("level", "unit", "parent").agg(F.count_if("toxic").alias("n_toxic"), F.count_if(~F.col("toxic")).alias("n_ordinary")),
+        "toxicity-units",
     )
-    units = counted.toPandas()
+    # the rest has the log ratio of its parent's backoff weights (1 : 1 where no child of the parent passes)
+    passing = F.greatest("n_toxic", "n_ordinary") > min(discounts)
+    units = counted.where(passing).toPandas()
+    freed = [F.sum(F.least(F.col(f"n_{side}").cast("double"), F.lit(float(d)))).alias(f"freed_{side}_{i}") for i, d in enumerate(discounts) for side in ("toxic", "ordinary")]
+    groups = counted.groupBy("level", "parent").agg(F.sum("n_toxic").alias("toxic"), F.sum("n_ordinary").alias("ordinary"), F.max(passing).alias("passing"), *freed).where("passing").drop("passing").toPandas()
+    groups["parent_key"] = groups["parent"].to_numpy().view(np.uint64)
     best, checked = Model([], 0.0), sample.where("not fits").select("toxic", "text")
-    if not (units["n_toxic"].sum() and units["n_ordinary"].sum()):
+    met = counted.agg(F.max("n_toxic"), F.max("n_ordinary")).first()
+    if not (met[0] and met[1]):
         return best
-    models = [Model([_log_ratios(units[units["level"] == i], d) for i in range(len(LENGTHS))], e) for d in discounts for e in evidences]
+    models = []
+    for i, d in enumerate(discounts):
+        levels = [_log_ratios(units[units["level"] == level], groups[groups["level"] == level], d, i) for level in range(len(LENGTHS))]
+        models += [Model(levels, e) for e in evidences]
 
     def judged(batches):
         for batch in batches:

@@ -1,9 +1,12 @@
 import hashlib
+import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from plumbline.llm import exact_dedup, html_text, mixing, ngram_join, packing, quality, secrets, toxicity
@@ -206,3 +209,41 @@ def test_html_text(spark):
     found = {r["page_id"]: r["text"] for r in html_text.extract_text(df).collect()}
     assert found == {i: wanted for i, (_, wanted) in enumerate(PAGES)}
     assert html_text.extract_text(df.limit(0)).count() == 0
+
+
+def brute_ratios(sides, discount):
+    """Per level, unit and parent: log ratio of every unit met, by the plain Kneser-Ney formula."""
+    count, group = defaultdict(lambda: [set(), set()]), defaultdict(set)
+    for side, texts in enumerate(sides):
+        for text in texts:
+            words = text.split()
+            for i, word in enumerate(words):
+                for level, unit in enumerate((word[:4], word[:6], word)):
+                    parent = (None, word[:4], word[:6])[level]
+                    count[level, parent, unit][side].add(words[i - 1] if i else None)
+                    group[level, parent].add((level, parent, unit))
+    found = {}
+    for units in group.values():
+        n = {u: [len(x) for x in count[u]] for u in units}
+        total = [sum(x[side] for x in n.values()) for side in (0, 1)]
+        share = [sum(min(x[side], discount) for x in n.values()) / total[side] if total[side] else 1.0 for side in (0, 1)]
+        for u, x in n.items():
+            shared = 0.98 * sum(x) / sum(total)
+            p = [(max(x[side] - discount, 0) / total[side] if total[side] else 0) + share[side] * shared for side in (0, 1)]
+            found[u] = math.log(p[0] / p[1])
+    return found
+
+
+@pytest.mark.parametrize("discount", [1.0, 2.0])
+def test_toxicity_model_counts_units_met_once(spark, discount):
+    rng = random.Random(4)
+    word = lambda side: ("ugly", "nice")[side ^ (rng.random() < 0.2)] + rng.choice(["", "er", "est", "ering"]) if rng.random() < 0.5 else "".join(rng.choice("abc") for _ in range(rng.randint(2, 8)))
+    rows = [(i, " ".join(word(i % 2) for _ in range(12)), 1 - i % 2) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    fits = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 not in (0, 4)]
+    ratios = brute_ratios([[t for _, t, toxic in fits if toxic == side] for side in (1, 0)], discount)
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"), discounts=(discount,), evidences=(0.0,))
+    for _, text, _ in fits:
+        words = text.split()
+        wanted = sum(ratios[level, (None, w[:4], w[:6])[level], u] for w in words for level, u in enumerate((w[:4], w[:6], w))) / len(words)
+        assert model.evidence(pa.array([text]))[0] == pytest.approx(wanted, abs=1e-5)
