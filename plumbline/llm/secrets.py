@@ -5,8 +5,11 @@ token-efficiency test looks at every run of key characters of ``min_length`` or
 more: a byte-level BPE vocabulary needs few tokens for language and many for
 random strings, so a run with at most ``max_ratio`` characters per token is
 reported, unless it is a known digest (hexadecimal of a digest's length, a UUID)
-or an identifier (numbers, and words, humps or dotted names with a short number
-at the end).
+or made of identifiers (numbers, and words, humps or dotted names with a short
+number at the end). A run that does not pass as a whole is judged by its parts, so
+that words around a random string do not hide it: stretches of parts between
+separators that are no words pass by the same length and ratio. There, and in runs
+of identifiers, a part is a word by its letter case and a better ratio.
 
 A vectorised pass over the bytes finds the runs; only those, and texts with one
 of the assignment words, are looked at again. Whole texts are read.
@@ -40,6 +43,8 @@ MIN_RUN = 16
 DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})$")
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
 IDENTIFIER = re.compile(r"(?:\d+|(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[A-Za-z])?(?:[A-Z]?[a-z]{2,}|[A-Z]{2,})*\d{0,4})$")
+PART = re.compile(r"[^+/_.=-]+")
+KNOWN = re.compile(rf"(?<![0-9A-Za-z])(?:{DIGEST.pattern[:-1]}|{UUID.pattern[:-1]})(?![0-9A-Za-z])")
 SPANS = "array<struct<kind:string,start:long,end:long>>"
 
 
@@ -47,6 +52,42 @@ def _is_known(run: str) -> bool:
     return bool(DIGEST.match(run) or UUID.match(run) or all(IDENTIFIER.match(part) for part in re.split(r"[+/_.=-]+", run)))
 
 
+def _random_spans(run: str, encode, min_length: int, max_ratio: float) -> list[tuple[int, int]]:
+    """(start, end) of what the token-efficiency test finds in a run."""
+    poor = lambda text: len(text) >= min_length and len(text) <= max_ratio * len(encode(text))
+    if len(run) < min_length:
+        return []
+    if not _is_known(run) and poor(run):
+        return [(0, len(run))]
+    spans: list[tuple[int, int]] = []
+    held: list[tuple[int, int, bool]] = []  # start, end and whether it may end a stretch
+
+    def close() -> None:
+        while held and not held[0][2]:
+            held.pop(0)
+        while held and not held[-1][2]:
+            held.pop()
+        if held:
+            if poor(run[held[0][0] : held[-1][1]]):
+                spans.append((held[0][0], held[-1][1]))
+            else:
+                spans.extend((a, b) for a, b, _ in held if poor(run[a:b]))
+        held.clear()
+
+    at = 0
+    for known in [*KNOWN.finditer(run), None]:
+        for m in PART.finditer(run, at, known.start() if known else len(run)):
+            part = m[0]
+            named = bool(IDENTIFIER.match(part))
+            if named and (part.isdigit() or len(part) > max_ratio * len(encode(part))):
+                close()
+            else:
+                held.append((m.start(), m.end(), not named or len(part) >= min_length))
+        close()
+        at = known.end() if known else at
+    return spans
+
+
 def _runs(raw: np.ndarray, bounds: np.ndarray, least: int):
     """(row, text, first code point) of each run of key characters."""
     is_key = np.zeros(256, dtype=bool)
@@ -78,16 +119,15 @@ def _scanner(vocabulary: str, pattern: str, min_length: int, max_ratio: float):
                     spans = found[first_row + row]
                     spans += [(first + m.start(), 1, first + m.end()) for m in ACCESS.finditer(run)]
                     spans += [(first + m.start(), 2, first + m.end()) for m in HEX.finditer(run)]
-                    if len(run) >= min_length and not _is_known(run) and len(run) <= max_ratio * len(encode(run)):
-                        likely.append((first_row + row, run, first))
+                    likely += [(first_row + row, first + a, first + b) for a, b in _random_spans(run, encode, min_length, max_ratio)]
                 low = raw.tobytes().lower()
                 for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
                     if any(low.find(word, a, b) >= 0 for word in map(str.encode, ASSIGN_WORDS)):
                         text = raw[a:b].tobytes().decode()
                         found[first_row + i] += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
-                for row, run, first in likely:
-                    if all(end <= first or start >= first + len(run) for start, kind, end in found[row] if kind != 3):
-                        found[row].append((first, 3, first + len(run)))
+                for row, first, last in likely:
+                    if all(end <= first or start >= last for start, kind, end in found[row] if kind != 3):
+                        found[row].append((first, 3, last))
             rows = [[{"kind": KINDS[kind], "start": start, "end": end} for start, kind, end in sorted(spans)] for spans in found]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))], ["doc_id", "spans"])
 

@@ -247,3 +247,21 @@ def test_toxicity_model_counts_units_met_once(spark, discount):
         words = text.split()
         wanted = sum(ratios[level, (None, w[:4], w[:6])[level], u] for w in words for level, u in enumerate((w[:4], w[:6], w))) / len(words)
         assert model.evidence(pa.array([text]))[0] == pytest.approx(wanted, abs=1e-5)
+
+
+@pytest.mark.parametrize("alphabet,length", [("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 24), ("abcdefghijklmnopqrstuvwxyz", 32), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 32)])
+def test_secrets_beside_words_and_in_one_case(spark, alphabet, length):
+    rng = random.Random(8)
+    keys = ["".join(rng.choice(alphabet) for _ in range(length)) for _ in range(40)]
+    around = [("", ""), ("https.example.com/callback/", ""), ("config/production/database/connection_key=", ""), ("src/main/resources/", "/application.settings")]
+    texts = [f"é {a}{key}{b} end" for a, b in around for key in keys]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "random"] for r in secrets.scan_secrets(df, *packing.public_vocabulary()).collect()}
+    for i in range(0, len(texts), len(keys)):
+        assert sum(any(keys[j] in x for x in found[i + j]) for j in range(len(keys))) >= 0.9 * len(keys)
+
+
+def test_words_are_no_secrets(spark):
+    text = "getHttpServletRequestAttributeName some_long_identifier_name_here src/main/java/org/example/FooBar.java 2024-01-02-03-04-05-06-07 internationalization INTERNATIONALIZATION a.b.c.d.e.f.g.h.i.j.k.l.m"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert secrets.scan_secrets(df, *packing.public_vocabulary()).first()["spans"] == []
