@@ -15,9 +15,14 @@ Steps: tokenise each text once and write the ids (with the place in the task's
 own part of each queue); add up tokens per task and queue; a running sum over
 those few rows gives each part its place in the queue; then cut.
 
-Queues are the sources while there are at most ``max_queues`` (null is one of
-them), else that many hash classes of the source. The order in a queue is the
-order of the written parts. A window holds ``window_sequences`` sequences.
+Queues are the sources, however many (null is one of them). The totals of at most
+``max_queues`` go to every task; those of more are joined, and the places of the
+blocks that queues have in windows are sums over tables. Both ways give the same
+pieces. The order in a queue is the order of the written parts. A window holds
+``window_sequences`` sequences.
+
+Text that spells an added token of the tokenizer (``<|endoftext|>``) has that
+token's id, as the tokenizer's own default is.
 
 Nulls and edges: a null or empty text is the end token alone; a null source is a
 source; repeated rows are packed each; a text longer than a sequence or a window
@@ -28,7 +33,9 @@ ignored.
 from __future__ import annotations
 
 import base64
+import json
 from array import array
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -75,18 +82,33 @@ class PieceIds(dict):
             return self.ids(text)
 
 
-def load_encoder(vocabulary: str, pattern: str):
-    """The byte-level BPE of a ranks file."""
+def added_tokens(vocabulary: str) -> dict[str, int]:
+    """Text and id of the added tokens in the tokenizer file beside a ranks file."""
+    file = Path(vocabulary).with_suffix(".json")
+    found = json.loads(file.read_text(encoding="utf-8"))["added_tokens"] if file.exists() else []
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or " " in t["content"] for t in found):
+        raise ValueError("only added tokens that are matched as they stand")
+    return {t["content"]: t["id"] for t in found}
+
+
+def load_encoder(vocabulary: str, pattern: str, added: dict[str, int] | None = None):
+    """The byte-level BPE of a ranks file; texts are split at added tokens first."""
     import tiktoken
 
     with open(vocabulary, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding(vocabulary, pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, max(ranks.values())
+    encoding = tiktoken.Encoding(vocabulary, pat_str=pattern, mergeable_ranks=ranks, special_tokens=added or {})
+    largest = max([*ranks.values(), *(added or {}).values()])
+    if not added:
+        return encoding.encode_ordinary, largest
+    return lambda text: encoding.encode(text, allowed_special="all"), largest
 
 
 def _tokenised(vocabulary: str, pattern: str, end: int, pieces_in_memory: int):
     def run(batches):
-        encode, largest = load_encoder(vocabulary, pattern)
+        added = added_tokens(vocabulary)
+        encode, _ = load_encoder(vocabulary, pattern)
+        encode_marked, largest = load_encoder(vocabulary, pattern, added)
         code = "H" if max(largest, end) < 1 << 16 else "I"
         cache, closing, width = PieceIds(encode, code, pieces_in_memory), array(code, [end]).tobytes(), array(code).itemsize
         part = TaskContext.get().partitionId() << 32
@@ -94,7 +116,7 @@ def _tokenised(vocabulary: str, pattern: str, end: int, pieces_in_memory: int):
             texts = batch.column("text")
             for row in range(0, len(texts), 1000):
                 queues = batch.column("queue").slice(row, 1000)
-                ids = [cache.text_ids(text or "") + closing for text in texts.slice(row, 1000).to_pylist()]
+                ids = [(array(code, encode_marked(text)).tobytes() if text and any(x in text for x in added) else cache.text_ids(text or "")) + closing for text in texts.slice(row, 1000).to_pylist()]
                 counts = [len(x) // width for x in ids]
                 before, place = {}, []
                 for queue, n in zip(queues.to_pylist(), counts, strict=True):
@@ -161,20 +183,103 @@ def _cut(totals: dict, window: int, sequence: int):
     return run
 
 
+def _blocks(total: int, window: int):
+    """Per queue: the windows that serve it, tokens served before and in each."""
+
+    def run(batches):
+        for batch in batches:
+            out = ([], [], [], [])
+            for queue, n in zip(batch.column("queue").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                at = 0
+                while at < n:
+                    w = ((at + 1) * total - 1) // (window * n)
+                    after = min(n, (w + 1) * window * n // total)
+                    for column, value in zip(out, (queue, w, at, after - at), strict=True):
+                        column.append(value)
+                    at = after
+                    if len(out[0]) >= 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), *(pa.array(x, pa.int64()) for x in out[1:])], ["queue", "w", "before", "n"])
+                        out = ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), *(pa.array(x, pa.int64()) for x in out[1:])], ["queue", "w", "before", "n"])
+
+    return run
+
+
+def _by_window(total: int, window: int):
+    """Documents cut where windows end."""
+    names = ["doc_id", "queue", "w", "first", "start", "doc_tokens", "ids"]
+
+    def run(batches):
+        for whole in batches:
+            for row in range(0, whole.num_rows, 1000):
+                batch = whole.slice(row, 1000)
+                out = ([], [], [], [], [], [], [])
+                for doc_id, queue, of, first, n, width, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "queue", "queue_tokens", "first", "doc_tokens", "width", "ids")), strict=True):
+                    at = first
+                    while at < first + n:
+                        w = ((at + 1) * total - 1) // (window * of)
+                        upto = min(first + n, of, (w + 1) * window * of // total)
+                        part = np.frombuffer(ids, dtype="<u2" if width == 2 else "<u4")[at - first : upto - first].astype("<u4").tobytes()
+                        for column, value in zip(out, (doc_id, queue, w, at, at - first, n, part), strict=True):
+                            column.append(value)
+                        at = upto
+                kinds = (pa.int64(), pa.string(), *[pa.int64()] * 4, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names)
+
+    return run
+
+
+def _by_sequence(sequence: int):
+    """Pieces of one window cut where sequences end."""
+    names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
+
+    def run(batches):
+        for batch in batches:
+            out = ([], [], [], [], [], [], [])
+            for doc_id, start, n, place, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens", "place", "ids")), strict=True):
+                at = 0
+                while at < len(ids) // 4:
+                    k = min(len(ids) // 4 - at, sequence - (place + at) % sequence)
+                    for column, value in zip(out, (doc_id, start + at, k, n, (place + at) // sequence, (place + at) % sequence, ids[4 * at : 4 * (at + k)]), strict=True):
+                        column.append(value)
+                    at += k
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out[:-1]] + [pa.array(out[-1], pa.binary())], names)
+
+    return run
+
+
+def _cut_by_joins(placed: DataFrame, totals: DataFrame, window: int, sequence: int) -> DataFrame:
+    """What _cut does, with the totals of any number of queues in a table (queue, n)."""
+    total = totals.agg(F.sum("n")).first()[0]
+    blocks = materialise(totals.mapInArrow(_blocks(total, window), "queue string, w long, before long, n long"), "packing-blocks")
+    sums = blocks.groupBy(F.col("w").alias("_w")).agg(F.sum("n").alias("sum"))  # one row a window
+    sums = sums.select("_w", (F.sum("sum").over(Window.orderBy("_w")) - F.col("sum")).alias("base"))
+    within = F.sum("n").over(Window.partitionBy("w").orderBy(F.col("queue").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")  # at most a window's tokens
+    blocks = blocks.withColumn("within", within).join(sums, F.col("w") == F.col("_w")).select(F.col("queue").alias("q"), F.col("w").alias("at_w"), (F.col("base") + F.col("within") - F.col("before")).alias("shift"))
+    cut = placed.join(totals.select(F.col("queue").alias("q"), F.col("n").alias("queue_tokens")), F.col("queue").eqNullSafe(F.col("q"))).drop("q")
+    cut = cut.mapInArrow(_by_window(total, window), "doc_id long, queue string, w long, first long, start long, doc_tokens long, ids binary")
+    cut = cut.join(blocks, F.col("queue").eqNullSafe(F.col("q")) & (F.col("w") == F.col("at_w"))).withColumn("place", F.col("shift") + F.col("first"))
+    return cut.select("doc_id", "start", "doc_tokens", "place", "ids").mapInArrow(_by_sequence(sequence), PIECES)
+
+
+PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
+
+
 def pack(documents: DataFrame, vocabulary: str, pattern: str, sequence: int = SEQUENCE, end: int = END, window_sequences: int = 64, max_queues: int = 1024, pieces_in_memory: int = 150_000) -> DataFrame:
     """Pieces: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit)."""
     queue = F.col("source").cast("string")
-    if documents.select(queue).distinct().limit(max_queues + 1).count() > max_queues:
-        queue = F.pmod(F.xxhash64(queue), F.lit(max_queues)).cast("string")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), queue.alias("queue"), F.col("text").cast("string").alias("text"))
     tokens = materialise(texts.mapInArrow(_tokenised(vocabulary, pattern, end, pieces_in_memory), "doc_id long, queue string, part long, place long, doc_tokens long, width int, ids binary"), "packing-ids")
     parts = tokens.groupBy("queue", "part").agg(F.sum("doc_tokens").alias("n"))
     parts = materialise(parts.withColumn("base", F.sum("n").over(Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))), "packing-parts")
-    totals = {r["queue"]: r["n"] for r in parts.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # max_queues rows and null at most
-    totals = dict(sorted(totals.items(), key=lambda x: (x[0] is None, x[0] or "")))
+    sums = parts.groupBy("queue").agg(F.sum("n").alias("n"))
+    totals = {r["queue"]: r["n"] for r in sums.limit(max_queues + 1).collect()}
     placed = tokens.join(parts.select(F.col("queue").alias("q"), F.col("part").alias("p"), F.coalesce("base", F.lit(0)).alias("base")), F.col("queue").eqNullSafe(F.col("q")) & (F.col("part") == F.col("p")))
     placed = placed.select("doc_id", "queue", (F.col("base") + F.col("place")).alias("first"), "doc_tokens", "width", "ids")
-    return placed.mapInArrow(_cut(totals, window_sequences * sequence, sequence), "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    if len(totals) > max_queues:
+        return _cut_by_joins(placed, materialise(sums, "packing-totals"), window_sequences * sequence, sequence)
+    totals = dict(sorted(totals.items(), key=lambda x: (x[0] is None, x[0] or "")))
+    return placed.mapInArrow(_cut(totals, window_sequences * sequence, sequence), PIECES)
 
 
 def public_vocabulary() -> tuple[str, str]:

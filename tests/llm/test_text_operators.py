@@ -265,3 +265,22 @@ def test_words_are_no_secrets(spark):
     text = "getHttpServletRequestAttributeName some_long_identifier_name_here src/main/java/org/example/FooBar.java 2024-01-02-03-04-05-06-07 internationalization INTERNATIONALIZATION a.b.c.d.e.f.g.h.i.j.k.l.m"
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert secrets.scan_secrets(df, *packing.public_vocabulary()).first()["spans"] == []
+
+
+def test_packing_ids_of_added_tokens(spark):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y z", "a  <|endoftext|>\n b", "no <|endof text|> here", "q \n<|endoftext|>  r s"]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    pieces = collected(packing.pack(df, *packing.public_vocabulary()))
+    found = {p["doc_id"]: [int.from_bytes(p["ids"][i : i + 4], "little") for i in range(0, len(p["ids"]), 4)] for p in pieces}
+    assert found == {i: [*exact.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+
+
+def test_packing_of_many_sources(spark, documents):
+    pieces = lambda df, **options: sorted((*(-1 if v is None else v for v in list(p.values())[:6]), bytes(p["ids"])) for p in collected(packing.pack(df, *packing.public_vocabulary(), sequence=16, window_sequences=4, **options)))
+    many = spark.createDataFrame([(i, "word " * (1 + i % 7), f"é{i % 40}" if i % 11 else None) for i in range(300)], "doc_id long, text string, source string")
+    for df in (documents, many):
+        assert pieces(df, max_queues=2) == pieces(df)
