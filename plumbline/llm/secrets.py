@@ -42,7 +42,8 @@ RUN = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 MIN_RUN = 16
 DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})$")
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
-IDENTIFIER = re.compile(r"(?:\d+|(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[A-Za-z])?(?:[A-Z]?[a-z]{2,}|[A-Z]{2,})*\d{0,4})$")
+#: Digits; or one letter, then humps and capitals of two letters or more, then up to four digits. Atomic, so that a long run costs one pass.
+IDENTIFIER = re.compile(r"(?>\d+\Z|[A-Z]\d{0,4}\Z|(?:[a-z](?![a-z]))?+(?>[A-Z]++[a-z]{2,}+|[a-z]{2,}+|[A-Z]{2,}+)*+\d{0,4}\Z)")
 PART = re.compile(r"[^+/_.=-]+")
 KNOWN = re.compile(rf"(?<![0-9A-Za-z])(?:{DIGEST.pattern[:-1]}|{UUID.pattern[:-1]})(?![0-9A-Za-z])")
 SPANS = "array<struct<kind:string,start:long,end:long>>"

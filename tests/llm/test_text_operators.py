@@ -284,3 +284,77 @@ def test_packing_of_many_sources(spark, documents):
     many = spark.createDataFrame([(i, "word " * (1 + i % 7), f"é{i % 40}" if i % 11 else None) for i in range(300)], "doc_id long, text string, source string")
     for df in (documents, many):
         assert pieces(df, max_queues=2) == pieces(df)
+
+
+def test_secret_scan_of_long_runs_takes_one_pass(spark):
+    import time
+
+    runs = ["a" * 100_000 + "12345", "aB" * 50_000 + "12345", "Ab" * 50_000 + "-", "x" * 30 + "12345 " * 3, "=-" * 50_000, "a1" * 50_000]
+    for run in runs:
+        began = time.perf_counter()
+        secrets._is_known(run)
+        for part in secrets.PART.findall(run):
+            secrets.IDENTIFIER.match(part)
+        assert time.perf_counter() - began < 1
+    encode, _ = packing.load_encoder(*packing.public_vocabulary())
+    for run in runs[:4]:
+        began = time.perf_counter()
+        secrets._random_spans(run, encode, 20, 2.0)
+        assert time.perf_counter() - began < 1
+    df = spark.createDataFrame(list(enumerate(runs)), "doc_id long, text string")
+    assert secrets.scan_secrets(df, *packing.public_vocabulary()).count() == len(runs)
+
+
+def plain_random_spans(text, encode, min_length=20, max_ratio=2.0):
+    """The token-efficiency test by its description, run by run and part by part."""
+    word = lambda part: bool(re.fullmatch(r"(?:\d+|(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[A-Za-z])?(?:[A-Z]?[a-z]{2,}|[A-Z]{2,})*\d{0,4})", part))
+    poor = lambda x: len(x) >= min_length and len(x) / len(encode(x)) <= max_ratio
+    digest = lambda x: bool(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", x) or re.fullmatch("[0-9a-fA-F]+", x) and len(x) in (32, 40, 56, 64, 96, 128))
+    spans = []
+    for run in re.finditer(r"[A-Za-z0-9+/_.=-]+", text):
+        parts = [(m.start() + run.start(), m.end() + run.start()) for m in re.finditer(r"[^+/_.=-]+", run[0])]
+        named = [word(text[a:b]) for a, b in parts]
+        if len(run[0]) < min_length:
+            continue
+        if not digest(run[0]) and not all(named) and poor(run[0]):
+            spans.append(run.span())
+            continue
+        held = []
+        for (a, b), is_word in [*zip(parts, named, strict=True), ((0, 0), True)]:
+            x = text[a:b]
+            if x and not digest(x) and (not is_word or not x.isdigit() and len(x) / len(encode(x)) <= max_ratio):
+                held.append((a, b, not is_word or b - a >= min_length))
+                continue
+            while held and not held[0][2]:
+                del held[0]
+            while held and not held[-1][2]:
+                del held[-1]
+            if held and poor(text[held[0][0] : held[-1][1]]):
+                spans.append((held[0][0], held[-1][1]))
+            else:
+                spans += [(a, b) for a, b, _ in held if poor(text[a:b])]
+            held = []
+    return spans
+
+
+def test_random_spans_against_plain_scan(spark):
+    rng = random.Random(12)
+    encode, _ = packing.load_encoder(*packing.public_vocabulary())
+    key = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    kinds = [
+        lambda: rng.choice(["config", "HTTPServer", "fooBar12", "x", "2024", "internal", "v2", "README"]),
+        lambda: key("abcdefghijklmnopqrstuvwxyz", rng.randint(1, 30)),
+        lambda: key("ABCDEFGHJKMNPQRSTUVWXYZabcdefghkmnpqrstuvwxyz23456789", rng.randint(5, 40)),
+        lambda: key("0123456789abcdef", rng.choice([31, 32, 40, 41, 64])),
+        lambda: key("QWRTZPSDFGHKLXCVBNM", rng.randint(3, 30)),
+    ]
+    texts = [" ".join("".join(rng.choice(kinds)() + rng.choice("+/_.=-") for _ in range(rng.randint(1, 5)))[: rng.choice([None, -1])] for _ in range(30)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    n = 0
+    for r in secrets.scan_secrets(df, *packing.public_vocabulary()).collect():
+        text = texts[r["doc_id"]]
+        base = [(s["start"], s["end"]) for s in r["spans"] if s["kind"] != "random"]
+        wanted = [(a, b) for a, b in plain_random_spans(text, encode) if all(d <= a or c >= b for c, d in base)]
+        assert [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "random"] == wanted
+        n += len(wanted)
+    assert n > 300
