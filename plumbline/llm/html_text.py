@@ -1,32 +1,41 @@
 """Main text of web pages by tag-path ratios.
 
 A lenient pass over the markup yields the page's text blocks, each with its
-root-to-leaf tag path. Per path the mean text length and the mean punctuation of
-its blocks are fused into one ratio, and the ratios are smoothed over the
-neighbouring blocks of the page (smoothing lowers a ratio that stands out, and
-raises none). Blocks whose ratio reaches ``share`` of the page's mean are content
-seeds. Paths through elements that carry no article
-text (navigation, header, footer, aside, forms, scripts, styles, hidden elements,
-and elements whose class, id or role names an advert, notice, sidebar or reader
-comments) have ratio 0 and are never content. The content node is the article or
-main element with the greatest sum of ratios, else the lowest element that holds
-all seeds; all of its remaining blocks are the text, in page order.
-
-Blocks are decoded, their white space becomes one space, and they are joined by
-one line feed; nothing else is dropped or shortened. A line break tag is white
-space.
-
-Nulls and edges: a null, empty or text-free page has an empty text; unclosed,
-misnested and truncated markup is read as far as it goes; repeated rows are read
-each. Columns besides page_id, url and html are ignored.
+root-to-leaf tag path (tags of block elements with their class; inline elements
+are no steps). Then, page by page:
+
+1. *Aggregate.* Each path has the number, length and punctuation of its blocks; its
+   raw ratio is the product of mean length and mean punctuation (plus one).
+   Paths through elements that are listed as not carrying article text (navigation,
+   header, footer, aside, or a class, id or role that names an advert, notice,
+   sidebar or reader comments) have their raw ratio multiplied by ``listed``.
+2. *Smooth.* Paragraphs, headings, lists and tables are steps within a container.
+   A container has the mean raw ratio of its paths, by length, and is raised to
+   what the subtrees have that it belongs to: by all of it below an article or main
+   element or one without listed parts, else by the share of the path in common.
+   What all paths of the page have in common counts for nothing.
+3. *Fuse.* The ratio of a path is that of its container, or the mean of both if its
+   own is greater.
+4. *Threshold.* The paths whose ratio reaches ``share`` of the page's mean, by
+   length, are content, and all their blocks are the text, in page order.
+
+Scripts, styles, forms and other elements that hold no text are not read. Blocks
+are decoded, their white space becomes one space, and they are joined by one line
+feed; nothing else is dropped or shortened. A line break tag is white space. Time
+and memory are of the order of the page, however deep its elements are nested.
+
+Nulls and edges: a null, empty or text-free page has an empty text, as has one whose
+text is all listed; unclosed, misnested and truncated markup is read as far as it
+goes; parts with equal ratios, such as two articles, all stay; repeated rows are
+read each. Columns besides page_id, url and html are ignored.
 """
 
 from __future__ import annotations
 
 import html
-import math
 import re
-from collections import defaultdict
+from collections import Counter
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,7 +48,9 @@ ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-NO_TEXT = frozenset("head nav header footer aside form script style noscript iframe template svg canvas object audio video button select option textarea input dialog menu title math".split())
+#: Elements that hold no text of the page, and elements that are parts around an article.
+NO_TEXT = frozenset("head form script style noscript iframe template svg canvas object audio video button select option textarea input dialog title math".split())
+AROUND = frozenset("nav header footer aside menu".split())
 #: What an element with such a word in its class, id or role is not part of the article.
 NO_ARTICLE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar nav navbar navigation menu breadcrumb breadcrumbs header footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login comment comments disqus replies respond related recommended share sharing social widget toolbar pagination pager copyright complementary contentinfo search".split()
@@ -47,40 +58,67 @@ NO_ARTICLE = frozenset(
 #: Names such as no-sidebar or has-comments tell what a page holds, not what the element is.
 ABOUT_OTHERS = re.compile(r"\b(?:no|has|with|without)[-_][a-z0-9_-]+")
 OUTER = frozenset("html body article main".split())
+#: Steps within a container.
+FLOW = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table caption thead tbody tfoot tr td th figure figcaption details summary".split())
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？]")
+PUNCTUATION = re.compile(r"""[.,;:!?…](?=[\s"')\]”’»]|\Z)|[。、，；：！？]""")
 
 
-def _barred(tag: str, attributes: str) -> bool:
-    if tag in NO_TEXT:
-        return True
-    if not attributes or tag in OUTER:
-        return False
-    for name, *values in ATTRIBUTE.findall(attributes):
+def _listed(tag: str, attributes: str) -> tuple[bool, bool, str]:
+    """Whether an element is listed as around the article, whether it is hidden, and its class."""
+    around, hidden, classes = tag in AROUND, False, ""
+    for name, *values in ATTRIBUTE.findall(attributes) if attributes and tag not in OUTER else ():
         name, value = name.lower(), "".join(values).lower()
+        if name == "class":
+            classes = value
         if name in ("class", "id", "role") and not NO_ARTICLE.isdisjoint(re.split(r"[^a-z0-9]+", ABOUT_OTHERS.sub("", value))):
-            return True
+            around = True
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
-
-
-def blocks(page: str) -> list[tuple[tuple[int, ...], tuple[str, ...], bool, str]]:
-    """(numbers and tags of the elements from the root, barred, text) of each text block."""
-    out: list[tuple[tuple[int, ...], tuple[str, ...], bool, str]] = []
-    stack: list[tuple[str, int, bool]] = []
+            hidden = True
+    return around, hidden, classes
+
+
+@dataclass
+class Paths:
+    """The tag paths of a page as a tree: parents come before children, the root is 0."""
+
+    parent: list[int] = field(default_factory=lambda: [0])
+    tag: list[str] = field(default_factory=lambda: [""])
+    listed: list[bool] = field(default_factory=lambda: [False])
+    known: dict[tuple[int, str, str, bool], int] = field(default_factory=dict)
+
+    def step(self, parent: int, tag: str, classes: str, listed: bool) -> int:
+        key = parent, tag, classes, listed
+        if key not in self.known:
+            self.known[key] = len(self.parent)
+            self.parent.append(parent)
+            self.tag.append(tag)
+            self.listed.append(listed or self.listed[parent])
+        return self.known[key]
+
+
+def blocks(page: str) -> tuple[Paths, list[tuple[int, str]]]:
+    """The tag paths of a page, and (path, text) of each of its text blocks."""
+    paths, out = Paths(), []
+    stack: list[tuple[str, int | None]] = []  # tag and path of the open elements; None: nothing in it is read
+    still_open: Counter[str] = Counter()
     words: list[str] = []
-    made = at = 0
+    at = 0
+
+    def path() -> int | None:
+        return stack[-1][1] if stack else 0
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(words)).split())
         words.clear()
-        if text:
-            out.append((tuple(n for _, n, _ in stack), tuple(t for t, _, _ in stack), bool(stack) and stack[-1][2], text))
+        if text and path() is not None:
+            out.append((path(), text))
 
     def pop(k: int) -> None:
-        if any(t not in INLINE or b != (k > 0 and stack[k - 1][2]) for t, _, b in stack[k:]):
+        below = stack[k - 1][1] if k else 0
+        if any(t not in INLINE or p != below for t, p in stack[k:]):
             flush()
+        still_open.subtract(t for t, _ in stack[k:])
         del stack[k:]
 
     while found := MARKUP.search(page, at):
@@ -91,9 +129,8 @@ def blocks(page: str) -> list[tuple[tuple[int, ...], tuple[str, ...], bool, str]
         if not tag:
             continue
         if found[1]:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if k is not None:
-                pop(k)
+            if still_open[tag] > 0:
+                pop(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
             elif tag not in INLINE:
                 flush()
             continue
@@ -114,62 +151,74 @@ def blocks(page: str) -> list[tuple[tuple[int, ...], tuple[str, ...], bool, str]
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in closing:
                     pop(i)
-                elif stack[i][0] not in INLINE and stack[i][0] != "p":
+                elif stack[i][0] not in INLINE and stack[i][0] != "p" or not any(still_open[t] > 0 for t in closing):
                     break
             flush()
-        inside = bool(stack) and stack[-1][2]
-        barred = inside or _barred(tag, found[3])
-        if barred and not inside:
+        inside = path()
+        around, hidden, classes = _listed(tag, found[3])
+        if inside is None or hidden or tag in NO_TEXT:
+            now = None
+        elif around or tag not in INLINE:
+            now = paths.step(inside, tag, classes, around)
+        else:
+            now = inside
+        if now != inside:
             flush()
-        made += 1
-        stack.append((tag, made, barred))
+        stack.append((tag, now))
+        still_open[tag] += 1
     words.append(page[at:])
     flush()
-    return out
-
-
-def _ratios(found: list[tuple[tuple[int, ...], tuple[str, ...], bool, str]]) -> list[float]:
-    """The fused and smoothed path ratio of each block."""
-    sums: dict[tuple[str, ...], list[int]] = defaultdict(lambda: [0, 0, 0])
-    paths = [tuple(t for t in tags if t not in INLINE) for _, tags, _, _ in found]
-    for path, (_, _, barred, text) in zip(paths, found, strict=True):
-        if not barred:
-            s = sums[path]
-            s[0] += 1
-            s[1] += len(text)
-            s[2] += len(PUNCTUATION.findall(text))
-    fused = [0.0 if block[2] else sums[path][1] / sums[path][0] * (1 + sums[path][2] / sums[path][0]) for path, block in zip(paths, found, strict=True)]
-    kernel = [math.exp(-d * d / 2) for d in (-1, 0, 1)]
-    padded = [0.0, *fused, 0.0]
-    return [min(x, sum(k * padded[i + j] for j, k in enumerate(kernel)) / sum(kernel)) for i, x in enumerate(fused)]
-
-
-def _content_node(kept: list[tuple[tuple[int, ...], tuple[str, ...], float]], share: float) -> int | None:
-    """The number of the element that holds the article; None: the whole page."""
-    by_root: dict[int, float] = defaultdict(float)
-    for numbers, tags, ratio in kept:
-        outer = next((numbers[tags.index(t)] for t in ("article", "main") if t in tags), None)
-        if outer is not None:
-            by_root[outer] += ratio
-    if by_root:
-        return max(by_root, key=lambda root: (by_root[root], -root))
-    mean = sum(ratio for _, _, ratio in kept) / len(kept)
-    seeds = [[n for n, t in zip(numbers, tags, strict=True) if t not in INLINE] for numbers, tags, ratio in kept if ratio >= share * mean]
-    if len(seeds) == 1:
-        seeds[0] = seeds[0][:-1]  # a lone block: what stands beside it belongs to it
-    common = seeds[0]
-    for numbers in seeds[1:]:
-        common = [a for a, b in zip(common, numbers, strict=False) if a == b]
-    return common[-1] if common else None
-
-
-def main_text(page: str, share: float = 0.5) -> str:
-    found = blocks(page)
-    kept = [(numbers, tags, ratio, text) for (numbers, tags, barred, text), ratio in zip(found, _ratios(found), strict=True) if not barred]
-    if not kept:
-        return ""
-    node = _content_node([x[:3] for x in kept], share)
-    return "\n".join(text for numbers, _, _, text in kept if node is None or node in numbers)
+    return paths, out
+
+
+def path_ratios(paths: Paths, found: list[tuple[int, str]], listed: float) -> dict[int, float]:
+    """The smoothed and fused ratio of each path that has blocks."""
+    size = len(paths.parent)
+    number, length, marks = Counter(p for p, _ in found), Counter(), Counter()
+    for p, text in found:
+        length[p] += len(text)
+        marks[p] += len(PUNCTUATION.findall(text))
+    raw = {p: length[p] / n * (1 + marks[p] / n) * (listed if paths.listed[p] else 1.0) for p, n in number.items()}
+    container = list(range(size))
+    for p in range(1, size):
+        if paths.tag[p] in FLOW:
+            container[p] = container[paths.parent[p]]
+    own, below = [[0.0, 0.0] for _ in range(size)], [[0.0, 0.0, 0.0] for _ in range(size)]
+    for p, r in raw.items():
+        weight = length[p]
+        for sums in (own[container[p]], below[container[p]]):
+            sums[0] += weight
+            sums[1] += weight * r
+        below[container[p]][2] += weight * (paths.listed[p] and listed < 1)
+    children: list[list[int]] = [[] for _ in range(size)]
+    for p in range(size - 1, 0, -1):
+        up = below[paths.parent[p]]
+        if below[p][0]:
+            children[paths.parent[p]].append(p)
+        for i, x in enumerate(below[p]):
+            up[i] += x
+    top = 0  # the lowest path that all containers have in common
+    while not own[top][0] and len(children[top]) == 1:
+        top = children[top][0]
+    smooth = {top: own[top][1] / own[top][0] if own[top][0] else 0.0}
+    todo = [(c, 1, 0.0, 0.0) for c in children[top]]
+    while todo:
+        p, depth, whole, shared = todo.pop()
+        weight, total, apart = below[p]
+        if paths.tag[p] in ("article", "main") or not apart:
+            whole = max(whole, total / weight)
+        shared = max(shared, depth * total / weight)
+        if own[p][0]:
+            smooth[p] = (own[p][1] / own[p][0] + max(whole, shared / depth)) / 2 if not (paths.listed[p] and listed < 1) else own[p][1] / own[p][0]
+        todo += [(c, depth + 1, whole, shared) for c in children[p]]
+    return {p: max(smooth[container[p]], (smooth[container[p]] + r) / 2) for p, r in raw.items()}
+
+
+def main_text(page: str, share: float = 0.4, listed: float = 0.0) -> str:
+    paths, found = blocks(page)
+    ratios = path_ratios(paths, found, listed)
+    mean = sum(len(text) * ratios[p] for p, text in found) / max(1, sum(len(text) for _, text in found))
+    return "\n".join(text for p, text in found if ratios[p] >= share * mean and ratios[p] > 0)
 
 
 def _extract(batches):

@@ -358,3 +358,66 @@ def test_random_spans_against_plain_scan(spark):
         assert [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "random"] == wanted
         n += len(wanted)
     assert n > 300
+
+
+def sentences(rng, n):
+    return " ".join("".join(rng.choice(["ta", "ri", "on", "é", "mel"]) for _ in range(rng.randint(1, 4))) + rng.choice(["", "", "", ",", "."]) for _ in range(n)) + "."
+
+
+def generated_page(rng, kind):
+    """Markup of a page around an article, and the article's blocks."""
+    blocks, inner = [], []
+
+    def block(tag, text):
+        blocks.append(text)
+        inner.append(f"<{tag}>{text}</{tag}>" if tag != "li" else f"<ul><li>{text}</ul>")
+
+    block("h1", sentences(rng, 5))
+    for i in range(rng.randint(3, 9)):
+        block("p", sentences(rng, rng.choice([2, 30, 80])))
+        if i % 3 == 1:
+            block(rng.choice(["h2", "li", "blockquote"]), sentences(rng, 3))
+        if i == 1:
+            inner.append('<div class="comments"><p>' + sentences(rng, 60) + "</p><p>" + sentences(rng, 90) + "</p></div>")
+        if i == 2:
+            inner.append("<aside>" + sentences(rng, 30) + '</aside><form><p>Name</p></form><script>if (a < b) "</p>"</script>')
+    opening, closing = {"article": ("<article>", "</article>"), "main": ("<main><div>", "</div></main>"), "div": ('<div class="text">', "</div>"), "wrapped": ('<div id="page"><div class="body">', '</div><div class="sidebar">' + sentences(rng, 20) + "</div></div>"), "bare": ("", "")}[kind]
+    around = ["<nav><ul>" + "".join(f"<li><a href=/{i}>{sentences(rng, 1)}</a>" for i in range(6)) + "</ul></nav>", f'<div class="ad">{sentences(rng, 12)}</div>', f"<footer>&copy; x.example.com {sentences(rng, 10)}</footer>"]
+    return f"<!DOCTYPE html><html><head><title>{sentences(rng, 4)}</title></head><body>{around[0]}{around[1]}{opening}{''.join(inner)}{closing}{around[2]}</body></html>", blocks
+
+
+@pytest.mark.parametrize("kind", ["article", "main", "div", "wrapped", "bare"])
+def test_html_text_of_generated_pages(kind):
+    rng = random.Random(len(kind))
+    for _ in range(60):
+        page, blocks = generated_page(rng, kind)
+        assert html_text.main_text(page) == "\n".join(blocks)
+
+
+def test_tag_path_ratios_decide(monkeypatch):
+    pages = [r[0] for r in duckdb.sql("select html from '/root/testdata/sf0.01/pages.parquet' where html is not null").fetchall()]
+    texts = [html_text.main_text(x) for x in pages]
+    # without any list of elements, the ratios alone find the same text in most pages
+    assert sum(html_text.main_text(x, listed=1.0) == text for x, text in zip(pages, texts, strict=True)) >= 0.7 * len(pages)
+    # and without the ratios nothing is found right
+    monkeypatch.setattr(html_text, "path_ratios", lambda paths, found, listed: {p: 1.0 for p, _ in found})
+    assert all(html_text.main_text(x) != text for x, text in zip(pages, texts, strict=True))
+
+
+def test_html_text_ties_and_all_listed():
+    text = "Some words, and more of them. So it goes."
+    assert html_text.main_text(f"<article><p>{text}</article><article><p>{text}</article><footer>x, y.</footer>") == f"{text}\n{text}"
+    assert html_text.main_text(f"<nav>{text}</nav><footer>{text}</footer><div hidden>{text}</div>") == ""
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 50_000, "<b>" * 50_000 + "<p>y</div>" * 2000, "<p>x, y." * 50_000, "<a><div>" * 20_000 + "</i>" * 50_000, "<ul><li>z" * 25_000])
+def test_html_text_of_deep_pages_is_bounded(page):
+    import time
+    import tracemalloc
+
+    tracemalloc.start()
+    began = time.perf_counter()
+    text = html_text.main_text(page)
+    took, peak = time.perf_counter() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert text.count("x") == page.count("x") and took < 30 and peak < 100 << 20
