@@ -33,7 +33,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.written = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialise wrote and that nothing reads any more."""
+    for found in tables:
+        at = found.sparkSession._jvm.org.apache.hadoop.fs.Path(found.written)
+        at.getFileSystem(found.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

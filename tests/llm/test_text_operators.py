@@ -421,3 +421,39 @@ def test_html_text_of_deep_pages_is_bounded(page):
     took, peak = time.perf_counter() - began, tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert text.count("x") == page.count("x") and took < 30 and peak < 100 << 20
+
+
+#: Names that the operators use themselves.
+CLASHING = ("_id", "id", "digest", "points", "row", "slot", "bucket", "size", "copies", "_source", "_size", "_words", "_copy", "_doc_id", "_key", "_log_importance", "rank", "u", "node", "component", "document")
+
+
+def with_clashing_columns(df):
+    """df with columns named like those of the operators, whose values tell the row that they belong to."""
+    from pyspark.sql import functions as F
+
+    own = F.concat_ws("|", F.col("doc_id"), F.col("text"))
+    return df.select("doc_id", "text", "source", *[F.concat(F.lit(f"{c}:"), own).alias(c) for c in CLASHING])
+
+
+def assert_rows_are_whole(found):
+    for r in found:
+        own = "|".join(str(x) for x in (r["doc_id"], r["text"]) if x is not None)
+        assert all(r[c] == f"{c}:{own}" for c in CLASHING)
+
+
+def test_exact_dedup_keeps_clashing_columns_and_odd_ids(spark, documents):
+    found = collected(exact_dedup.keep_one(with_clashing_columns(documents)))
+    assert_rows_are_whole(found)
+    wanted = {}
+    for r in documents.collect():
+        text = r["text"] or ""
+        key = re.sub(r"[\x20\x09-\x0D]", "", text)
+        wanted[key] = max(wanted.get(key, (-1, 0, None)), (len(text), -(1 << 70) if r["doc_id"] is None else -r["doc_id"], r["doc_id"]))
+    assert Counter(r["doc_id"] for r in found) == Counter(x[2] for x in wanted.values())
+    least, most = -(1 << 63), (1 << 63) - 1
+    odd = spark.createDataFrame([(most, "a b"), (least, "a b"), (None, "a b"), (None, "c"), (5, "a b "), (-3, "ab c"), (-2, "a bc"), (None, "abc ")], "doc_id long, text string")
+    got = {(r["doc_id"], r["text_sha256"][:4]): (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(odd).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()[:4]
+    assert got[most, sha("ab")] == got[least, sha("ab")] == got[None, sha("ab")] == (5, 4)
+    assert got[None, sha("c")] == (None, 1)
+    assert got[-3, sha("abc")] == got[-2, sha("abc")] == got[None, sha("abc")] == (-3, 3)
