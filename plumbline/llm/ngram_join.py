@@ -12,16 +12,24 @@ ASCII-lower-cased words; a shorter text is one shingle). Two documents link when
    l up to ``most_matches``. Linked sets share at least l tokens of both l-prefixes.
 3. Prefix tokens are counted exactly; a token that nobody shares is dropped. Each
    document's prefix is lengthened by its estimated number of candidates, and a
-   pair must share min(l, l') prefix tokens to become a candidate. A token that
-   more than ``hot`` documents have in their prefix makes no pairs: its documents
-   are chained to the smallest one.
+   pair must share min(l, l') prefix tokens to become a candidate. Pairs are made
+   for tokens that at most ``hot`` documents have in their prefix; the documents of
+   other tokens are candidates of each other without being listed as pairs.
 4. The components of this candidate graph are families; no link leaves one. Each
-   family is read with its whole texts and verified exactly by sparse set
-   products in groups of bounded size: a large family is dealt into blocks, and
-   every pair of blocks is a group of its own. Tasks emit stars, not pairs.
+   family is read with its whole texts and verified exactly by sparse set products
+   in groups of bounded size. A family of more than ``block_docs`` is dealt into
+   blocks; every block is verified with about ``pivots`` documents of the whole
+   family, which joins near copies of one text at a cost that is linear in their
+   number. What is then outside the greatest component of a family, and shares a
+   prefix token with another component, is compared with all that share such a
+   token, block by block. Two documents of one component need no comparison. Tasks
+   emit stars, not pairs.
 5. The components of the verified links are the result; copies follow the
    document that they collapsed to.
 
+Two sets are compared by the 64-bit hashes of their shingles (equal sets by 128 bits):
+links are exact up to collisions of these.
+
 Nulls and edges: a null or blank text has no shingle, links with nothing and is
 its own component; rows that repeat a doc_id are one document whose links are
 pooled (each row is returned with its own n_shingles); a null doc_id links with
@@ -93,8 +101,8 @@ def signatures(documents: DataFrame, size: int, percent: int, most_matches: int
     return materialise(documents.mapInArrow(_signatures(size, percent, most_matches, common[order], top["n"].to_numpy(dtype=np.int64)[order]), SIGNATURE), "ngram-signatures")
 
 
-def candidates(sets: DataFrame, percent: int, most_matches: int, hot: int) -> DataFrame:
-    """Edges (src, dst) whose components hold all links of sets (doc, n, tokens)."""
+def candidates(sets: DataFrame, percent: int, most_matches: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """Edges (src, dst) whose components hold all links of sets (doc, n, tokens), and the shared prefix tokens (token, doc, ...)."""
     tokens = sets.select("doc", "n", F.posexplode("tokens").alias("at", "token"))
     tokens = tokens.select("token", "doc", "n", F.greatest(F.lit(1), F.col("at") + 1 - F.expr(f"n - ({percent} * n + 99) div 100")).cast("int").alias("level"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("n_docs"), F.min("doc").alias("first")).where("n_docs > 1")
@@ -112,7 +120,7 @@ def candidates(sets: DataFrame, percent: int, most_matches: int, hot: int) -> Da
         " and greatest(a.level, b.level) <= least(a.matches, b.matches)), b -> struct(a.doc as src, b.doc as dst, least(a.matches, b.matches) as need))))"
     )
     pairs = held.where("size(docs) > 1").select(F.explode(F.expr(pair)).alias("p")).select("p.*")
-    return pairs.groupBy("src", "dst").agg(F.count("*").alias("hits"), F.first("need").alias("need")).where("hits >= need").select("src", "dst").unionByName(chained)
+    return pairs.groupBy("src", "dst").agg(F.count("*").alias("hits"), F.first("need").alias("need")).where("hits >= need").select("src", "dst").unionByName(chained), postings
 
 
 def links(sets: list[np.ndarray], percent: int, strip: int = 256, cells: int = 4_000_000):
@@ -170,28 +178,62 @@ def _verified(size: int, percent: int):
     return run
 
 
-def verify(documents: DataFrame, sets: DataFrame, families: DataFrame, size: int, percent: int, block_docs: int = 1000, block_shingles: int = 1_000_000) -> tuple[DataFrame, bool]:
-    """Stars (src, dst) of the verified links, and whether a family was dealt into blocks."""
-    member = families.join(sets.select("doc", "n"), F.col("node") == F.col("doc")).select("doc", "n", F.col("component").alias("family"))
-    blocks = member.groupBy("family").agg(F.count("*").alias("docs"), F.sum("n").alias("total")).select(F.col("family").alias("_family"), F.greatest(F.ceil(F.col("docs") / block_docs), F.ceil(F.col("total") / block_shingles)).cast("int").alias("blocks"))
-    blocks = materialise(blocks, "ngram-blocks")
-    dealt = member.join(blocks, F.col("family") == F.col("_family")).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    group = F.concat_ws("/", "family", F.least("block", "other"), F.greatest("block", "other"))
-    dealt = dealt.select("doc", group.alias("group"))
+def _stars(documents: DataFrame, dealt: DataFrame, size: int, percent: int) -> DataFrame:
+    """Stars (src, dst) of the verified links within each group, a part of a family; dealt: doc, family, parts."""
+    dealt = dealt.select("doc", F.explode("parts").alias("part"), "family").select("doc", F.concat_ws("/", "family", "part").alias("group"))
     texts = documents.where("doc_id is not null").join(dealt, F.col("doc_id") == F.col("doc")).select("group", "doc", "text")
-    found = texts.repartition("group").sortWithinPartitions("group").mapInArrow(_verified(size, percent), EDGE)
-    return materialise(found, "ngram-links"), not blocks.where("blocks > 1").isEmpty()
+    return materialise(texts.repartition("group").sortWithinPartitions("group").mapInArrow(_verified(size, percent), EDGE), "ngram-links")
+
 
+def _uniform(salt: str, doc: str = "doc"):
+    """A number in [0, 1) for a document."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(salt), F.col(doc)), 11) / float(1 << 53)
 
-def jaccard_components(documents: DataFrame, size: int = 5, percent: int = 80, most_matches: int = 4, hot: int = 64) -> DataFrame:
+
+def verify(documents: DataFrame, sets: DataFrame, families: DataFrame, postings: DataFrame, size: int, percent: int, block_docs: int = 300, block_shingles: int = 1_000_000, pivots: int = 48) -> tuple[DataFrame, bool]:
+    """Stars (src, dst) of the verified links, and whether a family was dealt into blocks."""
+    member = families.join(sets.select("doc", "n"), F.col("node") == F.col("doc")).select("doc", "n", F.col("component").alias("family"))
+    blocks = member.groupBy("family").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
+    blocks = blocks.withColumn("blocks", F.greatest(F.ceil(F.col("docs") / block_docs), F.ceil(F.col("total") / block_shingles)).cast("int"))
+    blocks = materialise(blocks.select(F.col("family").alias("_family"), "docs", "blocks"), "ngram-blocks")
+    member = materialise(member.join(blocks, F.col("family") == F.col("_family")).drop("_family"), "ngram-members")
+    # a document lies in its block; the pivots of a family, by hash, in all of its blocks
+    everywhere = (F.col("blocks") > 1) & (_uniform("pivot") < F.least(F.lit(pivots), F.col("docs") / F.col("blocks")) / F.col("docs"))
+    at = F.when(everywhere, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.floor(_uniform("block") * F.col("blocks")).cast("int")))
+    found = _stars(documents, member.select("doc", "family", at.alias("parts")), size, percent)
+    large = member.where("blocks > 1")
+    if large.isEmpty():
+        return found, False
+    joined = connected_components(found)
+    large = large.join(joined, F.col("doc") == F.col("node"), "left").select("doc", "n", "family", F.coalesce("component", "doc").alias("component"))
+    large = materialise(large, "ngram-large")
+    # tokens that documents of several components share, and the documents that have such a token
+    shared = postings.select("token", F.col("doc").alias("_doc")).join(large, F.col("_doc") == F.col("doc")).select("token", "doc", "component")
+    shared = materialise(shared, "ngram-shared")
+    open_ = shared.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select(F.col("token").alias("_token"))
+    open_ = shared.join(open_, F.col("token") == F.col("_token")).select(F.col("doc").alias("_doc")).distinct()
+    left = materialise(large.join(open_, F.col("doc") == F.col("_doc")).drop("_doc"), "ngram-open")
+    sizes = left.groupBy("family", "component").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
+    needed = lambda docs, total: F.greatest(F.lit(1), F.ceil(docs / block_docs), F.ceil(total / block_shingles)).cast("int")
+    greatest = F.max(F.struct("docs", "total", "component"))
+    sizes = sizes.groupBy(F.col("family").alias("_family")).agg(greatest.alias("most"), F.sum("docs").alias("docs"), F.sum("total").alias("total"))
+    sizes = sizes.select("_family", F.col("most.component").alias("most"), needed(F.col("docs"), F.col("total")).alias("holders"), needed(F.col("docs") - F.col("most.docs"), F.col("total") - F.col("most.total")).alias("askers"))
+    left = left.join(sizes, F.col("family") == F.col("_family")).withColumn("asks", F.col("component") != F.col("most"))
+    # all documents outside the greatest component meet all others: a group for each pair of a block of those that ask and a block of all
+    mine = F.when(F.col("asks"), F.transform(F.sequence(F.lit(0), F.col("holders") - 1), lambda i: F.concat_ws("/", F.floor(_uniform("ask") * F.col("askers")), i))).otherwise(F.array().cast("array<string>"))
+    held = F.transform(F.sequence(F.lit(0), F.col("askers") - 1), lambda i: F.concat_ws("/", i, F.floor(_uniform("hold") * F.col("holders"))))
+    dealt = left.select("doc", "family", F.array_union(mine, held).alias("parts"))
+    return found.unionByName(_stars(documents, dealt, size, percent)), True
+
+
+def jaccard_components(documents: DataFrame, size: int = 5, percent: int = 80, most_matches: int = 4, hot: int = 64, block_docs: int = 300, pivots: int = 48) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id."""
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = signatures(documents, size, percent, most_matches)
     known = rows.where("n > 0 and doc_id is not null")
     sets = materialise(known.groupBy("set_id", "n").agg(F.min(F.struct("doc_id", "tokens")).alias("x")).select("set_id", F.col("x.doc_id").alias("doc"), "n", F.col("x.tokens").alias("tokens")), "ngram-sets")
-    families = connected_components(candidates(sets, percent, most_matches, hot))
-    stars, dealt = verify(documents, sets, families, size, percent)
+    edges, postings = candidates(sets, percent, most_matches, hot)
+    stars, dealt = verify(documents, sets, connected_components(edges), postings, size, percent, block_docs=block_docs, pivots=pivots)
     copies = known.select("doc_id", "set_id").join(sets.select(F.col("set_id").alias("_set"), "doc"), F.col("set_id") == F.col("_set"))
     # rows that repeat a doc_id with other texts pool their links
     pooled = copies.where("doc_id <> doc").groupBy("doc_id").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least <> most")
@@ -210,6 +252,6 @@ def op10_ngram_join(spark, sf_dir: str) -> DataFrame:
 
 def keep_first(documents: DataFrame, **options) -> DataFrame:
     """The rows of documents that are the first of their group, or in none."""
-    stays = jaccard_components(documents, **options).where("doc_id = component_id").select(F.col("doc_id").alias("_doc_id")).distinct()
-    kept = documents.join(stays, F.col("doc_id").cast("long") == F.col("_doc_id"), "left_semi")
-    return kept.unionByName(documents.where(F.col("doc_id").cast("long").isNull()))
+    stays = jaccard_components(documents.select("doc_id", "text"), **options).where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
+    rows = documents.select(F.col("doc_id").cast("long").alias("id"), F.struct("*").alias("row"))
+    return rows.join(stays, "id", "left_semi").unionByName(rows.where("id is null")).select("row.*")

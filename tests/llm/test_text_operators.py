@@ -144,15 +144,31 @@ def test_ngram_join_against_brute_force(documents, nothing, size, percent, optio
         assert ngram_join.jaccard_components(nothing).count() == 0 and ngram_join.keep_first(nothing).count() == 0
 
 
-def test_ngram_join_deals_large_families_into_blocks(documents):
-    rows = ngram_join.signatures(documents.where("doc_id is not null").select("doc_id", "text"), 4, 85)
-    sets = rows.where("n > 0").selectExpr("doc_id as doc", "n", "set_id", "tokens").dropDuplicates(["set_id"])
-    families = ngram_join.connected_components(ngram_join.candidates(sets, 85, 4, 64))
-    whole, _ = ngram_join.verify(documents, sets, families, 4, 85)
-    blocks, dealt = ngram_join.verify(documents, sets, families, 4, 85, block_docs=7)
-    assert dealt
-    named = lambda edges: {tuple(r) for r in ngram_join.connected_components(edges).collect()}
-    assert named(whole) == named(blocks) and named(whole)
+def test_ngram_join_deals_large_families_into_blocks(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base, shared = [word() for _ in range(200)], [word() for _ in range(40)]
+    rows = []
+    for i in range(150):  # near copies of one text, some too far from the rest, in a chain and alone
+        words = list(base)
+        for at in rng.sample(range(200), rng.choice([0, 1, 2, 3, 4, 6, 9])):
+            words[at] = word()
+        rows.append((i, " ".join(words)))
+    for i in range(60):  # texts that share a passage, which is no reason to link
+        rows.append((1000 + i, " ".join([*shared, *(word() for _ in range(10))]) if i % 2 else " ".join([*base[:60], *(word() for _ in range(60))])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    label, _ = brute_components(rows, 4, 85)
+    assert len(set(label.values())) > 5
+    for options in ({}, {"block_docs": 20, "pivots": 3}, {"block_docs": 7, "pivots": 0, "hot": 4}, {"block_docs": 40, "pivots": 8, "hot": 2}):
+        found = ngram_join.jaccard_components(df, size=4, percent=85, **options)
+        assert {r["doc_id"]: r["component_id"] for r in found.collect()} == label
+
+
+def test_ngram_join_keeps_clashing_columns(documents):
+    found = collected(ngram_join.keep_first(with_clashing_columns(documents)))
+    assert_rows_are_whole(found)
+    label, _ = brute_components([(r["doc_id"], r["text"]) for r in documents.collect()], 5, 80)
+    assert {r["doc_id"] for r in found} == {*label.values(), None}
 
 
 def test_quality_and_toxicity_learn_and_keep_every_row(spark, documents, nothing):
