@@ -3,8 +3,9 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pytest
 
-from plumbline.llm import components, embedding_dedup, registry, warc
+from plumbline.llm import components, embedding_dedup, registry, vamana, warc
 from plumbline.llm.shared import fresh_path
 
 
@@ -52,7 +53,7 @@ def test_embedding_dedup_against_brute_force(spark):
     rows = vectors()
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").selectExpr("*", "1 as copies", "'x' as shard")
     wanted, label = brute_links(rows, 0.93)
-    for options in ({}, {"shard_rows": 40, "block_rows": 30}):
+    for options in ({}, {"shard_rows": 30, "block_rows": 60}):
         found = embedding_dedup.near_duplicates(df, **options).collect()
         assert len(found) == len(rows)
         assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in found if r["vec_id"] is not None)
@@ -74,9 +75,74 @@ def test_embedding_audit_is_not_met_by_copies(spark):
     x = np.array([r[1] for r in rows])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     wanted = dict(zip([r[0] for r in rows], ((x @ x.T >= 0.93).sum(axis=1) - 1).tolist(), strict=True))
-    # a search too narrow for links between different vectors, though copies alone give 39,800 links
-    found = embedding_dedup.near_duplicates(df, overlap=64, shard_rows=100, degree=1, beam=1).collect()
+    # beyond the greatest overlap all pairs are compared
+    found = embedding_dedup.near_duplicates(df, most_overlap=0).collect()
     assert {r["vec_id"]: r["n_links"] for r in found} == wanted
+    # copies alone give 39,800 links, yet a search that finds none of the 150 others is seen
+    named = [(1, one.tolist(), 0, True, 0)] + [(1, v, i, i % 2 == 0, 0 if i % 100 else 1) for i, v in enumerate(r[1] for r in rows[200:])]
+    named = spark.createDataFrame(named, "_label long, _embedding array<double>, rep long, asked boolean, others long")
+    assert embedding_dedup.audit(named, 0.93, 40) == pytest.approx(3 / 150)
+
+
+def test_embedding_dedup_of_many_vectors_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    label = np.repeat([0, 1, 2], [14_000, 5_000, 1_000])
+    x = rng.normal(size=(20_000, 32))
+    x[:1500] = x[0] + 0.12 * rng.normal(size=(1500, 32))  # a hot group of near copies
+    x[5000:5500] = x[5000] + 0.25 * rng.normal(size=(500, 32))  # and one too wide for a core
+    x[6000:6100] = x[0] + 0.33 * rng.normal(size=(100, 32))  # around the hot group
+    x[6100:9100:2] = x[6101:9101:2] + 0.15 * rng.normal(size=(1500, 32))  # pairs
+    x[14_000:14_300] = x[14_000] + 0.1 * rng.normal(size=(300, 32))
+    x[19_000] *= 1e-300
+    x[19_001] *= 1e300
+    ids = rng.permutation(20_000) * 3
+    df = spark.createDataFrame([(int(i), v.tolist(), int(k)) for i, v, k in zip(ids, x, label, strict=True)], "vec_id long, embedding array<double>, label int").repartition(6)
+    found = embedding_dedup.near_duplicates(df).toPandas().set_index("vec_id").loc[ids]
+    unit = x / np.abs(x).max(axis=1, keepdims=True)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    n, low = np.zeros(20_000, np.int64), np.arange(20_000)
+    src, dst = [], []
+    for k in range(3):
+        at = np.flatnonzero(label == k)
+        for row in range(0, len(at), 1000):
+            a, b = np.nonzero(unit[at[row : row + 1000]] @ unit[at].T >= 0.93)
+            n += np.bincount(at[a + row], minlength=20_000)
+            src.append(at[a + row])
+            dst.append(at[b])
+    n -= 1
+    nodes, root = components.roots(ids[np.concatenate(src)], ids[np.concatenate(dst)])
+    got = found["n_links"].to_numpy()
+    assert (got <= n).all() and got.sum() >= 0.99 * n.sum() and (got / np.maximum(n, 1))[n > 0].mean() >= 0.97
+    right = dict(zip(nodes.tolist(), root.tolist(), strict=True))
+    assert np.mean([c == right[i] for i, c in zip(ids.tolist(), found["component_id"].tolist(), strict=True)]) >= 0.99
+    assert (found["audit_recall"] >= 0.9).all() and (found["kept"] == (found["component_id"] == found.index)).all()
+
+
+def test_graph_search_finds_what_it_is_asked(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(1500, 24)).astype(np.float32)
+    x[:200] = x[0] + 0.1 * rng.normal(size=(200, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = vamana.build_graph(x)
+    assert (near < len(x)).all() and (near != np.arange(len(x))[:, None]).all() and ((near >= 0).sum(axis=1) <= 24).all()
+    has = near >= 0
+    best, (a, b) = vamana.search_graph(x, np.concatenate([[0], np.cumsum(has.sum(axis=1))]), near[has], x, 7, 16, 0.93)
+    assert (best[:, 0] == (x @ x.T).argmax(axis=1)).mean() > 0.9
+    true = x @ x.T >= 0.93
+    found = np.zeros(true.shape, dtype=bool)
+    found[a, b] = True
+    assert (found & true).sum() >= 0.9 * true.sum() and len(a) == found.sum()
+    for n in (0, 1, 2, 13, 30):
+        small = vamana.build_graph(x[300 : 300 + n])
+        assert small.shape == (n, 24) and (small < max(n, 1)).all()
+
+
+def test_embedding_rows_that_repeat_an_id(spark):
+    a, b = np.eye(16)[0], np.eye(16)[1]
+    rows = [(1, a, 0), (1, b, 0), (2, a + 0.01, 0), (3, b + 0.01, 0), (4, b + 0.02, 0), (9, a, 1), (None, a + 0.02, 0)]
+    df = spark.createDataFrame([(i, v.tolist(), k) for i, v, k in rows], "vec_id long, embedding array<double>, label int")
+    found = sorted(((r["vec_id"] or 0, r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(df).collect()))
+    assert found == [(0, 2, 1), (1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 2, 1), (9, 0, 9)]
 
 
 def pages():
