@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .shared import materialise, table
+from .wordhash import count_words
 
 WEIGHTS = (3, 1, 2)
 
@@ -39,7 +40,7 @@ WEIGHTS = (3, 1, 2)
 @F.arrow_udf(T.LongType())
 def word_count(texts: pa.Array) -> pa.Array:
     """Runs of other characters than space and \\t to \\r."""
-    return pa.array([0 if x is None else len(x.encode().split()) for x in texts.to_pylist()], pa.int64())
+    return pa.array(count_words(texts))
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, volume: float = 1.5, most_copies: int = 2) -> DataFrame:
@@ -100,16 +101,17 @@ def mix(documents: DataFrame, **options) -> DataFrame:
 def mix_documents(documents: DataFrame, **options) -> DataFrame:
     """The mixed corpus: the rows of documents, each as often as the mix takes it.
 
-    Rows of equal doc_id, source and size share their draw; their copies are the
-    rounded mean, so that a repeated row is not multiplied by the join.
+    Rows of equal doc_id, source and size share their draw; if the sample ends among
+    them, the copies that are left go to the first by a hash of the text.
     """
-    spark = documents.sparkSession
-    taken = mix(documents, **options).groupBy("doc_id", "source", "size").agg(F.round(F.avg("copies")).cast("int").alias("_copies"))
-    taken = taken.select(F.col("doc_id").alias("_doc_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_copies")
-    sized = documents.withColumn("_words", word_count(F.col("text").cast("string")))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
-    found = sized.join(taken, same).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return found.select(*[F.col(f"`{c}`") for c in documents.columns])
+    id_, source = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("of")
+    text = F.col("text").cast("string")
+    taken = mix(documents, **options).select(id_, source, "size", "copies").groupBy("id", "of", "size").agg(F.sum("copies").alias("total"), F.count("*").alias("rows"))
+    rows = documents.select(id_, source, word_count(text).alias("size"), F.xxhash64(text).alias("order"), F.struct("*").alias("document"))
+    # the window deals by the keys of the join, so that it needs no further exchange
+    found = rows.join(taken, ["id", "of", "size"]).withColumn("turn", F.row_number().over(Window.partitionBy("id", "of", "size").orderBy("order")))
+    copies = F.expr("total div rows + if(turn <= total % rows, 1, 0)")
+    return found.withColumn("copies", copies).where("copies > 0").select("document", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("document.*")
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:

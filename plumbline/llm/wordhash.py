@@ -101,6 +101,21 @@ def hash_prefixes(raw: np.ndarray, bounds: np.ndarray, lengths: tuple[int | None
     return found, np.searchsorted(starts, bounds).astype(np.int64)
 
 
+def count_words(texts: pa.Array, separators: bytes = BLANKS) -> np.ndarray:
+    """The number of words in each row."""
+    out = np.zeros(len(texts), dtype=np.int64)
+    is_word = np.ones(256, dtype=bool)
+    is_word[list(separators)] = False
+    for row, raw, bounds in text_chunks(texts):
+        inside = is_word[raw]
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        starts = bounds[:-1][bounds[:-1] < bounds[1:]]
+        first[starts] = inside[starts]
+        out[row : row + len(bounds) - 1] = np.diff(np.concatenate([[0], np.cumsum(first)])[bounds])
+    return out
+
+
 def shingles(words: np.ndarray, rows: np.ndarray, size: int) -> Iterator[np.ndarray]:
     """For each row, the sorted distinct hashes of its ``size``-word shingles; a shorter row is one shingle."""
     joined = words.copy()

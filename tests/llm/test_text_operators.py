@@ -473,3 +473,70 @@ def test_exact_dedup_keeps_clashing_columns_and_odd_ids(spark, documents):
     assert got[most, sha("ab")] == got[least, sha("ab")] == got[None, sha("ab")] == (5, 4)
     assert got[None, sha("c")] == (None, 1)
     assert got[-3, sha("abc")] == got[-2, sha("abc")] == got[None, sha("abc")] == (-3, 3)
+
+
+def test_mixing_keeps_clashing_columns_and_repeated_rows(spark, documents):
+    odd = documents.unionByName(documents.where("doc_id < 20")).unionByName(documents.where("doc_id < 3"))
+    found = collected(mixing.mix_documents(with_clashing_columns(odd)))
+    assert_rows_are_whole(found)
+    wanted = Counter()
+    for r in mixing.mix(odd).collect():
+        wanted[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    assert Counter((r["doc_id"], r["source"], len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))) for r in found) == +wanted
+
+
+@pytest.mark.parametrize("texts", [[], [None, "", " a  b", "a\n\tb \v c\x0c", "é ü", " "], ["x" * 10, " y" * 400_000, None, "z"]])
+def test_count_words(texts):
+    from plumbline.llm.wordhash import count_words
+
+    assert count_words(pa.array(texts, pa.string())).tolist() == [len(re.findall(r"[^\x20\x09-\x0D]+", x or "")) for x in texts]
+
+
+def test_quality_keeps_clashing_columns_and_takes_a_size(spark, documents):
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(60)], "doc_id long, quality int")
+    for size in (None, 0.25, 17):
+        found = collected(quality.select(with_clashing_columns(documents), labels, size))
+        assert_rows_are_whole(found)
+        if size:
+            k = round(0.25 * documents.count()) if size < 1 else size
+            assert k <= len(found) <= k + 4  # rows that repeat a doc_id and its text tie
+
+
+def test_gumbel_top_k_draws_by_weight(spark):
+    from pyspark.sql import functions as F
+
+    n, k = 8000, 9000
+    keys = spark.range(3 * n).select("id", (F.col("id") % 3).alias("w")).withColumn("key", F.col("w") + quality.gumbel(F.col("id")))
+    least = quality.kth_greatest(keys, "key", k)
+    drawn = {r["w"]: r["n"] / n for r in keys.where(F.col("key") >= least).groupBy("w").agg(F.count("*").alias("n")).collect()}
+    low, high = -20.0, 20.0
+    for _ in range(100):  # the cut at which the chances add up to k
+        cut = (low + high) / 2
+        low, high = (cut, high) if sum(1 - math.exp(-math.exp(w - cut)) for w in range(3)) * n > k else (low, cut)
+    for w in range(3):
+        assert drawn[w] == pytest.approx(1 - math.exp(-math.exp(w - cut)), abs=0.02)
+
+
+def test_log_ratios_against_brute_force(spark):
+    from plumbline.llm import wordhash
+
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["a", "bb", "c!", "dd,", "e"]) for _ in range(rng.randint(1, 12))) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    slots = 64
+    ratios, _ = quality.fit(df, labels, slots=slots)
+    one = lambda x: wordhash.hash_words(wordhash.np.frombuffer(x.encode(), dtype="u1"), wordhash.np.array([0, len(x)]))[0]
+    counts = [Counter(), Counter()]
+    for i, text in enumerate(texts):
+        tokens = re.findall(r"[a-z]+|[^a-z ]+", text)
+        grams = [int(one(t)[0]) % slots for t in tokens] + [slots + int(wordhash.pair_key(one(a), one(b))[0]) % slots if a != b else slots for a, b in zip(tokens, tokens[1:])]
+        counts[0].update(grams)
+        if i % 2 and zlib.crc32(str(i).encode()) % 5 not in (0, 4):
+            counts[1].update(grams)
+    for order in (0, slots):
+        raw, good = ({s: n for s, n in c.items() if order <= s < order + slots} for c in counts)
+        for s, n in raw.items():
+            share = n / sum(raw.values())
+            wanted = math.log((good.get(s, 0) + 10 * slots * share) / (sum(good.values()) + 10 * slots) / share)
+            assert ratios[s] / quality.UNIT == pytest.approx(wanted, abs=1e-5)
