@@ -5,8 +5,11 @@ are counted: one over the texts labelled good, one over all raw texts. A text's
 log importance is the sum, over its n-grams, of the log ratio of the two models;
 the target is smoothed with the raw model. A sample without replacement is drawn
 by Gumbel top-k: log importance plus Gumbel noise from a hash of doc_id, of which
-the k greatest stay. k is the number of texts whose log importance passes the cut
-that best tells the labels of a fold apart that the target model has not seen.
+the k greatest stay, so that of two texts the one with e times the importance is
+drawn e times as readily. ``size`` is k, or a share of the rows if it is below 1;
+without it, k is the number of texts whose log importance passes the cut that best
+tells the labels of a fold apart that the target model has not seen. As log
+importance is a sum over a whole text, noise decides among texts near the k-th only.
 
 Parameters: ``slots`` per n-gram order (the models are vectors of that size);
 ``label_rows`` bounds the labelled rows that are used, chosen by hash of doc_id.
@@ -151,27 +154,31 @@ def best_cut(scores: np.ndarray, good: np.ndarray) -> float | None:
 
 
 def score(documents: DataFrame, ratios: np.ndarray) -> DataFrame:
-    """documents with _log_importance and _key."""
-    scored = documents.withColumn("_log_importance", log_importance(F.col("text").cast("string"), ratios))
-    return scored.withColumn("_key", F.col("_log_importance") + gumbel(F.col("doc_id").cast("long")))
+    """doc_id, log_importance, gumbel_key and the whole row (document)."""
+    scored = documents.select(F.col("doc_id").cast("long").alias("doc_id"), log_importance(F.col("text").cast("string"), ratios).alias("log_importance"), F.struct("*").alias("document"))
+    return scored.withColumn("gumbel_key", F.col("log_importance") + gumbel(F.col("doc_id")))
 
 
-def resample(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, DataFrame, float]:
-    """The log ratios, the scores of all rows (doc_id, _log_importance, _key), and the k-th greatest key."""
+def resample(documents: DataFrame, labels: DataFrame, size: float | None = None) -> tuple[np.ndarray, DataFrame, float]:
+    """The log ratios, the scores of all rows (doc_id, log_importance, gumbel_key), and the k-th greatest key."""
     ratios, checked = fit(documents, labels)
-    scores = materialise(score(documents, ratios).select(F.col("doc_id").cast("long").alias("doc_id"), "_log_importance", "_key"), "quality-scores")
-    seen = scores.join(F.broadcast(checked.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id")).select("_log_importance", "quality").limit(100_000).toPandas()
-    cut = best_cut(seen["_log_importance"].to_numpy(dtype=float), seen["quality"].to_numpy() > 0)
-    k = scores.where(F.col("_log_importance") >= cut).count() if cut is not None else scores.count()
-    return ratios, scores, kth_greatest(scores, "_key", k)
+    scores = materialise(score(documents, ratios).drop("document"), "quality-scores")
+    if size is not None:
+        k = round(size * scores.count()) if size < 1 else int(size)
+    else:
+        seen = scores.join(F.broadcast(checked.withColumnRenamed("doc_id", "id")), F.col("doc_id") == F.col("id"))  # label_rows ids at most
+        seen = seen.groupBy("id", "quality").agg(F.min("log_importance").alias("x")).toPandas()
+        cut = best_cut(seen["x"].to_numpy(dtype=float), seen["quality"].to_numpy() > 0)
+        k = scores.count() if cut is None else scores.where(F.col("log_importance") >= cut).count()
+    return ratios, scores, kth_greatest(scores, "gumbel_key", k)
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
     _, scores, least = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return scores.select("doc_id", F.col("_log_importance").alias("log_importance"), F.col("_key").alias("gumbel_key"), (F.col("_key") >= least).alias("kept"))
+    return scores.withColumn("kept", F.col("gumbel_key") >= least)
 
 
-def select(documents: DataFrame, labels: DataFrame) -> DataFrame:
+def select(documents: DataFrame, labels: DataFrame, size: float | None = None) -> DataFrame:
     """The rows of documents that the sample keeps."""
-    ratios, _, least = resample(documents, labels)
-    return score(documents, ratios).where(F.col("_key") >= least).select(*[F.col(f"`{c}`") for c in documents.columns])
+    ratios, _, least = resample(documents, labels, size)
+    return score(documents, ratios).where(F.col("gumbel_key") >= least).select("document.*")
