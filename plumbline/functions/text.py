@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 def entropy(text: Column) -> Column:
     """Shannon entropy of the characters, in bits."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    n = F.size(chars)
-    bits = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda sum_, c: sum_ - (F.size(F.filter(chars, lambda x: x == c)) / n) * F.log2(F.size(F.filter(chars, lambda x: x == c)) / n))
-    return F.when(n > 0, bits).otherwise(0.0)
+    n = F.length(text)
+    chars = F.filter(F.array_distinct(F.split(text, "")), lambda c: c != "")
+    shares = F.transform(chars, lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / n)
+    return F.when(n > 0, F.aggregate(shares, F.lit(0.0), lambda sum_, p: sum_ - p * F.log2(p))).otherwise(0.0)
 
 
 def identifier_tokens(name: Column) -> Column:

@@ -122,6 +122,33 @@ def without_previews(findings: DataFrame, allowed: DataFrame) -> DataFrame:
     return findings.join(allowed.select(F.col("preview").alias("_allowed")).distinct(), (F.col("pillar") == "sensitive-data") & (F.col("preview") == F.col("_allowed")), "left_anti")
 
 
+def new_findings(findings: DataFrame, new: DataFrame | None, fallback: str = "none") -> DataFrame:
+    """What a gate takes as new: the rows named by ``new`` (ord); without a comparison none, or all if ``fallback`` is "all"."""
+    if new is None:
+        return findings if fallback == "all" else findings.limit(0)
+    return findings.join(new.select(F.col("ord").alias("_ord")), F.col("ord") == F.col("_ord"), "left_semi")
+
+
+def score_delta(current: DataFrame, base: DataFrame) -> DataFrame:
+    """Composite and pillar scores of two sets of findings: pillar (null for the composite), base, current, delta."""
+    def scores(findings: DataFrame, name: str) -> DataFrame:
+        pillars = pillar_scores(findings)
+        whole = composite(pillars).select(F.lit(None).cast("string").alias("pillar"), F.col("score").alias(name))
+        return pillars.select("pillar", F.col("score").alias(name)).unionByName(whole)
+
+    now, then = scores(current, "current"), scores(base, "base").withColumnRenamed("pillar", "_pillar")
+    both = now.join(then, F.col("pillar").eqNullSafe(F.col("_pillar")), "full_outer")  # a row per pillar
+    both = both.select(F.coalesce("pillar", "_pillar").alias("pillar"), F.coalesce("base", F.lit(100.0)).alias("base"), F.coalesce("current", F.lit(100.0)).alias("current"))
+    return both.withColumn("delta", F.round(F.col("current") - F.col("base"), 2))
+
+
+def in_scope(findings: DataFrame, project_rules: list[str], requested: DataFrame) -> DataFrame:
+    """Findings of rules that look at a whole project, only where they lie in a requested file; all others."""
+    wanted = requested.select(F.col("file").alias("_file")).distinct()
+    whole = F.col("rule_id").isin(*project_rules)
+    return findings.where(~whole).unionByName(findings.where(whole).join(wanted, F.col("file") == F.col("_file"), "left_semi"))
+
+
 def top_first(findings: DataFrame, by: list[str], k: int) -> DataFrame:
     """The k findings of each group with the greatest base penalty, then first."""
     w = Window.partitionBy(*by).orderBy(F.desc(penalty(F.col("severity"), F.col("confidence"))), "ord")

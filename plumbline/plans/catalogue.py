@@ -15,6 +15,7 @@ RULES = (
     ("sensitive-data.api-key-pattern", "sensitive-data", "warning", "high"),
     ("sensitive-data.aws-access-key", "sensitive-data", "warning", "high"),
     ("sensitive-data.database-url-password", "sensitive-data", "warning", "high"),
+    ("sensitive-data.gcp-service-account-key", "sensitive-data", "warning", "high"),
     ("sensitive-data.hardcoded-env-value", "sensitive-data", "warning", "medium"),
     ("sensitive-data.high-entropy-string", "sensitive-data", "warning", "medium"),
     ("sensitive-data.jwt-token", "sensitive-data", "warning", "medium"),
@@ -27,6 +28,9 @@ RULES = (
 )
 
 
+TIER = "v0.1"
+
+
 @dataclass(frozen=True)
 class Selection:
     """Which rules run: any include that names a rule, less every exclude."""
@@ -38,6 +42,12 @@ class Selection:
     without_rules: tuple[str, ...] = ()
     disabled: frozenset[str] = field(default_factory=frozenset)
 
+    def names(self) -> dict[str, tuple[str, str, str]]:
+        """Pillar, severity and confidence of the selected rules, while the plan is made."""
+        free = not (self.tiers or self.pillars or self.rules)
+        chosen = [x for x in RULES if free or TIER in self.tiers or x[1] in self.pillars or x[0] in self.rules]
+        return {r: (p, s, c) for r, p, s, c in chosen if p not in self.without_pillars and r not in self.without_rules and r not in self.disabled}
+
     def apply(self, rules: DataFrame) -> DataFrame:
         included = F.lit(not (self.tiers or self.pillars or self.rules))
         for column, names in (("tier", self.tiers), ("pillar", self.pillars), ("rule_id", self.rules)):
@@ -51,7 +61,7 @@ class Selection:
 
 
 def rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(r, p, "v0.1", s, c, True) for r, p, s, c in RULES], RULE_SCHEMA)
+    return spark.createDataFrame([(r, p, TIER, s, c, True) for r, p, s, c in RULES], RULE_SCHEMA)
 
 
 def suggestions(rules: DataFrame, name: str, most: int = 3) -> DataFrame:
@@ -59,7 +69,26 @@ def suggestions(rules: DataFrame, name: str, most: int = 3) -> DataFrame:
     return rules.select("rule_id", F.levenshtein("rule_id", F.lit(name)).alias("distance")).orderBy("distance", "rule_id").limit(most)
 
 
-def analyse(units: DataFrame, selection: Selection | None = None) -> DataFrame:
-    """Findings of the selected rules on units: file, line, rule_id, detector, preview, pillar, severity, confidence."""
-    chosen = (selection or Selection()).apply(rules(units.sparkSession))
-    return text.scan(units).join(F.broadcast(chosen.select("rule_id", "pillar", "severity", "confidence")), "rule_id")  # one row per rule of the catalogue
+def analyse(units: DataFrame, selection: Selection | None = None, max_lines: int = 1000) -> DataFrame:
+    """Findings of the selected rules on units: file, line, rule_id, detector, preview, pillar, severity, confidence.
+
+    Only detectors of selected rules are in the plan.
+    """
+    names = (selection or Selection()).names()
+    parts = []
+    if names.keys() & set(text.RULE_OF.values()):
+        parts.append(text.scan(units, set(names)))
+    if "sensitive-data.gcp-service-account-key" in names:
+        parts.append(text.service_account_keys(units))
+    whole = lambda rows, rule: rows.select("file", F.lit(1).alias("line"), F.lit(rule).alias("rule_id"), F.lit(None).cast("string").alias("detector"), F.lit(None).cast("string").alias("preview"))
+    if "size.file-length" in names:
+        parts.append(whole(text.file_length(units, max_lines), "size.file-length"))
+    if "docs.todo-density" in names:
+        parts.append(whole(text.todo_density(units), "docs.todo-density"))
+    if not parts:
+        parts.append(whole(units.limit(0), "none"))
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    value = lambda i: F.element_at(F.create_map(*[F.lit(x) for r, v in names.items() for x in (r, v[i])]), F.col("rule_id")) if names else F.lit(None).cast("string")
+    return found.withColumns({"pillar": value(0), "severity": value(1), "confidence": value(2)})

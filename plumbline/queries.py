@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import entropy, fingerprint, identifier_tokens, matches_path, path_regex, stable_identity
+from plumbline.functions.scores import threshold_severity
+from plumbline.functions.text import entropy, fingerprint, identifier_tokens, line_of, matches_path, path_regex, stable_identity
 from plumbline.operators import measures, reconcile, regions, scoring
 from plumbline.plans import catalogue
 from plumbline.rules import code, manifests, text
 from plumbline.sinks import reports
 from plumbline.sources import files, tables
+from plumbline.sources.staging import fresh_folder, staged
+from plumbline.streaming import incremental
 from plumbline.sources.tables import ACCEPTED, BASE, CONFIGS_SQL, CURRENT, DECLARATIONS_SQL, HISTORY_SQL, MUTANTS_SQL, RANGES_SQL, findings_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,10 +34,15 @@ def query(sql: str | None = None):
 
 
 def current(spark, sf):
+    """All findings; what is compared with a base, a baseline or changed lines is a part of them."""
+    return tables.findings(spark, sf)
+
+
+def compared(spark, sf):
     return tables.findings(spark, sf, CURRENT)
 
 
-CUR, OLD, ACC = findings_sql(CURRENT), findings_sql(BASE), findings_sql(ACCEPTED)
+CUR, NOW, OLD, ACC = findings_sql(), findings_sql(CURRENT), findings_sql(BASE), findings_sql(ACCEPTED)
 UNITS = "(SELECT 'tests/' || coalesce(lang, 'none') || '/' || coalesce(source, 'none') || '/doc' || doc_id || '.md' AS file, coalesce(text, '') AS source FROM documents)"
 PAGES = "(SELECT 'pages/p' || page_id || '.xml' AS file, coalesce(html, '') AS source FROM pages)"
 
@@ -132,7 +141,7 @@ PII_WHERE = (
 )
 _detector("detect_personal_data", text.personal_data, {"email": text.EMAIL, "phone": text.PHONE, "address": text.ADDRESS}, tables.units, UNITS, "redacted", PII_WHERE, 0, "sensitive-data.pii-test-fixture")
 _detector("detect_aws_keys", text.aws_keys, {"aws-access-key": text.AWS_KEY}, tables.config_units, CONFIGS_SQL, "short", NOT_DUMMY, 0, "sensitive-data.aws-access-key")
-HEALTH_WHERE = f"regexp_matches(text, '{text.HEALTH_WORD}')"
+HEALTH_WHERE = f"regexp_matches(lower(text), '{text.HEALTH_CONTEXT}')"
 _detector("detect_health_ids", text.health_ids, text.HEALTH, tables.config_units, CONFIGS_SQL, "redacted", HEALTH_WHERE, 0, "sensitive-data.phi-pattern")
 _detector("detect_jwt", text.jwt_tokens, {"jwt": text.JWT}, tables.config_units, CONFIGS_SQL, "short", NOT_DUMMY, 0, "sensitive-data.jwt-token")
 
@@ -147,7 +156,17 @@ def detect_private_keys(spark, sf):
     return text.private_keys(tables.config_units(spark, sf))
 
 
-@query(f"SELECT file, line, CASE detector WHEN 'url' THEN 'sensitive-data.url-credentials' ELSE 'sensitive-data.database-url-password' END AS rule_id, detector, {REDACTED} AS preview FROM {matches_sql(CONFIGS_SQL, {'database-url': text.DATABASE_URL, 'url': text.WEB_URL}, 1)} m WHERE {NOT_DUMMY}")
+def without_password_sql(rows: str) -> str:
+    """rows with the password of an address (pw), and the address without it (shown)."""
+    found = lambda pattern: f"regexp_extract(value, '{pattern.replace(chr(39), chr(39) * 2)}', 1)"
+    shown = f"replace(value, ':' || pw || '@', ':' || {REDACTED.replace('value', 'pw')} || '@')"
+    return f"(SELECT *, {shown} AS shown FROM (SELECT *, CASE detector WHEN 'url' THEN {found(text.WEB_URL)} ELSE {found(text.DATABASE_URL)} END AS pw FROM {rows} u0) u1)"
+
+
+URL_DETECTORS = {"database-url": text.DATABASE_URL, "url": text.WEB_URL}
+
+
+@query(f"SELECT file, line, CASE detector WHEN 'url' THEN 'sensitive-data.url-credentials' ELSE 'sensitive-data.database-url-password' END AS rule_id, detector, shown AS preview FROM {without_password_sql(matches_sql(CONFIGS_SQL, URL_DETECTORS))} m WHERE {NOT_DUMMY.replace('value', 'pw')}")
 def detect_url_credentials(spark, sf):
     return text.url_credentials(tables.config_units(spark, sf))
 
@@ -157,12 +176,30 @@ def entropy_literals(spark, sf):
     return text.literals(tables.units(spark, sf))
 
 
-@query()
+def entropy_sql(value: str) -> str:
+    shares = f"[(len({value}) - len(replace({value}, c, '')))::DOUBLE / len({value}) FOR c IN list_distinct(string_split({value}, ''))]"
+    return f"coalesce(-list_sum([p * log2(p) FOR p IN {shares}]), 0)"
+
+
+DUMMY_SQL = f"(regexp_matches({{v}}, '(?i)example|placeholder|changeme|dummy') OR length(replace({{v}}, {{v}}[1], '')) = 0)"
+SHORT = f"substr(value, 1, 4) || {REDACTED}"
+
+
+def literals_sql(units: str, least: float) -> str:
+    long_hex = "(len(value) >= 64 AND regexp_full_match(value, '[0-9a-fA-F]+'))"
+    return f"(SELECT file, line, 'sensitive-data.high-entropy-string' AS rule_id, 'high-entropy' AS detector, {SHORT} AS preview FROM {matches_sql(units, {'literal': text.LITERAL}, 1)} m WHERE (round({entropy_sql('value')}, 6) >= {least} OR {long_hex}) AND NOT {DUMMY_SQL.format(v='value')} AND NOT regexp_full_match(value, '{text.JWT}'))"
+
+
+def env_sql(units: str, pattern: str, least: float) -> str:
+    return f"(SELECT file, line, 'sensitive-data.hardcoded-env-value' AS rule_id, 'env-style-secret' AS detector, {SHORT} AS preview FROM {matches_sql(units, {'env': pattern}, 1)} m WHERE len(value) >= 20 AND NOT {DUMMY_SQL.format(v='value')} AND {entropy_sql('value')} >= {least})"
+
+
+@query(literals_sql(UNITS, 3.0))
 def high_entropy_literals(spark, sf):
     return text.high_entropy(tables.units(spark, sf), min_entropy=3.0)
 
 
-@query()
+@query(env_sql(UNITS, "(?i)" + text.ENV_VALUE, 3.0))
 def env_style_values(spark, sf):
     return text.env_values(tables.units(spark, sf), min_entropy=3.0, any_case=True)
 
@@ -202,7 +239,33 @@ def name_entropy(spark, sf):
     return tables.table(spark, sf, "events").select("event_type").distinct().select("event_type", F.round(entropy(F.col("event_type")), 6).alias("entropy"))
 
 
-@query()
+TALKS = "(SELECT 'docs/c' || conv_id || '-' || turn || '.md' AS file, coalesce(text, '') AS source FROM conversations)"
+ALL_UNITS = f"(SELECT * FROM {UNITS} a1 UNION ALL SELECT * FROM {PAGES} a2 UNION ALL SELECT * FROM {TALKS} a3)"
+
+
+def _analyse_sql():
+    """Each rule by itself over all units."""
+    secrets = {**text.API_KEYS, "aws-access-key": text.AWS_KEY, "jwt": text.JWT}
+    rule = "CASE detector WHEN 'aws-access-key' THEN 'sensitive-data.aws-access-key' WHEN 'jwt' THEN 'sensitive-data.jwt-token' ELSE 'sensitive-data.api-key-pattern' END"
+    in_health = f"(SELECT * FROM {ALL_UNITS} h0 WHERE regexp_matches(source, '{text.HEALTH_WORD}'))"
+    sample = "file LIKE 'docs/%' AND regexp_matches(lower(text), 'example|placeholder|sample|source_snippet') OR regexp_replace(value, '[^A-Za-z0-9]', '', 'g') = '123456789' AND contains(lower(text), 'patientfundmembershipnum')"
+    azure = "regexp_matches(value, '(?i)\\bsv=') AND regexp_matches(value, '(?i)\\bsig=')"
+    parts = [
+        f"SELECT file, line, {rule} AS rule_id, detector, {SHORT} AS preview FROM {matches_sql(ALL_UNITS, secrets)} m WHERE NOT {DUMMY_SQL.format(v='value')}",
+        f"SELECT file, line, 'sensitive-data.api-key-pattern', detector, {SHORT} FROM {matches_sql(ALL_UNITS, {'azure-sas': text.AZURE_SAS})} m WHERE {azure} AND NOT {DUMMY_SQL.format(v='value')}",
+        f"SELECT file, line, 'sensitive-data.private-key', detector, value FROM {matches_sql(ALL_UNITS, {'private-key': text.PRIVATE_KEY})} m",
+        f"SELECT file, line, CASE detector WHEN 'url' THEN 'sensitive-data.url-credentials' ELSE 'sensitive-data.database-url-password' END, detector, shown FROM {without_password_sql(matches_sql(ALL_UNITS, URL_DETECTORS))} m WHERE NOT {DUMMY_SQL.format(v='pw')}",
+        f"SELECT * FROM {env_sql(ALL_UNITS, text.ENV_VALUE, 3.5)} e", f"SELECT * FROM {literals_sql(ALL_UNITS, 4.2)} e",
+        f"SELECT file, line, 'sensitive-data.phi-pattern', detector, {REDACTED} FROM {matches_sql(in_health, text.HEALTH)} m WHERE {HEALTH_WHERE} AND NOT ({sample})",
+        f"SELECT file, line, 'sensitive-data.pii-test-fixture', detector, {REDACTED} FROM {matches_sql(UNITS, {'email': text.EMAIL, 'phone': text.PHONE, 'address': text.ADDRESS})} m WHERE {PII_WHERE}",
+        f"SELECT file, 1, 'size.file-length', NULL, NULL FROM {lines_sql(ALL_UNITS)} GROUP BY file HAVING count(*) FILTER (regexp_matches(text, '[^ \\t\\r\\f]')) > 1000",
+        f"SELECT file, 1, 'docs.todo-density', NULL, NULL FROM {lines_sql(ALL_UNITS)} GROUP BY file HAVING sum(len(regexp_extract_all(text, '{text.TODO}'))) >= 1",
+    ]
+    rules = ", ".join(f"('{r}', '{p}', '{s}', '{c}')" for r, p, s, c in catalogue.RULES)
+    return f"SELECT f.*, pillar, severity, confidence FROM ({' UNION ALL '.join(parts)}) f JOIN (VALUES {rules}) v(rule_id, pillar, severity, confidence) USING (rule_id)"
+
+
+@query(_analyse_sql())
 def analyse(spark, sf):
     return catalogue.analyse(tables.units(spark, sf).unionByName(tables.page_units(spark, sf)).unionByName(tables.conversation_units(spark, sf)))
 
@@ -309,44 +372,44 @@ def baseline_write(spark, sf):
     return reconcile.baseline_groups(tables.findings(spark, sf, ACCEPTED))
 
 
-RECONCILED = f"(SELECT c.ord, row_number() OVER (PARTITION BY c.file, c.rule_id, c.message ORDER BY c.line, c.ord) > coalesce(a.accepted, 0) AS is_new FROM {CUR} c LEFT JOIN (SELECT file, rule_id, message, count(*) AS accepted FROM {ACC} GROUP BY ALL) a ON c.file = a.file AND c.rule_id = a.rule_id AND c.message = a.message)"
+RECONCILED = f"(SELECT c.ord, row_number() OVER (PARTITION BY c.file, c.rule_id, c.message ORDER BY c.line, c.ord) > coalesce(a.accepted, 0) AS is_new FROM {NOW} c LEFT JOIN (SELECT file, rule_id, message, count(*) AS accepted FROM {ACC} GROUP BY ALL) a ON c.file = a.file AND c.rule_id = a.rule_id AND c.message = a.message)"
 
 
 @query(f"SELECT ord, is_new FROM {RECONCILED}")
 def baseline_reconcile(spark, sf):
-    return reconcile.apply_baseline(current(spark, sf), reconcile.baseline_groups(tables.findings(spark, sf, ACCEPTED))).select("ord", "is_new")
+    return reconcile.apply_baseline(compared(spark, sf), reconcile.baseline_groups(tables.findings(spark, sf, ACCEPTED))).select("ord", "is_new")
 
 
-@query(f"SELECT a.file, a.rule_id, a.message, accepted - coalesce(live, 0) AS resolved FROM (SELECT file, rule_id, message, count(*) AS accepted FROM {ACC} GROUP BY ALL) a LEFT JOIN (SELECT file, rule_id, message, count(*) AS live FROM {CUR} GROUP BY ALL) c ON a.file = c.file AND a.rule_id = c.rule_id AND a.message = c.message WHERE accepted > coalesce(live, 0)")
+@query(f"SELECT a.file, a.rule_id, a.message, accepted - coalesce(live, 0) AS resolved FROM (SELECT file, rule_id, message, count(*) AS accepted FROM {ACC} GROUP BY ALL) a LEFT JOIN (SELECT file, rule_id, message, count(*) AS live FROM {NOW} GROUP BY ALL) c ON a.file = c.file AND a.rule_id = c.rule_id AND a.message = c.message WHERE accepted > coalesce(live, 0)")
 def baseline_absent(spark, sf):
-    return reconcile.baseline_absent(current(spark, sf), reconcile.baseline_groups(tables.findings(spark, sf, ACCEPTED)))
+    return reconcile.baseline_absent(compared(spark, sf), reconcile.baseline_groups(tables.findings(spark, sf, ACCEPTED)))
 
 
-REVIEW = f"(SELECT *, greatest(0, n_current - n_base) AS introduced, greatest(0, n_base - n_current) AS removed, least(n_current, n_base) AS unchanged FROM (SELECT file, rule_id, symbol, message, sum(c)::BIGINT AS n_current, sum(1 - c)::BIGINT AS n_base FROM (SELECT *, 1 AS c FROM {CUR} a UNION ALL SELECT *, 0 AS c FROM {OLD} b) GROUP BY ALL))"
+REVIEW = f"(SELECT *, greatest(0, n_current - n_base) AS introduced, greatest(0, n_base - n_current) AS removed, least(n_current, n_base) AS unchanged FROM (SELECT file, rule_id, symbol, message, sum(c)::BIGINT AS n_current, sum(1 - c)::BIGINT AS n_base FROM (SELECT *, 1 AS c FROM {NOW} a UNION ALL SELECT *, 0 AS c FROM {OLD} b) GROUP BY ALL))"
 
 
 @query(f"SELECT * FROM {REVIEW}")
 def review_counts(spark, sf):
-    return reconcile.review(current(spark, sf), tables.findings(spark, sf, BASE))
+    return reconcile.review(compared(spark, sf), tables.findings(spark, sf, BASE))
 
 
 def _review_rows_sql(one, two):
     return f"SELECT ord FROM (SELECT *, row_number() OVER (PARTITION BY file, rule_id, symbol, message ORDER BY ord) AS r FROM {one} a) LEFT JOIN (SELECT file, rule_id, symbol, message, count(*) AS n FROM {two} GROUP BY ALL) b USING (file, rule_id, symbol, message) WHERE r > coalesce(n, 0)"
 
 
-@query(_review_rows_sql(CUR, OLD))
+@query(_review_rows_sql(NOW, OLD))
 def review_introduced(spark, sf):
-    return reconcile.review_rows(current(spark, sf), tables.findings(spark, sf, BASE)).select("ord")
+    return reconcile.review_rows(compared(spark, sf), tables.findings(spark, sf, BASE)).select("ord")
 
 
-@query(_review_rows_sql(OLD, CUR))
+@query(_review_rows_sql(OLD, NOW))
 def review_removed(spark, sf):
-    return reconcile.review_rows(tables.findings(spark, sf, BASE), current(spark, sf)).select("ord")
+    return reconcile.review_rows(tables.findings(spark, sf, BASE), compared(spark, sf)).select("ord")
 
 
 @query(f"SELECT rule_id, sum(introduced)::BIGINT AS introduced, sum(removed)::BIGINT AS removed, (sum(introduced) - sum(removed))::BIGINT AS net FROM {REVIEW} GROUP BY rule_id HAVING sum(introduced) <> sum(removed)")
 def review_rule_delta(spark, sf):
-    return reconcile.rule_delta(reconcile.review(current(spark, sf), tables.findings(spark, sf, BASE)))
+    return reconcile.rule_delta(reconcile.review(compared(spark, sf), tables.findings(spark, sf, BASE)))
 
 
 def hook_sql(rows: str) -> str:
@@ -359,9 +422,9 @@ def hook_ordinal(spark, sf):
     return reconcile.hook_identity(current(spark, sf)).select("ord", "identity", "ordinal")
 
 
-@query(f"SELECT ord FROM {hook_sql(CUR)} WHERE identity NOT IN (SELECT identity FROM {hook_sql(OLD)})")
+@query(f"SELECT ord FROM {hook_sql(NOW)} WHERE identity NOT IN (SELECT identity FROM {hook_sql(OLD)})")
 def hook_new_only(spark, sf):
-    return reconcile.new_only(current(spark, sf), tables.findings(spark, sf, BASE)).select("ord")
+    return reconcile.new_only(compared(spark, sf), tables.findings(spark, sf, BASE)).select("ord")
 
 
 @query(f"""SELECT ord, substr(sha256('{{"ruleId":"' || rule_id || '","file":"' || replace(file, '/', '\\/') || '","line":' || line || ',"endLine":' || end_line || ',"column":null,"symbol":"' || symbol || '","message":"' || message || '"}}'), 1, 16) AS fingerprint FROM {CUR}""")
@@ -377,11 +440,11 @@ def stable_identities(spark, sf):
 # ---------------------------------------------------------------- changed regions
 
 
-CHANGED_SQL = "(SELECT DISTINCT 'src/m' || (l_orderkey % 70) || '.php' AS file FROM lineitem WHERE l_orderkey % 7 = 0)"
+CHANGED_SQL = "(SELECT DISTINCT 'src/m' || (7 * (l_orderkey % 10)) || '.php' AS file FROM lineitem)"
 
 
 def _changed(spark, sf):
-    return tables.table(spark, sf, "lineitem").where("l_orderkey % 7 = 0").select(F.concat(F.lit("src/m"), (F.col("l_orderkey") % 70).cast("string"), F.lit(".php")).alias("file")).distinct()
+    return tables.table(spark, sf, "lineitem").select(F.concat(F.lit("src/m"), (7 * (F.col("l_orderkey") % 10)).cast("string"), F.lit(".php")).alias("file")).distinct()
 
 
 AROUND = f"(SELECT ord, arg_min(struct_pack(s := d.start, e := d.\"end\"), struct_pack(a := d.\"end\" - d.start, b := d.start)) AS d FROM {CUR} c JOIN {DECLARATIONS_SQL} d ON c.file = d.file AND d.start <= c.line AND d.\"end\" >= c.end_line GROUP BY ord)"
@@ -411,9 +474,9 @@ def enclosing_interval(spark, sf):
     return regions.enclosing(current(spark, sf), tables.declarations(spark, sf))
 
 
-@query("SELECT o_orderkey AS patch_id, 'src/f' || (o_custkey % 9) || '.php' AS file, (o_orderkey % 50 + 2)::INT AS start, (o_orderkey % 50 + 3)::INT AS \"end\" FROM orders WHERE o_orderkey % 50 = 1 UNION ALL SELECT o_orderkey, 'old' || (o_custkey % 9) || '.php', NULL, NULL FROM orders WHERE o_orderkey % 50 = 1")
+@query("SELECT o_orderkey AS patch_id, 'src/f' || (o_custkey % 9) || '.php' AS file, (o_orderkey % 50 + 2)::INT AS start, (o_orderkey % 50 + 3)::INT AS \"end\" FROM orders UNION ALL SELECT o_orderkey, 'old' || (o_custkey % 9) || '.php', NULL, NULL FROM orders")
 def unified_diff(spark, sf):
-    o = tables.table(spark, sf, "orders").where("o_orderkey % 50 = 1")
+    o = tables.table(spark, sf, "orders")
     n, name = F.col("o_orderkey") % 50, (F.col("o_custkey") % 9).cast("string")
     patch = F.concat(
         F.lit("diff --git a/src/f"), name, F.lit(".php b/src/f"), name, F.lit(".php\n--- a/src/f"), name, F.lit(".php\n+++ b/src/f"), name,
@@ -520,6 +583,167 @@ def html_table(spark, sf):
     return reports.html_rows(current(spark, sf))
 
 
-@query()
+def text_sql(template: str) -> str:
+    """SQL that puts the columns named in <angle brackets> into a text."""
+    return " || ".join(x if i % 2 else f"'{x}'" for i, x in enumerate(re.split(r"<(\w+)>", template)))
+
+
+IDENTITIES = f"""(SELECT *, CASE severity WHEN 'advisory' THEN 'note' ELSE severity END AS level,
+  substr(sha256({text_sql('{"ruleId":"<rule_id>","file":"<path>","line":<line>,"endLine":<end_line>,"column":null,"symbol":"<symbol>","message":"<message>"}')}), 1, 16) AS fp,
+  substr(sha256({text_sql('{"ruleId":"<rule_id>","file":"<path>","symbol":"<symbol>","message":"<message>"}')}), 1, 16) AS si
+  FROM (SELECT *, replace(file, '/', '\\/') AS path FROM {CUR} i0) i1)"""
+SARIF = (
+    '{"ruleId":"<rule_id>","level":"<level>","message":{"text":"<message>"},"locations":[{"physicalLocation":{"artifactLocation":{"uri":"<file>"},'
+    '"region":{"startLine":<line>,"endLine":<end_line>}}}],"partialFingerprints":{"fingerprint":"<fp>","stableIdentity":"<si>"}}'
+)
+
+
+@query(f"SELECT ord, {text_sql(SARIF)} AS result FROM {IDENTITIES} i")
 def sarif_results(spark, sf):
     return reports.sarif_results(current(spark, sf))
+
+
+# ---------------------------------------------------------------- round trips, cache, streams and other sources
+
+
+@query("SELECT path FROM (SELECT 'tests/en/src' || s_suppkey AS path FROM supplier) WHERE path NOT IN (SELECT 'tests/' || coalesce(lang, 'none') || '/' || coalesce(source, 'none') FROM documents)")
+def missing_paths(spark, sf):
+    requested = tables.table(spark, sf, "supplier").select(F.concat(F.lit("tests/en/src"), F.col("s_suppkey").cast("string"), F.lit("/")).alias("path"))
+    return files.missing_paths(requested, tables.units(spark, sf))
+
+
+@query(SQL["baseline_write"])
+def baseline_round_trip(spark, sf):
+    path = fresh_folder(spark, "baseline")
+    reports.write_baseline(reconcile.baseline_groups(tables.findings(spark, sf, ACCEPTED)), path)
+    return files.read_baseline(spark, path)
+
+
+@query(f"SELECT file, line, mutator, status FROM {MUTANTS_SQL} m")
+def mutation_report(spark, sf):
+    mutant = F.struct(F.struct(F.col("mutator").alias("mutatorName"), F.col("file").alias("originalFilePath"), F.col("line").alias("originalStartLine")).alias("mutator"))
+    sections = [F.when(F.col("status") == status, F.array(mutant)).alias(section) for section, status in files.SECTIONS.items()]
+    path = fresh_folder(spark, "mutants")
+    tables.mutants(spark, sf).select(*sections).write.json(path)
+    return files.read_mutants(spark, path)
+
+
+@query(f"SELECT ord::VARCHAR AS timestamp, score, {letter_sql('score')} AS grade, scope, findings FROM {HISTORY_SQL} h")
+def history_round_trip(spark, sf):
+    h = tables.history(spark, sf)
+    grade = scoring.letter(F.col("score"))
+    entries = h.select("ord", F.col("ord").cast("string").alias("timestamp"), "score", grade.alias("grade"), "scope", "findings")
+    path = fresh_folder(spark, "history")
+    for part in ("ord % 172800 = 0", "ord % 172800 <> 0"):
+        reports.append_history(entries.where(part), path)
+    return files.read_history(spark, path)
+
+
+@query(f"SELECT file FROM {UNITS} u WHERE length(source) % 3 = 0")
+def not_cached_units(spark, sf):
+    units = tables.units(spark, sf)
+    before = units.withColumn("source", F.when(F.length("source") % 3 == 0, F.concat("source", F.lit("!"))).otherwise(F.col("source")))
+    cache = files.cache_entries(before, text.personal_data(before), "settings", F.lit(1))
+    return files.not_cached(units, staged(cache, "cache"), "settings")[0].select("file")
+
+
+@query(f"SELECT m.* EXCLUDE (text, value), {REDACTED} AS preview FROM (SELECT file, line, text, detector, value FROM {matches_sql(UNITS, {'email': text.EMAIL, 'phone': text.PHONE, 'address': text.ADDRESS})} p WHERE {PII_WHERE}) m JOIN {UNITS} u USING (file) WHERE length(source) % 3 <> 0")
+def cached_findings(spark, sf):
+    units = tables.units(spark, sf)
+    before = units.withColumn("source", F.when(F.length("source") % 3 == 0, F.concat("source", F.lit("!"))).otherwise(F.col("source")))
+    cache = files.cache_entries(before, text.personal_data(before), "settings", F.lit(1))
+    hits = files.not_cached(units, staged(cache, "cache"), "settings")[1].where("finding is not null")
+    return hits.select("file", "finding.line", "finding.detector", "finding.preview")
+
+
+@query("SELECT 'tests/' || coalesce(lang, 'none') || '/' || coalesce(source, 'none') || '/doc' || doc_id || '.md' AS file FROM documents ORDER BY n_chars DESC, sha256('settings' || chr(0) || 'tests/' || coalesce(lang, 'none') || '/' || coalesce(source, 'none') || '/doc' || doc_id || '.md' || chr(0) || sha256(coalesce(text, ''))) LIMIT 100")
+def cache_eviction(spark, sf):
+    d = tables.table(spark, sf, "documents").select(F.concat_ws("/", F.lit("tests"), F.coalesce("lang", F.lit("none")), F.coalesce("source", F.lit("none")), F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".md"))).alias("file"), F.coalesce("text", F.lit("")).alias("source"), "n_chars")
+    return files.evicted(d.select(files.cache_key("settings").alias("cache_key"), "file", F.col("n_chars").alias("used")), 100).select("file")
+
+
+@query("SELECT doc_id, (len(string_split(substr(coalesce(text, ''), 1, (length(coalesce(text, '')) // 2)::BIGINT), chr(10))))::INT AS line FROM documents")
+def line_numbers(spark, sf):
+    source = F.coalesce("text", F.lit(""))
+    return tables.table(spark, sf, "documents").select("doc_id", line_of(source, F.expr("cast(length(coalesce(text, '')) div 2 as int)")).alias("line"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size > 40 THEN 'error' WHEN p_size > 20 THEN 'warning' END AS severity FROM part")
+def metric_severity(spark, sf):
+    return tables.table(spark, sf, "part").select("p_partkey", threshold_severity(F.col("p_size"), 20, 40).alias("severity"))
+
+
+FLOW = "SELECT 's' || s_suppkey || '/.github/workflows/ci.yml' AS file, {line}::INT AS line, '{problem}' AS problem FROM supplier WHERE {where}"
+
+
+@query(" UNION ALL ".join(FLOW.format(line=n, problem=p, where=w) for n, p, w in (
+    (1, "pull_request_target", "s_suppkey % 2 = 0"), (2, "write-all permissions", "s_suppkey % 3 = 0"), (6, "floating action", "s_suppkey % 4 IN (0, 2)"), (8, "event data in a run block", "s_suppkey % 5 <> 0"),
+)))
+def workflow_risks(spark, sf):
+    return manifests.risky_workflows(tables.workflow_units(spark, sf))
+
+
+@query(
+    "SELECT 'keys/c' || c_custkey || '.json' AS file, 2::INT AS line, 'sensitive-data.gcp-service-account-key' AS rule_id, 'gcp-service-account-key' AS detector, "
+    "'----<redacted:' || (58 + 32 * (c_custkey % 6)) || ' chars>' AS preview FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 7 <> 0 AND 32 * (c_custkey % 6) + 3 >= 100"
+)
+def detect_service_account_keys(spark, sf):
+    return text.service_account_keys(tables.service_account_units(spark, sf))
+
+
+@query(SQL["detect_personal_data"])
+def scan_stream(spark, sf):
+    """The findings of texts that arrive as a stream, read when the stream has caught up."""
+    folder, out = fresh_folder(spark, "arriving"), fresh_folder(spark, "stream")
+    tables.units(spark, sf).write.parquet(folder)
+    incremental.scan_stream(incremental.arriving_units(spark, folder), out, fresh_folder(spark, "stream-state")).awaitTermination()
+    return spark.read.schema(text.personal_data(tables.units(spark, sf)).schema).parquet(out)
+
+
+@query("SELECT * FROM (SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL) WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
+def event_windows(spark, sf):
+    """Windows of an event stream that its watermark has closed."""
+    folder, out = fresh_folder(spark, "events"), fresh_folder(spark, "windows")
+    events = tables.table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    events.coalesce(1).write.parquet(folder)
+    counts = incremental.event_counts(spark.readStream.schema(events.schema).parquet(folder)).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    counts.writeStream.format("parquet").option("path", out).option("checkpointLocation", fresh_folder(spark, "windows-state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(counts.schema).parquet(out)
+
+
+# ---------------------------------------------------------------- comparisons of scores
+
+
+def pillars_sql(rows: str) -> str:
+    return PILLARS.replace(CUR, rows)
+
+
+@query(
+    f"WITH a AS {pillars_sql(NOW)}, b AS {pillars_sql(OLD)}, c AS (SELECT pillar, coalesce(b.score, 100.0)::DOUBLE AS base, coalesce(a.score, 100.0)::DOUBLE AS current FROM a FULL JOIN b USING (pillar) "
+    f"UNION ALL SELECT NULL, (SELECT {clamp_sql('avg(score)')} FROM b), (SELECT {clamp_sql('avg(score)')} FROM a)) SELECT *, round(current - base, 2) AS delta FROM c"
+)
+def score_delta(spark, sf):
+    return scoring.score_delta(compared(spark, sf), tables.findings(spark, sf, BASE))
+
+
+NEW = f"(SELECT * FROM {NOW} n0 WHERE ord IN (SELECT ord FROM {RECONCILED} WHERE is_new))"
+
+
+@query(f"SELECT ord FROM {NEW}")
+def new_findings(spark, sf):
+    rows = compared(spark, sf)
+    reconciled = reconcile.apply_baseline(rows, reconcile.baseline_groups(tables.findings(spark, sf, ACCEPTED)))
+    return scoring.new_findings(rows, reconciled.where("is_new")).select("ord")
+
+
+@query(f"SELECT 'new' AS scope, 'warning' AS kind, count(*) FILTER (severity = 'warning') AS found, 3::BIGINT AS cap FROM {NEW} HAVING count(*) FILTER (severity = 'warning') > 3")
+def new_findings_gate(spark, sf):
+    rows = compared(spark, sf)
+    new = scoring.new_findings(rows, reconcile.apply_baseline(rows, reconcile.baseline_groups(tables.findings(spark, sf, ACCEPTED))).where("is_new"))
+    return scoring.gate(rows, new, {"total": 1}, {"error": 1_000_000, "warning": 3})
+
+
+@query(f"SELECT ord FROM {CUR} WHERE rule_id NOT IN ('complexity.cognitive', 'naming.identifier-quality') OR file IN (SELECT 'src/m' || s_suppkey || '.php' FROM supplier)")
+def project_rule_scope(spark, sf):
+    requested = tables.table(spark, sf, "supplier").select(F.concat(F.lit("src/m"), F.col("s_suppkey").cast("string"), F.lit(".php")).alias("file"))
+    return scoring.in_scope(current(spark, sf), ["complexity.cognitive", "naming.identifier-quality"], requested).select("ord")

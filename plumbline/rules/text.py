@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plumbline.functions.text import entropy, redacted
 
@@ -43,6 +44,11 @@ PHONE = r"\b(?:\+?1[-.\s]?)?\(?[2-9]\d{2}\)?[-.\s]\d{3}[-.\s]\d{4}\b"
 ADDRESS = r"\b\d{1,5}\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,3}\s+(?:Avenue|Ave|Boulevard|Blvd|Drive|Dr|Lane|Ln|Road|Rd|Street|St|Terrace)\b"
 HEALTH = {"ssn": r"\b\d{3}-\d{2}-\d{4}\b", "nhi": r"\b[A-HJ-NP-Z]{3}\d{4}\b", "mrn": r"(?i)\bMRN[-:\s]?[A-Z0-9]{6,10}\b", "medicare": r"\b[2-6]\d{3}\s?\d{5}\s?\d\b", "tfn": r"\b\d{3}\s?\d{3}\s?\d{3}\b"}
 HEALTH_WORD = r"(?i)\b(?:health|medicare|mrn|nhi|patient|ssn|tax_file_number|tfn)\b"
+#: What names a health context on a line.
+HEALTH_CONTEXT = "health|medicare|mrn|nhi|patient|ssn|tax_file_number|tfn"
+SERVICE_ACCOUNT = r'"type"\s*:\s*"service_account"'
+PRIVATE_KEY_FIELD = r'"private_key"\s*:\s*"((?:\\.|[^"\\])*)"'
+PEM_BLOCK = r"(?s)-----BEGIN[^-]*PRIVATE KEY-----.*?-----END[^-]*PRIVATE KEY-----"
 RESERVED = r"\.(?:local|test|invalid|localhost|example)$"
 MARKER = r"(?i)\b(?:anytown|demo|fake|sample|test)\b"
 TODO = r"(?i)\b(?:TODO|FIXME|HACK|XXX)\b"
@@ -98,12 +104,37 @@ def jwt_tokens(units: DataFrame) -> DataFrame:
     return _findings(matches(lines(units).where(F.col("text").contains("eyJ")), {"jwt": JWT}).where(~dummy(F.col("value"))), "sensitive-data.jwt-token", preview(F.col("value")))
 
 
+def _password(pattern: str) -> Column:
+    return F.regexp_extract("value", pattern, 1)
+
+
+def _without_password(password: Column) -> Column:
+    """An address whose password is shown by its length."""
+    return F.replace("value", F.concat(F.lit(":"), password, F.lit("@")), F.concat(F.lit(":"), redacted(password), F.lit("@")))
+
+
 def url_credentials(units: DataFrame) -> DataFrame:
-    """Database and web addresses with a password in them; only the password is tested and shown by its length."""
+    """Database and web addresses with a password in them; only the password is tested and redacted."""
     rows = lines(units).where(F.col("text").contains("://"))
-    database = matches(rows, {"database-url": DATABASE_URL}, 1).where(~dummy(F.col("value")))
-    web = matches(rows, {"url": WEB_URL}, 1).where(~dummy(F.col("value")))
-    return _findings(database, "sensitive-data.database-url-password", redacted(F.col("value"))).unionByName(_findings(web, "sensitive-data.url-credentials", redacted(F.col("value"))))
+    out = None
+    for detector, pattern, rule in (("database-url", DATABASE_URL, "sensitive-data.database-url-password"), ("url", WEB_URL, "sensitive-data.url-credentials")):
+        found = _findings(matches(rows, {detector: pattern}).where(~dummy(_password(pattern))), rule, _without_password(_password(pattern)))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def service_account_keys(units: DataFrame, least: int = 100) -> DataFrame:
+    """Markers of service-account files that hold a private key of ``least`` characters or more, its armour aside."""
+    source = F.col("source")
+    key, pem = F.regexp_extract(source, PRIVATE_KEY_FIELD, 1), F.regexp_extract(source, PEM_BLOCK, 0)
+    has_field = source.rlike('"private_key"\\s*:\\s*"')
+    files = units.where(source.contains("service_account") & (source.contains("BEGIN PRIVATE KEY") | source.contains("BEGIN RSA PRIVATE KEY") | has_field))
+    held = F.when(has_field, key).when(pem != "", pem)
+    body = F.regexp_replace(F.regexp_replace(held, "-----[^-]*-----", ""), "[^A-Za-z0-9+/=]", "")
+    files = files.where(held.isNull() | (F.length(body) >= least)).withColumn("shown", F.when(has_field, preview(key)).otherwise("<redacted service-account key>"))
+    rows = files.select("file", "shown", F.posexplode(F.split("source", "\n")).alias("at", "text"))
+    rows = rows.select("file", (F.col("at") + 1).alias("line"), "shown", F.explode(F.regexp_extract_all("text", F.lit(SERVICE_ACCOUNT), F.lit(0))))
+    return rows.select("file", "line", F.lit("sensitive-data.gcp-service-account-key").alias("rule_id"), F.lit("gcp-service-account-key").alias("detector"), F.col("shown").alias("preview"))
 
 
 def env_values(units: DataFrame, min_length: int = 20, min_entropy: float = 3.5, any_case: bool = False) -> DataFrame:
@@ -127,9 +158,16 @@ def high_entropy(units: DataFrame, min_length: int = 32, min_entropy: float = 4.
 
 
 def health_ids(units: DataFrame) -> DataFrame:
-    """Identifiers on lines that name a health context, in files that do."""
-    rows = lines(units).where(F.col("text").rlike(HEALTH_WORD))
-    return _findings(matches(rows, HEALTH), "sensitive-data.phi-pattern", redacted(F.col("value")))
+    """Identifiers on lines that name a health context, in files that have such a word; no documented placeholders."""
+    rows = lines(units.where(F.col("source").rlike(HEALTH_WORD))).where(F.lower("text").rlike(HEALTH_CONTEXT))
+    return _findings(matches(rows, HEALTH).where(~_placeholder_id()), "sensitive-data.phi-pattern", redacted(F.col("value")))
+
+
+def _placeholder_id() -> Column:
+    """The known membership number, or a line of docs/ that calls itself a sample."""
+    low = F.lower("text")
+    known = (F.regexp_replace("value", "[^A-Za-z0-9]", "") == "123456789") & low.contains("patientfundmembershipnum")
+    return known | (F.col("file").startswith("docs/") & low.rlike("example|placeholder|sample|source_snippet"))
 
 
 def personal_data(units: DataFrame) -> DataFrame:
@@ -154,9 +192,10 @@ def file_length(units: DataFrame, limit: int = 1000) -> DataFrame:
 
 
 def line_prefix_sum(units: DataFrame) -> DataFrame:
-    """file, line and how many substantive lines there are up to it, counted inside each text."""
-    texts = units.select("file", F.transform(F.split("source", "\n"), lambda x: (F.trim(F.regexp_replace(x, "[\t\r\f]", " ")) != "").cast("int")).alias("solid"))
-    return texts.select("file", F.posexplode("solid").alias("at", "one"), "solid").select("file", (F.col("at") + 1).alias("line"), F.aggregate(F.slice("solid", F.lit(1), F.col("at") + 1), F.lit(0), lambda s, x: s + x).alias("upto"))
+    """file, line and how many substantive lines there are up to it."""
+    solid = lines(units).select("file", "line", (F.trim(F.regexp_replace("text", "[\t\r\f]", " ")) != "").cast("int").alias("one"))
+    upto = F.sum("one").over(Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return solid.select("file", "line", upto.cast("int").alias("upto"))
 
 
 def license_lines(units: DataFrame) -> DataFrame:
@@ -164,35 +203,47 @@ def license_lines(units: DataFrame) -> DataFrame:
     return lines(units).where(F.col("text").rlike(r"(?i)\b(licen[cs]e|copyright)\b"))
 
 
-def scan(units: DataFrame) -> DataFrame:
-    """Findings of all secret and personal-data rules, in one pass over the lines.
+#: The rule of each detector of ``scan``.
+RULE_OF = {
+    **dict.fromkeys([*API_KEYS, "azure-sas"], "sensitive-data.api-key-pattern"), "aws-access-key": "sensitive-data.aws-access-key", "private-key": "sensitive-data.private-key", "jwt": "sensitive-data.jwt-token",
+    "database-url": "sensitive-data.database-url-password", "url": "sensitive-data.url-credentials", "env-style-secret": "sensitive-data.hardcoded-env-value", "high-entropy": "sensitive-data.high-entropy-string",
+    **dict.fromkeys(HEALTH, "sensitive-data.phi-pattern"), **dict.fromkeys(["email", "phone", "address"], "sensitive-data.pii-test-fixture"),
+}
+
+
+def scan(units: DataFrame, rules: set[str] | None = None) -> DataFrame:
+    """Findings of the secret and personal-data rules (all, or those named), in one pass over the lines.
 
     Each detector stands behind a cheap test of the line; what it found is judged
     by the same conditions as in the rules above.
     """
     t, low, value, detector = F.col("text"), F.lower("text"), F.col("value"), F.col("detector")
     in_tests = F.col("file").rlike("(?i)(^|/)(tests?|fixtures?|__tests__)/")
-    url, health = t.contains("://"), low.rlike(HEALTH_WORD)
+    url, health = t.contains("://"), F.col("in_health") & low.rlike(HEALTH_CONTEXT)
     digit = t.rlike("[0-9]")
     gates = [(name, p, 0, t.contains(API_KEY_PARTS[name])) for name, p in API_KEYS.items()] + [
         ("azure-sas", AZURE_SAS, 0, t.contains("sig=") | t.contains("SIG=")), ("aws-access-key", AWS_KEY, 0, t.contains("AKIA") | t.contains("ASIA")), ("private-key", PRIVATE_KEY, 0, t.contains("-----BEGIN ")),
-        ("jwt", JWT, 0, t.contains("eyJ")), ("database-url", DATABASE_URL, 1, url), ("url", WEB_URL, 1, url), ("env-style-secret", ENV_VALUE, 1, t.contains("=") & ~F.col("file").rlike(r"(^|/)\.env[^/]*$")),
+        ("jwt", JWT, 0, t.contains("eyJ")), ("database-url", DATABASE_URL, 0, url), ("url", WEB_URL, 0, url), ("env-style-secret", ENV_VALUE, 1, t.contains("=") & ~F.col("file").rlike(r"(^|/)\.env[^/]*$")),
         ("high-entropy", LITERAL, 1, t.contains('"') | t.contains("'")), ("email", EMAIL, 0, in_tests & t.contains("@")), ("phone", PHONE, 0, in_tests & digit), ("address", ADDRESS, 0, in_tests & digit), *[(n, p, 0, health) for n, p in HEALTH.items()],
     ]
+    gates = [x for x in gates if rules is None or RULE_OF[x[0]] in rules]
+    likely = F.lit(False)
+    for gate in {str(x[3]): x[3] for x in gates}.values():
+        likely |= gate  # most lines end here
     found = F.array(*[F.struct(F.lit(n).alias("detector"), F.when(gate, F.regexp_extract_all("text", F.lit(p), F.lit(g))).alias("values")) for n, p, g, gate in gates])
-    rows = lines(units).select("file", "line", "text", F.inline(found)).select("file", "line", "text", "detector", F.explode("values").alias("value"))
+    rows = units.select("file", F.col("source").rlike(HEALTH_WORD).alias("in_health"), F.posexplode(F.split("source", "\n")).alias("at", "text")).withColumn("line", F.col("at") + 1)
+    rows = rows.where(likely).select("file", "line", "text", F.inline(found)).select("file", "line", "text", "detector", F.explode("values").alias("value"))
     small, bits = F.lower("value"), entropy(value)
     made_up = small.contains("@example.") | small.contains("@example-") | small.contains("@test.") | small.contains("example") | small.contains("555-010") | small.contains("555 010")
     credit = low.contains("@author") | low.contains("copyright") | small.rlike(RESERVED)
     long_hex = (F.length(value) >= 64) & value.rlike("^[0-9a-fA-F]+$")
     is_ = detector.isin
+    password = F.when(is_("database-url"), _password(DATABASE_URL)).when(is_("url"), _password(WEB_URL))
     kept = (
-        F.when(is_("private-key", *HEALTH), True).when(is_("email"), ~made_up & ~credit).when(is_("phone"), ~made_up).when(is_("address"), ~made_up & ~t.rlike(MARKER))
+        F.when(is_("private-key"), True).when(is_(*HEALTH), ~_placeholder_id()).when(is_("database-url", "url"), ~dummy(password)).when(is_("email"), ~made_up & ~credit).when(is_("phone"), ~made_up).when(is_("address"), ~made_up & ~t.rlike(MARKER))
         .when(dummy(value), False).when(is_("azure-sas"), value.rlike(r"(?i)\bsv=") & value.rlike(r"(?i)\bsig="))
         .when(is_("env-style-secret"), (F.length(value) >= 20) & (bits >= 3.5)).when(is_("high-entropy"), ~value.rlike(f"^{JWT}$") & ((F.round(bits, 6) >= 4.2) | long_hex)).otherwise(True)
     )
-    rule = F.lit("sensitive-data.api-key-pattern")
-    for name, names in (("aws-access-key", ["aws-access-key"]), ("private-key", ["private-key"]), ("jwt-token", ["jwt"]), ("database-url-password", ["database-url"]), ("url-credentials", ["url"]), ("hardcoded-env-value", ["env-style-secret"]), ("high-entropy-string", ["high-entropy"]), ("phi-pattern", list(HEALTH)), ("pii-test-fixture", ["email", "phone", "address"])):
-        rule = F.when(is_(*names), f"sensitive-data.{name}").otherwise(rule)
-    shown = F.when(is_("private-key"), value).when(is_("database-url", "url", "email", "phone", "address", *HEALTH), redacted(value)).otherwise(preview(value))
+    rule = F.element_at(F.create_map(*[F.lit(x) for pair in RULE_OF.items() for x in pair]), detector)
+    shown = F.when(is_("private-key"), value).when(is_("database-url", "url"), _without_password(password)).when(is_("email", "phone", "address", *HEALTH), redacted(value)).otherwise(preview(value))
     return rows.where(kept).select("file", "line", rule.alias("rule_id"), "detector", shown.alias("preview"))

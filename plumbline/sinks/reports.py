@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import fingerprint, stable_identity
+from plumbline.sources.files import BASELINE_VERSION
 
 
 def _escaped(text: Column, characters: str) -> Column:
@@ -62,5 +63,11 @@ def write_json(findings: DataFrame, path: str) -> None:
 
 
 def write_baseline(groups: DataFrame, path: str) -> None:
-    """Accepted groups (file, rule_id, message, accepted) as JSON lines, sorted."""
-    groups.orderBy("file", "rule_id", "message").select("file", F.col("rule_id").alias("ruleId"), "message", F.col("accepted").alias("count")).write.json(path)
+    """Accepted groups (file, rule_id, message, accepted) as JSON lines, sorted; each line is a baseline of one group."""
+    group = F.struct("file", F.col("rule_id").alias("ruleId"), "message", F.col("accepted").alias("count"))
+    groups.orderBy("file", "rule_id", "message").select(F.lit(BASELINE_VERSION).alias("schemaVersion"), F.array(group).alias("groups")).write.json(path)
+
+
+def append_history(entries: DataFrame, path: str) -> None:
+    """Add entries (timestamp, score, grade, scope, findings) to a history folder."""
+    entries.select("timestamp", "score", "grade", "scope", "findings").write.mode("append").json(path)

@@ -14,7 +14,7 @@ IGNORED_FOLDERS = (
     ".fleet", ".git", ".hg", ".idea", ".phpunit.cache", ".svn", ".vscode",
     "build", "cache", "coverage", "dist", "generated", "node_modules", "tmp", "var/cache", "vendor",
 )
-GENERATED_NAMES = ("composer.lock", "package-lock.json", "yarn.lock", "pnpm-lock.yaml")
+GENERATED_NAMES = ("bun.lockb", "composer.lock", "npm-shrinkwrap.json", "package-lock.json", "pnpm-lock.yaml", "yarn.lock")
 
 
 def file_type(path: Column) -> Column:
@@ -56,10 +56,19 @@ def missing_paths(requested: DataFrame, units: DataFrame) -> DataFrame:
     return requested.select(F.rtrim(F.col("path"), F.lit("/")).alias("path")).join(known, "path", "left_anti")
 
 
+BASELINE_VERSION = "plumbline.baseline.v2"
+
+
 def read_baseline(spark: SparkSession, path: str) -> DataFrame:
-    """file, rule_id, message, accepted of a baseline file; another version, a malformed or a repeated group is an error."""
-    raw = spark.read.schema("schemaVersion string, groups array<struct<file:string,ruleId:string,message:string,count:bigint>>").json(path, multiLine=True, mode="FAILFAST")
-    rows = raw.select(F.when(F.col("schemaVersion") == "plumbline.baseline.v2", F.col("groups")).otherwise(F.raise_error(F.lit("the baseline has another version; write it again"))).alias("groups")).select(F.inline("groups"))
+    """file, rule_id, message, accepted of a baseline; another version, a malformed or a repeated group is an error.
+
+    A baseline is one JSON document with all groups, or what ``write_baseline`` makes:
+    a folder of JSON lines, each a document with one group.
+    """
+    head = spark.read.text(path).where("value <> ''").first()
+    in_lines = head is not None and head[0].startswith("{") and head[0].rstrip().endswith("}")
+    raw = spark.read.schema("schemaVersion string, groups array<struct<file:string,ruleId:string,message:string,count:bigint>>").json(path, multiLine=not in_lines, mode="FAILFAST")
+    rows = raw.select(F.when(F.col("schemaVersion") == BASELINE_VERSION, F.col("groups")).otherwise(F.raise_error(F.lit("the baseline has another version; write it again"))).alias("groups")).select(F.inline("groups"))
     right = F.coalesce((F.col("count") >= 1) & F.col("file").isNotNull() & F.col("ruleId").isNotNull() & F.col("message").isNotNull(), F.lit(False))
     rows = rows.select("file", F.col("ruleId").alias("rule_id"), "message", F.when(right, F.col("count")).otherwise(F.raise_error(F.lit("malformed baseline group")).cast("long")).alias("accepted"))
     return rows.groupBy("file", "rule_id", "message").agg(F.when(F.count("*") == 1, F.max("accepted")).otherwise(F.raise_error(F.lit("repeated baseline group")).cast("long")).alias("accepted"))
@@ -70,9 +79,11 @@ SECTIONS = {"escaped": "escaped", "timeouted": "timed out", "killed": "killed",
 
 
 def read_mutants(spark: SparkSession, path: str) -> DataFrame:
-    """file, line, mutator, status of a mutation report."""
+    """file, line, mutator, status of a mutation report, or of a folder of reports that are one line each."""
+    head = spark.read.text(path).where("value <> ''").first()
+    in_lines = head is not None and head[0].startswith("{") and head[0].rstrip().endswith("}")
     mutant = "array<struct<mutator:struct<mutatorName:string,originalFilePath:string,originalStartLine:int>>>"
-    raw = spark.read.schema(", ".join(f"{s} {mutant}" for s in SECTIONS)).json(path, multiLine=True, mode="FAILFAST")
+    raw = spark.read.schema(", ".join(f"{s} {mutant}" for s in SECTIONS)).json(path, multiLine=not in_lines, mode="FAILFAST")
 
     def rows(section: str, status: str) -> Column:
         place = lambda m: F.struct(m["mutator"]["originalFilePath"].alias("file"), m["mutator"]["originalStartLine"].alias("line"), m["mutator"]["mutatorName"].alias("mutator"), F.lit(status).alias("status"))
@@ -83,15 +94,31 @@ def read_mutants(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """Score history: a JSON array of flat entries."""
-    return spark.read.schema("timestamp string, score double, grade string, scope string, findings long").json(path, multiLine=True, mode="FAILFAST")
+    """Score history: a JSON array of flat entries, or the folder that ``append_history`` adds to."""
+    head = spark.read.text(path).where("value <> ''").first()
+    in_lines = head is not None and head[0].startswith("{")
+    return spark.read.schema("timestamp string, score double, grade string, scope string, findings long").json(path, multiLine=not in_lines, mode="FAILFAST")
 
 
-def not_cached(units: DataFrame, cache: DataFrame, run_digest: str) -> tuple[DataFrame, DataFrame]:
-    """Units whose findings are not in the cache, and the cached findings of the others.
+def cache_key(run_digest: str) -> Column:
+    """Names the run's settings, the path and the content of a unit."""
+    return F.sha2(F.concat_ws("\x00", F.lit(run_digest), "file", F.sha2("source", 256)), 256)
 
-    A key names the run's settings, the path and the content.
-    """
-    key = F.sha2(F.concat_ws("\x00", F.lit(run_digest), "file", F.sha2("source", 256)), 256)
-    keyed = units.withColumn("cache_key", key)
+
+def cache_entries(units: DataFrame, findings: DataFrame, run_digest: str, used: Column) -> DataFrame:
+    """What a run adds to the cache: cache_key, file, used, n_findings and one row per finding (finding; null for a unit without any)."""
+    rows = findings.select(F.col("file").alias("_file"), F.struct(*[c for c in findings.columns if c != "file"]).alias("finding"))
+    keyed = units.select(cache_key(run_digest).alias("cache_key"), "file", used.alias("used"))
+    return keyed.join(rows, F.col("file") == F.col("_file"), "left").drop("_file")
+
+
+def evicted(cache: DataFrame, capacity: int = 32768) -> DataFrame:
+    """The cache without the entries that were used longest ago, beyond ``capacity`` keys."""
+    keys = cache.groupBy(F.col("cache_key").alias("_key")).agg(F.max("used").alias("_used"))
+    return cache.join(keys.orderBy(F.desc("_used"), "_key").limit(capacity).select("_key"), F.col("cache_key") == F.col("_key"), "left_semi")
+
+
+def not_cached(units: DataFrame, cache: DataFrame, run_digest: str) -> tuple[DataFrame, DataFrame]:
+    """Units whose findings are not in the cache, and the cached findings of the others."""
+    keyed = units.withColumn("cache_key", cache_key(run_digest))
     return keyed.join(cache.select("cache_key").distinct(), "cache_key", "left_anti"), cache.join(keyed.select("cache_key").distinct(), "cache_key", "left_semi")

@@ -41,6 +41,26 @@ def conversation_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.concat(F.lit("docs/c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"), F.lit(".md")).alias("file"), F.lit("text").alias("type"), F.coalesce("text", F.lit("")).alias("source"))
 
 
+def service_account_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON file per customer: service accounts with keys of several lengths, without one, and other kinds."""
+    k = F.col("c_custkey")
+    key = F.repeat(F.md5(k.cast("string").cast("binary")), (k % 6).cast("int"))
+    field = F.when(k % 5 == 0, '  "client_id": "7"').otherwise(F.concat(F.lit('  "private_key": "-----BEGIN PRIVATE KEY-----\\n'), key, F.lit('\\n-----END PRIVATE KEY-----\\n"')))
+    source = F.concat(F.lit('{\n  "type": "'), F.when(k % 7 == 0, "user").otherwise("service_account"), F.lit('",\n'), field, F.lit("\n}"))
+    return table(spark, sf_dir, "customer").select(F.concat(F.lit("keys/c"), k.cast("string"), F.lit(".json")).alias("file"), F.lit("text").alias("type"), source.alias("source"))
+
+
+def workflow_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One workflow file per supplier: its trigger, permissions, action and run block vary by key."""
+    k = F.col("s_suppkey")
+    source = F.concat_ws("\n",
+        F.when(k % 2 == 0, "on: pull_request_target").otherwise("on: push"), F.when(k % 3 == 0, "permissions: write-all").otherwise("permissions: read-all"), F.lit("jobs:\n  a:\n    steps:"),
+        F.concat(F.lit("      - uses: x/y@"), F.element_at(F.array(*map(F.lit, ("main", "v1", "latest", "0123abc"))), (k % 4 + 1).cast("int"))),
+        F.when(k % 5 == 0, "      - name: n").otherwise("      - run: |"), F.lit("          echo ${{ github.event.title }}"), F.lit("      - name: m\n        with:\n          t: ${{ github.event.title }}"),
+    )
+    return table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), k.cast("string"), F.lit("/.github/workflows/ci.yml")).alias("file"), F.lit("text").alias("type"), source.alias("source"))
+
+
 def _rule(i: int) -> Column:
     out = F.lit(None).cast("string")
     for event, values in RULE_OF_EVENT.items():
@@ -74,11 +94,11 @@ def findings_sql(where: str = "true") -> str:
 
 def changed_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changed line ranges of files: file, start, end. One file in ten of those named has changed without ranges."""
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 7 = 0 and l_linenumber = 1")
-    return li.select(F.concat(F.lit("src/m"), (F.col("l_orderkey") % 60).cast("string"), F.lit(".php")).alias("file"), (F.col("l_partkey") % 30 + 1).cast("int").alias("start"), (F.col("l_partkey") % 30 + 1 + F.col("l_suppkey") % 5).cast("int").alias("end")).distinct()
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(F.concat(F.lit("src/m"), (F.col("l_orderkey") % 20011).cast("string"), F.lit(".php")).alias("file"), (F.col("l_partkey") % 30 + 1).cast("int").alias("start"), (F.col("l_partkey") % 30 + 1 + F.col("l_suppkey") % 5).cast("int").alias("end")).distinct()
 
 
-RANGES_SQL = "(SELECT DISTINCT 'src/m' || (l_orderkey % 60) || '.php' AS file, (l_partkey % 30 + 1)::INT AS start, (l_partkey % 30 + 1 + l_suppkey % 5)::INT AS \"end\" FROM lineitem WHERE l_orderkey % 7 = 0 AND l_linenumber = 1)"
+RANGES_SQL = "(SELECT DISTINCT 'src/m' || (l_orderkey % 20011) || '.php' AS file, (l_partkey % 30 + 1)::INT AS start, (l_partkey % 30 + 1 + l_suppkey % 5)::INT AS \"end\" FROM lineitem)"
 
 
 def declarations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -233,3 +233,50 @@ def test_one_pass_scan_equals_the_single_rules(spark):
         single = single.unionByName(rule(units))
     found = sorted(map(str, map(tuple, text.scan(units).collect())))
     assert found == sorted(map(str, map(tuple, single.collect()))) and len(found) > 100
+
+
+def test_baseline_and_history_round_trips(spark, tmp_path):
+    groups = spark.createDataFrame([("f", "r", "m", 2), ("g\n", "r", 'q"', 1)], "file string, rule_id string, message string, accepted long")
+    reports.write_baseline(groups, str(tmp_path / "b"))
+    assert {tuple(r) for r in files.read_baseline(spark, str(tmp_path / "b")).collect()} == {tuple(r) for r in groups.collect()}
+    entry = spark.createDataFrame([("t", 1.5, "F", None, 3)], "timestamp string, score double, grade string, scope string, findings long")
+    for n in (1, 2):
+        reports.append_history(entry, str(tmp_path / "h"))
+        assert files.read_history(spark, str(tmp_path / "h")).count() == n
+
+
+def test_cache_eviction_keeps_what_was_used_last(spark):
+    cache = spark.createDataFrame([("a", 1), ("b", 5), ("b", 2), ("c", 3)], "cache_key string, used int")
+    assert {r["cache_key"] for r in files.evicted(cache, 2).collect()} == {"b", "c"}
+
+
+def test_health_context_and_placeholders(spark):
+    rows = [("a", "patient_id 123-45-6789"), ("b", "my patient_id 123-45-6789\nPatient"), ("docs/c", "patient sample 123-45-6789\npatient 123-45-6789"), ("d", "patientFundMembershipNum 123 456 789 patient")]
+    units = spark.createDataFrame([(f, "text", s) for f, s in rows], "file string, type string, source string")
+    assert sorted((r["file"], r["line"]) for r in text.health_ids(units).where("detector = 'ssn'").collect()) == [("b", 1), ("docs/c", 2)]
+    assert text.health_ids(units).where("file = 'd'").count() == 0
+
+
+def test_service_account_keys(spark):
+    body = lambda n: "-----BEGIN PRIVATE KEY-----\\n" + "k" * n + "\\n-----END PRIVATE KEY-----"
+    sources = ['{"type": "service_account", "private_key": "%s"}' % body(200), '{"type": "service_account", "private_key": "%s"}' % body(20), '{"type": "user", "private_key": "%s"}' % body(200), '{"type":\n"service_account"}', '"type" : "service_account"\n-----BEGIN PRIVATE KEY-----\n' + "x" * 120 + "\n-----END PRIVATE KEY-----"]
+    units = spark.createDataFrame([(str(i), "text", s) for i, s in enumerate(sources)], "file string, type string, source string")
+    assert sorted((r["file"], r["preview"]) for r in text.service_account_keys(units).collect()) == [("0", "----<redacted:256 chars>"), ("4", "<redacted service-account key>")]
+
+
+def test_analyse_runs_only_what_is_selected(spark):
+    units = spark.createDataFrame([("tests/a", "text", "TODO jo@corp.io\n" + "x\n" * 12)], "file string, type string, source string")
+    ids = lambda **o: sorted(r["rule_id"] for r in catalogue.analyse(units, catalogue.Selection(**o), max_lines=10).collect())
+    assert ids() == ["docs.todo-density", "sensitive-data.pii-test-fixture", "size.file-length"]
+    assert ids(rules=("docs.todo-density", "size.file-length")) == ["docs.todo-density", "size.file-length"]
+    assert ids(pillars=("size",), without_rules=("size.file-length",)) == []
+    plan = catalogue.analyse(units, catalogue.Selection(rules=("sensitive-data.jwt-token",)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "eyJ" in plan and "ghp_" not in plan
+
+
+def test_score_delta_and_scope(spark):
+    now, then = table(spark, {}, {}), table(spark, {})
+    delta = {r["pillar"]: r["delta"] for r in scoring.score_delta(now, then).collect()}
+    assert delta["size"] < 0 and delta[None] < 0 and scoring.new_findings(now, None).count() == 0 and scoring.new_findings(now, None, "all").count() == 2
+    wanted = spark.createDataFrame([("none",)], "file string")
+    assert scoring.in_scope(now, ["other"], wanted).count() == 2 and scoring.in_scope(now, ["size.file-length"], wanted).count() == 0
