@@ -44,6 +44,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import EDGE, connected_components, roots
 from .shared import materialise, table
@@ -178,10 +179,26 @@ def _verified(size: int, percent: int):
     return run
 
 
+def _likely(documents: DataFrame, docs: DataFrame, bits: int = 1 << 23) -> DataFrame:
+    """documents without most of those that docs (doc) does not name: a bitmap of ``bits`` bits goes to every task, so that other texts need not cross the network."""
+    slot = lambda doc: F.pmod(F.xxhash64(doc), F.lit(bits)) + 1
+    rows = docs.select(slot("doc").alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap")).collect()  # bits / 32,768 rows
+    known = np.zeros(bits // 8, dtype=np.uint8)
+    for r in rows:
+        known[(r["bucket"] - 1) * 4096 :][:4096] = np.frombuffer(r["bitmap"], dtype=np.uint8)
+
+    @F.arrow_udf(T.BooleanType())
+    def named(slots: pa.Array) -> pa.Array:
+        at = slots.to_numpy(zero_copy_only=False) - 1
+        return pa.array((known[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    return documents.where("doc_id is not null").where(named(slot("doc_id")))
+
+
 def _stars(documents: DataFrame, dealt: DataFrame, size: int, percent: int) -> DataFrame:
     """Stars (src, dst) of the verified links within each group, a part of a family; dealt: doc, family, parts."""
-    dealt = dealt.select("doc", F.explode("parts").alias("part"), "family").select("doc", F.concat_ws("/", "family", "part").alias("group"))
-    texts = documents.where("doc_id is not null").join(dealt, F.col("doc_id") == F.col("doc")).select("group", "doc", "text")
+    dealt = materialise(dealt, "ngram-dealt").select("doc", F.explode("parts").alias("part"), "family").select("doc", F.concat_ws("/", "family", "part").alias("group"))
+    texts = _likely(documents, dealt).join(dealt, F.col("doc_id") == F.col("doc")).select("group", "doc", "text")
     return materialise(texts.repartition("group").sortWithinPartitions("group").mapInArrow(_verified(size, percent), EDGE), "ngram-links")
 
 
@@ -190,7 +207,7 @@ def _uniform(salt: str, doc: str = "doc"):
     return F.shiftrightunsigned(F.xxhash64(F.lit(salt), F.col(doc)), 11) / float(1 << 53)
 
 
-def verify(documents: DataFrame, sets: DataFrame, families: DataFrame, postings: DataFrame, size: int, percent: int, block_docs: int = 300, block_shingles: int = 1_000_000, pivots: int = 48) -> tuple[DataFrame, bool]:
+def verify(documents: DataFrame, sets: DataFrame, families: DataFrame, postings: DataFrame, size: int, percent: int, block_docs: int = 500, block_shingles: int = 1_000_000, pivots: int = 48) -> tuple[DataFrame, bool]:
     """Stars (src, dst) of the verified links, and whether a family was dealt into blocks."""
     member = families.join(sets.select("doc", "n"), F.col("node") == F.col("doc")).select("doc", "n", F.col("component").alias("family"))
     blocks = member.groupBy("family").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
@@ -226,7 +243,7 @@ def verify(documents: DataFrame, sets: DataFrame, families: DataFrame, postings:
     return found.unionByName(_stars(documents, dealt, size, percent)), True
 
 
-def jaccard_components(documents: DataFrame, size: int = 5, percent: int = 80, most_matches: int = 4, hot: int = 64, block_docs: int = 300, pivots: int = 48) -> DataFrame:
+def jaccard_components(documents: DataFrame, size: int = 5, percent: int = 80, most_matches: int = 4, hot: int = 64, block_docs: int = 500, pivots: int = 48) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id."""
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = signatures(documents, size, percent, most_matches)
