@@ -40,10 +40,11 @@ def _contract(batches):
         yield pa.RecordBatch.from_arrays([pa.array(nodes[leaf]), pa.array(root[leaf])], ["src", "dst"])
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, most_rounds: int = 60, at_once: int = 100_000) -> DataFrame:
     """node, component (smallest node of the same component) for every node of an edge (src, dst: long).
 
-    Each partition first contracts its own edges to stars. Then large-star and
+    Each partition first contracts its own edges to stars. If at most ``at_once``
+    edges are left, which is counted, one task contracts them. Else large-star and
     small-star rounds alternate until nothing changes: every node's neighbours
     that are greater (or not) are linked to its smallest neighbour. Both rounds
     need only a minimum per node and a join back to the edges, so that a node with
@@ -51,6 +52,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     first, so that both sides of the join are plain exchanges that AQE can split.
     """
     now = materialise(edges.select("src", "dst").where("src <> dst").mapInArrow(_contract, EDGE).distinct(), "components")
+    if now.count() <= at_once:
+        now, most_rounds = materialise(now.repartition(1).mapInArrow(_contract, EDGE), "components"), 0
     before = None
     for _ in range(most_rounds):
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
@@ -67,5 +70,6 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = large.join(low, F.col("src") == F.col("node")).select(F.col("dst").alias("src"), F.col("least").alias("dst")).where("src <> dst")
         now = materialise(small.unionByName(low.select(F.col("node").alias("src"), F.col("least").alias("dst"))).distinct(), "components")
     else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+        if most_rounds:
+            raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return now.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(now.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct())

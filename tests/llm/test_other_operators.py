@@ -18,7 +18,8 @@ def test_components_against_brute_force(spark):
         for a, b in edges:
             if a != b:
                 label[a] = label[b] = min(label[a], label[b])
-    assert {tuple(r) for r in components.connected_components(df).collect()} == set(label.items())
+    for at_once in (0, 100_000):
+        assert {tuple(r) for r in components.connected_components(df, at_once=at_once).collect()} == set(label.items())
     assert components.connected_components(df.limit(0)).count() == 0
 
 
@@ -184,14 +185,72 @@ def test_every_query_is_registered():
     assert [int(k[2:].split("_")[0]) for k in registry.QUERIES] == list(range(1, 11))
 
 
-def test_pipeline_keeps_its_contract(spark):
+def test_pipeline_stages_against_brute_force(spark, documents, nothing, tmp_path):
+    import re
+    from collections import Counter
+
     import corpus_pipeline
+    from plumbline.llm import mixing, packing, quality
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    from test_text_operators import brute_components
+
+    labels = spark.createDataFrame([(i, int(i % 7 > 0)) for i in range(60)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    documents.write.parquet(str(tmp_path / "documents.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    blank = r"[\x20\x09-\x0D]"
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    rows = lambda df: Counter(map(tuple, df.collect()))
+
+    def run(name):
+        found = stages[name](spark, docs, str(tmp_path))
+        assert found.columns == docs.columns and found.schema.simpleString() == docs.schema.simpleString()
+        assert stages[name](spark, nothing, str(tmp_path)).count() == 0
+        found.write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
 
-    assert len(corpus_pipeline.STAGES) == 5
-    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    docs = df
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        now = stage(spark, docs, "/root/testdata/sf0.001")
-        assert now.columns == df.columns, name
-        docs = now.cache()
-    assert corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001").agg({"length": "sum"}).first()[0] > 0
+    # quality: the k greatest keys of all rows, ties included
+    _, scores, least = quality.resample(docs, labels)
+    keyed = sorted((r["gumbel_key"] for r in scores.collect()), reverse=True)
+    kept = run("quality classifier")
+    assert kept.count() == sum(x >= least for x in keyed) and not rows(kept) - rows(docs)
+    assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in scores.collect() if r["gumbel_key"] >= least}
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))  # what follows sees every odd row
+    # exact dedup: of equal texts the longest, then the smallest id; one of repeated rows
+    best = {}
+    for r in docs.collect():
+        key = re.sub(blank, "", r["text"] or "")
+        rank = (-len(r["text"] or ""), r["doc_id"] is None, r["doc_id"] or 0)
+        best[key] = min(best.get(key, rank), rank)
+    docs = run("exact dedup")
+    assert Counter(best.values()) == Counter((-len(r["text"] or ""), r["doc_id"] is None, r["doc_id"] or 0) for r in docs.collect())
+    # near copies: the first of each group; rows without an id stay
+    label, _ = brute_components([(r["doc_id"], r["text"]) for r in docs.collect()], 5, 80)
+    wanted = Counter({r: n for r, n in rows(docs).items() if r[0] is None or label[r[0]] == r[0]})
+    docs = run("n-gram Jaccard join")
+    assert rows(docs) == wanted
+    # the mix: every row as often as SQL says
+    documents = docs.toArrow()  # noqa: F841  read by name
+    taken = Counter()
+    for doc, size, _, _, n in duckdb.sql(mixing.OP3_SQL).fetchall():
+        taken[doc, size] += n // size if size else 0
+    sizes = lambda df: Counter((r["doc_id"], len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))) for r in df.collect())
+    docs = run("mixing")
+    assert {k: n for k, n in sizes(docs).items() if k[1]} == {k: n for k, n in taken.items() if n}
+    # packing: each document's ids, in gapless sequences
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = stages["packing"](spark, docs, str(tmp_path)).collect()
+    tokens = Counter()
+    for r in docs.collect():
+        tokens[r["doc_id"]] += len(exact.encode(r["text"] or "", add_special_tokens=False).ids) + 1
+    found = Counter()
+    for r in pieces:
+        found[r["doc_id"]] += r["length"]
+    assert found == tokens
+    at = 0
+    for r in sorted(pieces, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["sequence_id"] * packing.SEQUENCE + r["offset"] == at
+        at += r["length"]
+    assert stages["packing"](spark, nothing, str(tmp_path)).count() == 0
