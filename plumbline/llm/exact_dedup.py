@@ -87,9 +87,11 @@ def build_index(documents: DataFrame, capacity: int, max_depth: int) -> tuple[Da
     entries = owned.groupBy("bucket", "local_depth", "pseudo_key", "normal").agg(F.max("rank").alias("best"), F.count("*").alias("group_size"))
     entries = entries.select("bucket", "local_depth", "pseudo_key", F.sha2("normal", 256).alias("digest"), F.expr(f"best div {1 << 65}").alias("keep_points"), F.expr(f"pmod(best, {1 << 65})").alias("rest"), "group_size")
     entries = entries.withColumn("keep_id", F.expr(f"if(rest > 0, {1 << 63} - rest, null)").cast("long")).drop("rest")
+    entries = materialise(entries, "dedup-entries")  # else the sampling for the ranges would read the texts again
     chain = F.row_number().over(Window.partitionBy("bucket", "pseudo_key").orderBy("digest"))
-    index = entries.repartitionByRange("bucket", "pseudo_key").withColumn("chain", chain)
-    return materialise(index, "dedup-index"), keys, slots
+    index = materialise(entries.repartitionByRange("bucket", "pseudo_key").withColumn("chain", chain), "dedup-index")
+    discard(entries)
+    return index, keys, slots
 
 
 def exact_dedup(documents: DataFrame, capacity: int = 1 << 15, max_depth: int = 16) -> DataFrame:
