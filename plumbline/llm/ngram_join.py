@@ -44,10 +44,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .components import EDGE, connected_components, roots
-from .shared import materialise, table
+from .shared import among, materialise, table
 from .wordhash import hash_words, shingles, text_chunks
 
 SIGNATURE = "doc_id long, n long, set_id binary, tokens array<long>"
@@ -179,26 +178,12 @@ def _verified(size: int, percent: int):
     return run
 
 
-def _likely(documents: DataFrame, docs: DataFrame, bits: int = 1 << 23) -> DataFrame:
-    """documents without most of those that docs (doc) does not name: a bitmap of ``bits`` bits goes to every task, so that other texts need not cross the network."""
-    slot = lambda doc: F.pmod(F.xxhash64(doc), F.lit(bits)) + 1
-    rows = docs.select(slot("doc").alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap")).collect()  # bits / 32,768 rows
-    known = np.zeros(bits // 8, dtype=np.uint8)
-    for r in rows:
-        known[(r["bucket"] - 1) * 4096 :][:4096] = np.frombuffer(r["bitmap"], dtype=np.uint8)
-
-    @F.arrow_udf(T.BooleanType())
-    def named(slots: pa.Array) -> pa.Array:
-        at = slots.to_numpy(zero_copy_only=False) - 1
-        return pa.array((known[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
-
-    return documents.where("doc_id is not null").where(named(slot("doc_id")))
-
-
 def _stars(documents: DataFrame, dealt: DataFrame, size: int, percent: int) -> DataFrame:
     """Stars (src, dst) of the verified links within each group, a part of a family; dealt: doc, family, parts."""
-    dealt = materialise(dealt, "ngram-dealt").select("doc", F.explode("parts").alias("part"), "family").select("doc", F.concat_ws("/", "family", "part").alias("group"))
-    texts = _likely(documents, dealt).join(dealt, F.col("doc_id") == F.col("doc")).select("group", "doc", "text")
+    dealt = materialise(dealt, "ngram-dealt")
+    dealt = dealt.select("doc", F.explode("parts").alias("part"), "family").select("doc", F.concat_ws("/", "family", "part").alias("group"))
+    named = among(dealt, F.xxhash64("doc"))  # else every text would cross the network
+    texts = documents.where("doc_id is not null").where(named(F.xxhash64("doc_id"))).join(dealt, F.col("doc_id") == F.col("doc")).select("group", "doc", "text")
     return materialise(texts.repartition("group").sortWithinPartitions("group").mapInArrow(_verified(size, percent), EDGE), "ngram-links")
 
 

@@ -2,30 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (``spark.checkpoint.dir``).
-
-    Where the setting is missing and Spark runs on this one machine (tests), a
-    temporary folder is made and set; elsewhere a missing setting is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="plumbline-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
+from plumbline.sources.staging import fresh_folder as fresh_path
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -52,3 +35,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def is_held_out(doc_id="doc_id"):
     """The fifth of the labels that no model learns from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(0)) % 5 == 0
+
+
+def among(keys: DataFrame, hashed: Column, bits: int = 1 << 23):
+    """A test of other rows' hashes: true for all that keys have, and for few others.
+
+    A bitmap of ``bits`` bits, however many keys there are, goes to every task. Where
+    it is full the test lets all rows pass, so it may only save work.
+    """
+    slot = lambda h: F.pmod(h, F.lit(bits)) + 1
+    rows = keys.select(slot(hashed).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap")).collect()  # bits / 32,768 rows
+    known = np.zeros(bits // 8, dtype=np.uint8)
+    for r in rows:
+        known[(r["bucket"] - 1) * 4096 :][:4096] = np.frombuffer(r["bitmap"], dtype=np.uint8)
+
+    @F.arrow_udf(T.BooleanType())
+    def test(slots: pa.Array) -> pa.Array:
+        at = slots.to_numpy(zero_copy_only=False) - 1
+        return pa.array((known[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    return lambda h: test(slot(h))

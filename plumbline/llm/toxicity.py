@@ -2,9 +2,10 @@
 
 An expression is a word, read as three nested units: its first four bytes, its
 first six, the whole word. Each class has an interpolated Kneser-Ney model of a
-unit given the unit before it: counts are continuation counts (distinct words to
-the left, so that copied lines count once), a discount is taken from each, and
-the mass so freed goes to a backoff distribution that both classes share. A unit
+unit given the shorter unit of the same word: counts are continuation counts
+(distinct words to the left, so that copied lines count once; the word to the left
+has no other part in the model), a discount is taken from each, and the mass so
+freed goes to a backoff distribution that both classes share. A unit
 too rare to pass the discount therefore has nearly the same probability in both
 classes. The score compares the two log-likelihoods, divided by the length in
 words; differences of single words below ``min_evidence`` nats are taken as

@@ -34,7 +34,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, materialise, table
+from .shared import among, fresh_path, materialise, table
 
 MANIFEST = "path string, records long"
 INDEX = "path string, offset long, length long, record_type string, record_id string, uri string, digest string"
@@ -47,8 +47,14 @@ def assign_types(pages: DataFrame, min_revisit: int = 1000) -> DataFrame:
     size, digest = F.octet_length("html").cast("long"), F.sha1("html")
     same = pages.select("page_id", size.alias("_bytes"), digest.alias("_digest")).where(F.col("_bytes") >= min_revisit)
     same = same.groupBy("_digest", "_bytes").agg(F.max("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-    found = pages.withColumns({"payload_bytes": size, "digest": digest}).join(same, (F.col("digest") == F.col("_digest")) & (F.col("payload_bytes") == F.col("_bytes")), "left")
-    return found.select("page_id", "url", "html", "payload_bytes", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first")).alias("refers_to"))
+    same = materialise(same, "warc-same")
+    pages = pages.withColumns({"payload_bytes": size, "digest": digest})
+    repeated = among(same, F.xxhash64("_digest", "_bytes"))(F.xxhash64("digest", "payload_bytes"))
+    # only pages whose payload may occur again meet the table of payloads that do
+    found = pages.where(repeated).join(same, (F.col("digest") == F.col("_digest")) & (F.col("payload_bytes") == F.col("_bytes")), "left")
+    columns = ["page_id", "url", "html", "payload_bytes", "digest"]
+    rest = pages.where(~repeated).select(*columns, F.lit(None).cast("long").alias("refers_to"))
+    return found.select(*columns, F.when(~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first")).alias("refers_to")).unionByName(rest)
 
 
 def record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
@@ -167,8 +173,8 @@ def _normaliser(folder: str, to: str, level: int):
 
 def normalise(archives: DataFrame, folder: str, to: str, level: int = 3) -> DataFrame:
     """Archives with a member per record, and sidecar indexes in to/index: path (in to), records."""
-    n = max(1, min(archives.count(), 10_000))
-    return materialise(archives.select("path").repartition(n, "path").mapInArrow(_normaliser(folder, to, level), MANIFEST), "warc-normal")
+    n = max(1, archives.count())  # a task for each archive
+    return materialise(archives.select("path").repartition(n).mapInArrow(_normaliser(folder, to, level), MANIFEST), "warc-normal")
 
 
 def read_index(archives: DataFrame, folder: str) -> DataFrame:
