@@ -12,7 +12,7 @@ from plumbline.functions.scores import threshold_severity
 from plumbline.functions.text import entropy, fingerprint, identifier_tokens, line_of, matches_path, path_regex, stable_identity
 from plumbline.operators import measures, reconcile, regions, scoring
 from plumbline.plans import catalogue
-from plumbline.rules import code, manifests, text
+from plumbline.rules import code, manifests, scopes, text
 from plumbline.sinks import reports
 from plumbline.sources import files, tables
 from plumbline.sources.staging import fresh_folder, staged
@@ -523,6 +523,11 @@ def code_findings(spark, sf):
     return code.code_findings(tables.code_units(spark, sf))
 
 
+@query(tables.SCOPE_FINDINGS_SQL)
+def scope_findings(spark, sf):
+    return scopes.scope_findings(tables.scope_units(spark, sf))
+
+
 @query(tables.CODE_SCOPES_SQL)
 def code_scopes(spark, sf):
     return code.declarations(code.code_lines(tables.code_units(spark, sf))).select("file", "kind", "name", "start", "end", "visibility")
@@ -563,6 +568,14 @@ def test_runner_flags(spark, sf):
     return manifests.test_runner_flags(tables.table(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit("/phpunit.xml")).alias("file"), source.alias("source")))
 
 
+@query("SELECT 'p' || p_partkey || '/phpunit.xml' AS file, 'test-quality.phpunit-deprecations-not-fatal' AS rule_id FROM part WHERE p_size % 3 <> 0 UNION ALL SELECT 'p' || p_partkey || '/phpunit.xml', 'test-quality.phpunit-coverage-source-missing' FROM part WHERE p_size % 4 > 1")
+def test_runner_gaps(spark, sf):
+    n = F.col("p_size")
+    head = F.concat(F.lit('<phpunit failOnDeprecation="'), F.when(n % 3 == 0, "TRUE").when(n % 3 == 1, "false").otherwise(""), F.lit('">'))
+    inside = F.when(n % 4 == 0, "<source><include/></source>").when(n % 4 == 1, "<filter><whitelist/></filter>").when(n % 4 == 2, "<filter/>").otherwise("")
+    return manifests.test_runner_gaps(tables.table(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit("/phpunit.xml")).alias("file"), F.concat(head, inside, F.lit("</phpunit>")).alias("source")))
+
+
 @query(f"SELECT ord, '::' || CASE severity WHEN 'advisory' THEN 'notice' ELSE severity END || ' file=' || file || ',line=' || line || ',title=' || rule_id || '::' || message AS text FROM {CUR}")
 def github_annotations(spark, sf):
     return reports.github_lines(current(spark, sf))

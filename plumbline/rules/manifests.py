@@ -45,6 +45,15 @@ def test_runner_flags(units: DataFrame, flags=("failOnWarning", "failOnRisky", "
     return rows.select("file", F.inline(each)).where("not is_set").select("file", "flag")
 
 
+def test_runner_gaps(units: DataFrame) -> DataFrame:
+    """What a test-runner file leaves open: file, rule_id."""
+    rows = units.where(F.col("file").rlike(r"(^|/)phpunit\.xml(\.dist)?$"))
+    fatal = F.lower(F.xpath_string("source", F.lit("/phpunit/@failOnDeprecation"))) == "true"
+    covered = F.xpath_boolean("source", F.lit("/phpunit/source | /phpunit/filter/whitelist"))
+    gaps = F.array_compact(F.array(F.when(~F.coalesce(fatal, F.lit(False)), "test-quality.phpunit-deprecations-not-fatal"), F.when(~F.coalesce(covered, F.lit(False)), "test-quality.phpunit-coverage-source-missing")))
+    return rows.select("file", F.explode(gaps).alias("rule_id"))
+
+
 def risky_workflows(units: DataFrame) -> DataFrame:
     """Risky lines of workflow files: file, line, problem.
 

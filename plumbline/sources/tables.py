@@ -205,3 +205,57 @@ CODE_FINDINGS_SQL = " UNION ALL ".join([
 ])
 CODE_SCOPES_SQL = f"""SELECT 'src/C' || p_partkey || '.php' AS file, kind, CASE WHEN kind = 'class' THEN {NAME} ELSE name END AS name, s AS start, e AS "end", visibility
   FROM part, (VALUES ('class', 'c', 4, 12, 'public'), ('method', 'run', 10, 10, 'public'), ('method', 'f', 11, 11, 'private')) v(kind, name, s, e, visibility)"""
+
+
+def scope_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One test class per part, with comment blocks, parameters and bodies that vary by key."""
+    k = F.col("p_partkey")
+    lines = F.array(
+        F.lit("<?php"),
+        F.concat(F.lit("class T"), k.cast("string"), F.lit("Test {")),
+        F.lit("    /**"),
+        F.concat(F.lit("     * @param int $"), F.when(k % 11 == 0, "b").otherwise("a"), F.when(k % 3 == 0, " The first.").otherwise("")),
+        F.when(k % 4 == 0, "     * Text only.").otherwise("     * @return int"),
+        F.lit("     */"),
+        F.lit("    public function run(int $a, bool $noCache) {"),
+        F.when(k % 5 == 0, "        ini_set('display_errors', '1');").otherwise("        $x = unserialize($a);"),
+        F.when(k % 7 == 0, "        throw new X();").otherwise("        return $a;"),
+        F.lit("    }"),
+        F.lit("    /** @dataProvider rows */"),
+        F.lit("    public function testIt() {"),
+        F.when(k % 2 == 0, "        $this->expectException(X::class);").otherwise("        $this->assertSame(1, 1);"),
+        F.when(k % 3 == 0, "        $this->expectExceptionMessage('m');").otherwise("        new \\ReflectionMethod($this, 'b');"),
+        F.lit("    }"),
+        F.lit("    protected function setUp(): void {"),
+        F.array_join(F.array_repeat(F.lit("        $this->a = 1;"), F.when(k % 13 == 0, 9).otherwise(1)), "\n"),
+        F.lit("    }"),
+        F.lit("}"),
+    )
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("tests/T"), k.cast("string"), F.lit("Test.php")).alias("file"), F.lit("php").alias("type"), F.array_join(lines, "\n").alias("source"))
+
+
+def _scoped(rule: str, line: int, symbol: str | None = None, where: str = "true", value: str = "NULL") -> str:
+    name = "NULL" if symbol is None else f"'{symbol}'"
+    return f"SELECT 'tests/T' || p_partkey || 'Test.php' AS file, {line}::INT AS line, '{rule}' AS rule_id, {name} AS symbol, {value}::BIGINT AS value FROM part WHERE {where}"
+
+
+SCOPE_FINDINGS_SQL = " UNION ALL ".join([
+    _scoped("security.debug-mode-enabled", 8, None, "p_partkey % 5 = 0"),
+    _scoped("security.unsafe-unserialize", 8, None, "p_partkey % 5 <> 0"),
+    _scoped("docs.bare-phpdoc-tags", 7, "run", "p_partkey % 3 <> 0 AND p_partkey % 4 <> 0"),
+    _scoped("docs.missing-return-tag", 7, "run", "p_partkey % 4 = 0"),
+    _scoped("docs.missing-return-tag", 12, "testIt"),
+    _scoped("docs.missing-throws-tag", 7, "run", "p_partkey % 7 = 0"),
+    _scoped("docs.return-comment", 7, "run", "p_partkey % 4 <> 0 AND p_partkey % 7 <> 0"),
+    _scoped("test-quality.data-provider-annotation", 12, "testIt"),
+    _scoped("docs.missing-param-tag", 7, "noCache"),
+    _scoped("docs.missing-param-tag", 7, "a", "p_partkey % 11 = 0"),
+    _scoped("docs.stale-param-tag", 7, "b", "p_partkey % 11 = 0"),
+    _scoped("naming.negative-boolean", 7, "noCache"),
+    _scoped("waste.unused-parameter", 7, "noCache"),
+    _scoped("waste.unused-parameter", 7, "a", "p_partkey % 35 = 0"),
+    _scoped("test-quality.trivial-assertion", 13, "testIt", "p_partkey % 2 = 1"),
+    _scoped("test-quality.private-reflection", 14, "testIt", "p_partkey % 3 <> 0"),
+    _scoped("test-quality.exception-type-only", 12, "testIt", "p_partkey % 2 = 0 AND p_partkey % 3 <> 0"),
+    _scoped("test-quality.setup-bloat", 16, "setUp", "p_partkey % 13 = 0", "9"),
+])

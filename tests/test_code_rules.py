@@ -59,3 +59,33 @@ def test_limits_and_masks(spark):
     found = {r["rule_id"]: r["value"] for r in code.code_findings(spark.createDataFrame([("b.php", "php", source)], "file string, type string, source string")).collect()}
     assert found["complexity.cyclomatic"] == 1 + 120 + 6 and found["complexity.nesting-depth"] == 6 and found["size.parameter-count"] == 11
     assert "size.method-length" not in found
+
+
+SCOPES = """<?php
+class Thing extends Base {
+    public function over($unused, bool $disableIt) { return 1; }
+    private function own($left, $used) { return $used; }
+    /**
+     * Says what it does.
+     *
+     * @param string $used Its text.
+     * @return string
+     */
+    #[Pure]
+    public function told(string $used): string { return $used; }
+    /** @return void */
+    public function quiet(): void { curl_setopt($c, CURLOPT_SSL_VERIFYPEER, false); }
+    public function calls() { return unserialize($this->x, ['allowed_classes' => false]) . unserialize('a'); }
+}
+"""
+
+
+def test_scope_rules(spark):
+    from plumbline.rules import scopes
+
+    units = spark.createDataFrame([("src/Thing.php", "php", SCOPES), ("e.php", "php", ""), ("f.php", "php", "<?php\n/** alone")], "file string, type string, source string")
+    found = {(r["line"], r["rule_id"], r["symbol"]) for r in scopes.scope_findings(units).collect()}
+    assert found == {
+        (3, "naming.negative-boolean", "disableIt"), (4, "waste.unused-parameter", "left"), (12, "docs.return-comment", "told"),
+        (14, "docs.bare-phpdoc-tags", "quiet"), (14, "security.disabled-ssl-verification", None),
+    }
