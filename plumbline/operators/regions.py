@@ -9,9 +9,11 @@ from pyspark.sql.window import Window
 # fixed values: rules that judge a file, and rules that are parked on one line
 FILE_AGGREGATES = ("docs.todo-density", "size.file-length")
 ANCHORED = ("docs.todo-density", "size.average-method-length", "size.class-length", "size.file-length", "size.property-count", "size.public-method-count")
+#: Lines of a bucket of the interval joins.
+BUCKET = 64
 
 
-def touching(rows: DataFrame, ranges: DataFrame, start: Column, end: Column, key: str = "ord", bucket: int = 64) -> DataFrame:
+def touching(rows: DataFrame, ranges: DataFrame, start: Column, end: Column, key: str = "ord", bucket: int = BUCKET) -> DataFrame:
     """Keys of rows whose span overlaps a range of the same file.
 
     Spans and ranges are cut into buckets of lines, so that the join is an
@@ -24,7 +26,7 @@ def touching(rows: DataFrame, ranges: DataFrame, start: Column, end: Column, key
     return spans.join(cuts, same, "left_semi").select(key).distinct()
 
 
-def enclosing(findings: DataFrame, declarations: DataFrame, bucket: int = 64) -> DataFrame:
+def enclosing(findings: DataFrame, declarations: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """ord, e_start, e_end of the smallest declaration around each finding; the first by start of equal ones."""
     spans = findings.where("line is not null").select("ord", "file", "line", F.coalesce("end_line", "line").alias("_to"), F.floor(F.col("line") / bucket).alias("_bucket"))
     cuts = declarations.select(F.col("file").alias("_file"), F.col("start").alias("_start"), F.col("end").alias("_end"), F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket))).alias("_cut"))
@@ -41,20 +43,27 @@ def changed_region(findings: DataFrame, changed_files: DataFrame, ranges: DataFr
     stays only if its line changed; then its own span, and in symbol scope the
     innermost declaration around it, must overlap a range.
     """
-    files = changed_files.select(F.col("file").alias("_changed")).distinct()
-    ranged = ranges.select(F.col("file").alias("_ranged")).distinct()
-    out = findings.join(files, F.col("file") == F.col("_changed"), "left").join(ranged, F.col("file") == F.col("_ranged"), "left")
-    mark = lambda keys, name: keys.select(F.col("ord").alias(f"_{name}_ord"), F.lit(True).alias(name))
-    line = F.col("line")
-    marks = {"own": touching(findings.where("line is not null"), ranges, line, F.coalesce("end_line", "line")), "anchor": touching(findings.where("line is not null"), ranges, line, line)}
+    known = changed_files.select(F.col("file").alias("_file"), F.lit(True).alias("changed"), F.lit(False).alias("ranged"))
+    known = known.unionByName(ranges.select(F.col("file").alias("_file"), F.lit(False).alias("changed"), F.lit(True).alias("ranged")))
+    known = known.groupBy("_file").agg(F.max("changed").alias("_changed"), F.max("ranged").alias("_ranged"))
+    line, to = F.col("line"), F.coalesce("end_line", "line")
+    spans = [F.struct(F.lit("own").alias("kind"), line.alias("a"), to.alias("b")), F.struct(F.lit("anchor").alias("kind"), line.alias("a"), line.alias("b"))]
+    placed = findings.where("line is not null").select("ord", "file", "line", "end_line")
     if scope == "symbol" and declarations is not None:
-        around = enclosing(findings, declarations).join(findings.select("ord", "file"), "ord")
-        marks["around"] = touching(around, ranges, F.col("e_start"), F.col("e_end"))
-    for name, keys in marks.items():
-        out = out.join(mark(keys, name), F.col("ord") == F.col(f"_{name}_ord"), "left")
-    is_ = lambda name: F.coalesce(F.col(name), F.lit(False)) if name in marks else F.lit(False)
+        around = enclosing(findings, declarations).withColumnRenamed("ord", "_around")
+        placed = placed.join(around, F.col("ord") == F.col("_around"), "left")
+        spans.append(F.when(F.col("e_start").isNotNull(), F.struct(F.lit("around").alias("kind"), F.col("e_start").alias("a"), F.col("e_end").alias("b"))))
+    # all spans of a finding meet the ranges in one join by (file, line bucket)
+    cuts = lambda a, b: F.explode(F.sequence(F.floor(a / BUCKET), F.floor(b / BUCKET)))
+    each = placed.select("ord", "file", F.inline(F.array_compact(F.array(*spans))))
+    each = each.where("a <= b").select("ord", "file", "kind", "a", "b", cuts(F.col("a"), F.col("b")).alias("cut"))
+    changed = ranges.where("start <= end").select(F.col("file").alias("_file"), F.col("start").alias("_start"), F.col("end").alias("_end"), cuts(F.col("start"), F.col("end")).alias("_cut"))
+    hit = each.join(changed, (F.col("file") == F.col("_file")) & (F.col("cut") == F.col("_cut")) & (F.col("_start") <= F.col("b")) & (F.col("_end") >= F.col("a")))
+    hit = hit.groupBy(F.col("ord").alias("_ord")).agg(*[F.max(F.col("kind") == k).alias(f"_{k}") for k in ("own", "anchor", "around")])
+    out = findings.join(known, F.col("file") == F.col("_file"), "left").join(hit, F.col("ord") == F.col("_ord"), "left")
+    is_ = lambda name: F.coalesce(F.col(f"_{name}"), F.lit(False))
     kept = (
-        F.when(F.col("_changed").isNull(), False).when(line.isNull() | F.col("_ranged").isNull(), True)
+        F.when(~is_("changed"), False).when(line.isNull() | ~is_("ranged"), True)
         .when(F.lit(scope == "file") & F.col("rule_id").isin(*FILE_AGGREGATES), True)
         .when(F.lit(scope != "file") & F.col("rule_id").isin(*ANCHORED), is_("anchor"))
         .otherwise(is_("own") | is_("around"))

@@ -469,6 +469,11 @@ for _scope in ("symbol", "hunk", "file"):
     _region(_scope)
 
 
+@query(f"SELECT ord FROM {CUR} c WHERE EXISTS (SELECT 1 FROM {RANGES_SQL} r WHERE r.file = c.file AND r.start <= c.end_line AND r.\"end\" >= c.line)")
+def overlapping_spans(spark, sf):
+    return regions.touching(current(spark, sf), tables.changed_ranges(spark, sf), F.col("line"), F.col("end_line"))
+
+
 @query(f"SELECT ord, d.s AS e_start, d.e AS e_end FROM {AROUND}")
 def enclosing_interval(spark, sf):
     return regions.enclosing(current(spark, sf), tables.declarations(spark, sf))
