@@ -91,24 +91,27 @@ def added_tokens(vocabulary: str) -> dict[str, int]:
     return {t["content"]: t["id"] for t in found}
 
 
-def load_encoder(vocabulary: str, pattern: str, added: dict[str, int] | None = None):
-    """The byte-level BPE of a ranks file; texts are split at added tokens first."""
+def load_encoding(vocabulary: str, pattern: str, added: dict[str, int] | None = None):
+    """The byte-level BPE of a ranks file with its added tokens, and the largest id."""
     import tiktoken
 
     with open(vocabulary, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     encoding = tiktoken.Encoding(vocabulary, pat_str=pattern, mergeable_ranks=ranks, special_tokens=added or {})
-    largest = max([*ranks.values(), *(added or {}).values()])
-    if not added:
-        return encoding.encode_ordinary, largest
-    return lambda text: encoding.encode(text, allowed_special="all"), largest
+    return encoding, max([*ranks.values(), *(added or {}).values()])
+
+
+def load_encoder(vocabulary: str, pattern: str):
+    """The ids of a text that holds no added token, and the largest id."""
+    encoding, largest = load_encoding(vocabulary, pattern)
+    return encoding.encode_ordinary, largest
 
 
 def _tokenised(vocabulary: str, pattern: str, end: int, pieces_in_memory: int):
     def run(batches):
         added = added_tokens(vocabulary)
-        encode, _ = load_encoder(vocabulary, pattern)
-        encode_marked, largest = load_encoder(vocabulary, pattern, added)
+        encoding, largest = load_encoding(vocabulary, pattern, added)  # one for both uses: it takes much of a worker's memory
+        encode, encode_marked = encoding.encode_ordinary, lambda text: encoding.encode(text, allowed_special="all")
         code = "H" if max(largest, end) < 1 << 16 else "I"
         cache, closing, width = PieceIds(encode, code, pieces_in_memory), array(code, [end]).tobytes(), array(code).itemsize
         part = TaskContext.get().partitionId() << 32
