@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, exact_dedup, html_text, mixing, ngram_join, packing, quality, secrets, toxicity, warc
+from . import embedding_dedup, exact_dedup, html_text, mixing, ngram_join, packing, prefix_trie, ptolemaic, quality, secrets, toxicity, vector_packing, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,9 +15,14 @@ QUERIES = {
     "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op9_packing": packing.op9_packing,
     "op10_ngram_join": ngram_join.op10_ngram_join,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_centroids": ptolemaic.op12_centroids,
+    "op13_vector_packing": vector_packing.op13_vector_packing,
 }
 SQL: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op3_mixing": mixing.OP3_SQL,
     "op6_warc": warc.OP6_SQL,
+    "op11_prefix_trie": prefix_trie.OP11_SQL,
+    "op12_centroids": ptolemaic.OP12_SQL,
 }
