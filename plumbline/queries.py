@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.scores import threshold_severity
 from plumbline.functions.text import entropy, fingerprint, identifier_tokens, line_of, matches_path, path_regex, stable_identity
-from plumbline.operators import measures, reconcile, regions, scoring
+from plumbline.operators import asof, measures, reconcile, regions, scoring
 from plumbline.plans import catalogue
-from plumbline.rules import code, manifests, scopes, text
+from plumbline.rules import code, flow, manifests, scopes, statements, text
 from plumbline.sinks import reports
-from plumbline.sources import files, tables
+from plumbline.sources import files, samples, tables
 from plumbline.sources.staging import fresh_folder, staged
 from plumbline.streaming import incremental
 from plumbline.sources.tables import ACCEPTED, BASE, CONFIGS_SQL, CURRENT, DECLARATIONS_SQL, HISTORY_SQL, MUTANTS_SQL, RANGES_SQL, findings_sql
@@ -538,6 +538,42 @@ def code_scopes(spark, sf):
     return code.declarations(code.code_lines(tables.code_units(spark, sf))).select("file", "kind", "name", "start", "end", "visibility")
 
 
+@query(samples.BLOCKS_SQL)
+def code_blocks(spark, sf):
+    """Blocks and how many statements lie directly in each."""
+    rows = staged(statements.segments(samples.metric_units(spark, sf)), "code-segments")
+    inside = rows.where(statements.is_statement()).groupBy(F.col("file").alias("_file"), F.col("block.seq").alias("_seq")).agg(F.count("*").alias("n"))
+    heads = rows.where("kind is not null").join(inside, (F.col("file") == F.col("_file")) & (F.col("seq") == F.col("_seq")), "left")
+    return heads.select("file", "kind", F.col("line").cast("int").alias("line"), F.coalesce("n", F.lit(0)).alias("statements"))
+
+
+@query(samples.METRICS_SQL)
+def function_metrics(spark, sf):
+    """Metrics of every function; volume and maintainability of those whose tokens SQL counts, by name."""
+    found = statements.function_metrics(staged(statements.segments(samples.metric_units(spark, sf)), "code-segments"))
+    by_hand = lambda column, *names: F.when(F.col("name").isin(*names), F.round(column, 6)).alias(column)
+    return found.select("file", "name", F.col("line").cast("int").alias("line"), F.col("statement_lines").cast("long").alias("statement_lines"), F.col("cognitive").cast("long").alias("cognitive"), F.col("cyclomatic").cast("long").alias("cyclomatic"), by_hand("volume", "long", "give"), by_hand("maintainability", "long"))
+
+
+@query(samples.METRIC_FINDINGS_SQL)
+def statement_findings(spark, sf):
+    return statements.statement_findings(samples.metric_units(spark, sf))
+
+
+@query(samples.FLOW_FINDINGS_SQL)
+def flow_findings(spark, sf):
+    return flow.flow_findings(samples.flow_units(spark, sf))
+
+
+@query("SELECT u.event_id, v.value AS last_purchase FROM (SELECT * FROM events WHERE event_type = 'error') u ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY user_id, ts) v ON u.user_id = v.user_id AND u.ts > v.ts")
+def last_value_before(spark, sf):
+    """What a user last paid before each error."""
+    events = tables.table(spark, sf, "events")
+    errors, paid = (events.where(F.col("event_type") == t) for t in ("error", "purchase"))
+    found = asof.last_before(errors.select("event_id", "user_id", "ts"), paid.select("user_id", "ts", "value"), ("user_id",), "ts", ("value",))
+    return found.select("event_id", F.col("value").alias("last_purchase"))
+
+
 # ---------------------------------------------------------------- manifests and sinks
 
 

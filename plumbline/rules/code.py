@@ -34,7 +34,6 @@ CALLS = {
     "security.insecure-random": r"(?<![>:\w$\\])(?:lcg_value|mt_rand|rand)\s*\(",
     "security.weak-crypto": r"(?<![>:\w$\\])(?:md5|sha1|mcrypt_\w+)\s*\(",
     "security.error-suppression": r"(?<![\w@])@\s*[$\w\\]",
-    "security.variable-include": r"\b(?:include|require)(?:_once)?\s*\(?\s*\$",
     "modernisation.forbidden-global-access": r"\$_(?:GET|POST|SESSION)\b",
 }
 LIMITS = {"size.class-length": 1000, "size.file-length": 1000, "size.method-length": 100, "size.parameter-count": 10, "size.property-count": 15, "size.public-method-count": 25, "size.average-method-length": 50, "complexity.cyclomatic": 20, "complexity.nesting-depth": 4, "test-quality.test-method-too-long": 25}
