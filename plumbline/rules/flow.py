@@ -47,7 +47,7 @@ INTERPOLATED = r'"[^"]*\$\w|\.\s*\(?\s*\$\w|^\s*\$\w[^"\']*\.'
 
 def calls(text: Column, head: str) -> Column:
     """The calls in a text whose name and what stands before it match ``head``, whole."""
-    return F.regexp_extract_all(text, F.lit(rf"{head}\s*{GROUP}"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(rf"(?:{head})\s*{GROUP}"), F.lit(0))
 
 
 def argument(call: Column, i: int) -> Column:
