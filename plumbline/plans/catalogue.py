@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.plans import protocol
 from plumbline.rules import text
 
 RULE_SCHEMA = "rule_id string, pillar string, tier string, severity string, confidence string, enabled boolean"
@@ -24,7 +25,7 @@ RULES = (
     ("sensitive-data.private-key", "sensitive-data", "warning", "high"),
     ("sensitive-data.url-credentials", "sensitive-data", "warning", "high"),
     ("size.file-length", "size", "error", "high"),
-    ("docs.todo-density", "documentation", "advisory", "high"),
+    ("docs.todo-density", "documentation", "error", "high"),
 )
 
 
@@ -42,10 +43,11 @@ class Selection:
     without_rules: tuple[str, ...] = ()
     disabled: frozenset[str] = field(default_factory=frozenset)
 
-    def names(self) -> dict[str, tuple[str, str, str]]:
-        """Pillar, severity and confidence of the selected rules, while the plan is made."""
+    def names(self, known: dict[str, tuple[str, str, str]] | None = None) -> dict[str, tuple[str, str, str]]:
+        """Pillar, severity and confidence of the selected ones of known rules, while the plan is made."""
         free = not (self.tiers or self.pillars or self.rules)
-        chosen = [x for x in RULES if free or TIER in self.tiers or x[1] in self.pillars or x[0] in self.rules]
+        known = known or {r: (p, s, c) for r, p, s, c in RULES}
+        chosen = [(r, *v) for r, v in known.items() if free or TIER in self.tiers or v[0] in self.pillars or r in self.rules]
         return {r: (p, s, c) for r, p, s, c in chosen if p not in self.without_pillars and r not in self.without_rules and r not in self.disabled}
 
     def apply(self, rules: DataFrame) -> DataFrame:
@@ -69,26 +71,52 @@ def suggestions(rules: DataFrame, name: str, most: int = 3) -> DataFrame:
     return rules.select("rule_id", F.levenshtein("rule_id", F.lit(name)).alias("distance")).orderBy("distance", "rule_id").limit(most)
 
 
-def analyse(units: DataFrame, selection: Selection | None = None, max_lines: int = 1000) -> DataFrame:
-    """Findings of the selected rules on units: file, line, rule_id, detector, preview, pillar, severity, confidence.
-
-    Only detectors of selected rules are in the plan.
+def all_rules(more: tuple[protocol.RuleSet, ...] = ()) -> dict[str, tuple[str, str, str]]:
+    """Pillar, severity and confidence of every rule that analyse can run."""
+    found = {r: (p, s, c) for r, p, s, c in RULES}
+    for rules in (*protocol.built_in(), *more):
+        found |= rules.rules
+    return found
+
+
+def _evaluated(units: DataFrame, selection: Selection | None, max_lines: int, more: tuple[protocol.RuleSet, ...], observe: bool):
+    known = all_rules(more)
+    names = (selection or Selection()).names(known)
+    texts = {r for r, *_ in RULES} & names.keys()
+    whole = {"size.file-length", "docs.todo-density"}
+    sets = [
+        protocol.RuleSet("lines of texts", {r: known[r] for r in set(text.RULE_OF.values())}, lambda f: text.scan(f["units"], texts)),
+        protocol.RuleSet("service accounts", {"sensitive-data.gcp-service-account-key": known["sensitive-data.gcp-service-account-key"]}, lambda f: text.service_account_keys(f["units"])),
+        protocol.RuleSet("whole texts", {r: known[r] for r in whole}, lambda f: text.whole_texts(f["units"], texts, max_lines)),
+        *protocol.built_in(), *more,
+    ]
+    facts = protocol.Facts(units)
+    over_code = {r for rules in protocol.built_in() for r in rules.rules} & names.keys()
+    if over_code and facts["code"].isEmpty():  # then none of the facts of code is made
+        sets = [x for x in sets if not over_code & x.rules.keys()]
+    found, seen = protocol.evaluate(facts, sets, set(names), observe)
+    if not found:
+        found = [units.limit(0).select("file", *[F.lit(None).cast(t).alias(c) for c, t in protocol.COLUMNS.items() if c != "file"])]
+    rows = found[0]
+    for part in found[1:]:
+        rows = rows.unionByName(part)
+    if not names:
+        return rows.withColumns({c: F.lit(None).cast("string") for c in ("pillar", "severity", "confidence")}), seen
+    entries = F.create_map(*[F.lit(x) for r, v in names.items() for x in (r, "|".join(v))])
+    parts = F.split(F.element_at(entries, F.col("rule_id")), r"\|")
+    return rows.withColumns({"pillar": parts[0], "severity": parts[1], "confidence": parts[2]}), seen
+
+
+def analyse(units: DataFrame, selection: Selection | None = None, max_lines: int = 1000, more: tuple[protocol.RuleSet, ...] = ()) -> DataFrame:
+    """Findings of the selected rules on units (file, type, source).
+
+    Columns: file, line, rule_id, symbol, value, detector, preview, pillar, severity,
+    confidence. Only what selected rules need is in the plan; code rules read units of
+    type php. ``more`` are rule sets of one's own, which share the facts of the others.
     """
-    names = (selection or Selection()).names()
-    parts = []
-    if names.keys() & set(text.RULE_OF.values()):
-        parts.append(text.scan(units, set(names)))
-    if "sensitive-data.gcp-service-account-key" in names:
-        parts.append(text.service_account_keys(units))
-    whole = lambda rows, rule: rows.select("file", F.lit(1).alias("line"), F.lit(rule).alias("rule_id"), F.lit(None).cast("string").alias("detector"), F.lit(None).cast("string").alias("preview"))
-    if "size.file-length" in names:
-        parts.append(whole(text.file_length(units, max_lines), "size.file-length"))
-    if "docs.todo-density" in names:
-        parts.append(whole(text.todo_density(units), "docs.todo-density"))
-    if not parts:
-        parts.append(whole(units.limit(0), "none"))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    value = lambda i: F.element_at(F.create_map(*[F.lit(x) for r, v in names.items() for x in (r, v[i])]), F.col("rule_id")) if names else F.lit(None).cast("string")
-    return found.withColumns({"pillar": value(0), "severity": value(1), "confidence": value(2)})
+    return _evaluated(units, selection, max_lines, more, False)[0]
+
+
+def analyse_observed(units: DataFrame, selection: Selection | None = None, max_lines: int = 1000, more: tuple[protocol.RuleSet, ...] = ()) -> tuple[DataFrame, dict]:
+    """What analyse gives, and per rule set the observations (rows read, findings), which have values after an action on the findings."""
+    return _evaluated(units, selection, max_lines, more, True)

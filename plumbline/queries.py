@@ -259,10 +259,11 @@ def _analyse_sql():
         f"SELECT file, line, 'sensitive-data.phi-pattern', detector, {REDACTED} FROM {matches_sql(in_health, text.HEALTH)} m WHERE {HEALTH_WHERE} AND NOT ({sample})",
         f"SELECT file, line, 'sensitive-data.pii-test-fixture', detector, {REDACTED} FROM {matches_sql(UNITS, {'email': text.EMAIL, 'phone': text.PHONE, 'address': text.ADDRESS})} m WHERE {PII_WHERE}",
         f"SELECT file, 1, 'size.file-length', NULL, NULL FROM {lines_sql(ALL_UNITS)} GROUP BY file HAVING count(*) FILTER (regexp_matches(text, '[^ \\t\\r\\f]')) > 1000",
-        f"SELECT file, 1, 'docs.todo-density', NULL, NULL FROM {lines_sql(ALL_UNITS)} GROUP BY file HAVING sum(len(regexp_extract_all(text, '{text.TODO}'))) >= 1",
+        f"SELECT file, min(line) FILTER (regexp_matches(text, '{text.TODO}')), 'docs.todo-density', NULL, NULL FROM {lines_sql(ALL_UNITS)} GROUP BY file HAVING sum(len(regexp_extract_all(text, '{text.TODO}'))) > 10",
     ]
     rules = ", ".join(f"('{r}', '{p}', '{s}', '{c}')" for r, p, s, c in catalogue.RULES)
-    return f"SELECT f.*, pillar, severity, confidence FROM ({' UNION ALL '.join(parts)}) f JOIN (VALUES {rules}) v(rule_id, pillar, severity, confidence) USING (rule_id)"
+    value = f"CASE rule_id WHEN 'size.file-length' THEN (SELECT count(*) FILTER (regexp_matches(text, '[^ \\t\\r\\f]')) FROM {lines_sql(ALL_UNITS)} l WHERE l.file = f.file) WHEN 'docs.todo-density' THEN (SELECT sum(len(regexp_extract_all(text, '{text.TODO}'))) FROM {lines_sql(ALL_UNITS)} l WHERE l.file = f.file) END"
+    return f"SELECT f.*, NULL::VARCHAR AS symbol, ({value})::BIGINT AS value, pillar, severity, confidence FROM ({' UNION ALL '.join(parts)}) f JOIN (VALUES {rules}) v(rule_id, pillar, severity, confidence) USING (rule_id)"
 
 
 @query(_analyse_sql())
@@ -270,6 +271,12 @@ def analyse(spark, sf):
     return catalogue.analyse(tables.units(spark, sf).unionByName(tables.page_units(spark, sf)).unionByName(tables.conversation_units(spark, sf)))
 
 
+@query(samples.analyse_code_sql())
+def analyse_code(spark, sf):
+    """All security rules, lexical, by scope and by flow, over the same staged facts."""
+    return catalogue.analyse(samples.flow_units(spark, sf), catalogue.Selection(pillars=("security",)))
+
+
 # ---------------------------------------------------------------- counts and scores
 
 

@@ -165,7 +165,7 @@ def value_findings(rows: DataFrame, safe_receivers: tuple[str, ...] = ("wpdb",))
     return sql.unionByName(open_.select("file", "line", F.lit("security.variable-include").alias("rule_id"), "symbol")).distinct()
 
 
-def flow_findings(units: DataFrame) -> DataFrame:
+def flow_findings(units: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """file, line, rule_id, symbol of all rules over flow on code units."""
-    rows = staged(segments(units.select("file", "source")), "flow-segments")
+    rows = rows or staged(segments(units.select("file", "source")), "flow-segments")
     return taint_findings(flow_events(rows)).unionByName(value_findings(rows))

@@ -39,10 +39,10 @@ def parameters(header: Column) -> Column:
     return F.transform(each, lambda p: F.struct(F.regexp_extract(p, r"\$(\w+)", 1).alias("name"), F.trim(F.regexp_extract(p, r"^([^$&.]*)", 1)).alias("type")))
 
 
-def scope_findings(units: DataFrame) -> DataFrame:
+def scope_findings(units: DataFrame, lines: DataFrame | None = None, decls: DataFrame | None = None) -> DataFrame:
     """file, line, rule_id, symbol, value of the documentation, parameter and test-scope rules on code units."""
-    lines = staged(comment_blocks(code_lines(units.select("file", "source"))), "scope-lines")
-    decls = staged(measured(lines, declarations(lines)), "scope-declarations")
+    lines = lines or staged(comment_blocks(code_lines(units.select("file", "source"))), "scope-lines")
+    decls = decls or staged(measured(lines, declarations(lines)), "scope-declarations")
     callables = decls.where("kind in ('method', 'function')").withColumn("parameters", parameters(F.col("header")))
     out = [_report(lines, {
         "security.debug-mode-enabled": (F.col("raw").rlike(DEBUG_SETTING) & F.col("code").contains("ini_set"), None),

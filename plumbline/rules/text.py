@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions.text import entropy, redacted
+from plumbline.rules.code import PIECE
 
 # fixed values: the formats that providers publish
 API_KEYS = {
@@ -52,6 +53,7 @@ PEM_BLOCK = r"(?s)-----BEGIN[^-]*PRIVATE KEY-----.*?-----END[^-]*PRIVATE KEY----
 RESERVED = r"\.(?:local|test|invalid|localhost|example)$"
 MARKER = r"(?i)\b(?:anytown|demo|fake|sample|test)\b"
 TODO = r"(?i)\b(?:TODO|FIXME|HACK|XXX)\b"
+SOLID = r"[^ \t\r\f\n][^\n]*"
 #: Values that are plainly not secrets; a definition of our own.
 DUMMY = r"(?i)example|placeholder|changeme|dummy|^(.)\1*$"
 
@@ -182,13 +184,36 @@ def personal_data(units: DataFrame) -> DataFrame:
 
 def todo_density(units: DataFrame, per_lines: float = 1000.0, least: int = 1) -> DataFrame:
     """Markers per 1000 lines of files that have any: file, markers, lines, density."""
-    rows = lines(units).groupBy("file").agg(F.sum(F.size(F.regexp_extract_all("text", F.lit(TODO), F.lit(0)))).alias("markers"), F.count("*").alias("lines"))
+    count = lambda p: F.regexp_count("source", F.lit(p)).cast("long")
+    rows = units.select("file", count(TODO).alias("markers"), (count("\n") + 1).alias("lines"))
     return rows.where(F.col("markers") >= least).withColumn("density", F.round(F.col("markers") * per_lines / F.col("lines"), 4))
 
 
 def file_length(units: DataFrame, limit: int = 1000) -> DataFrame:
-    """Files with more substantive lines than the limit: file, m_lines."""
-    return lines(units).groupBy("file").agg(F.count_if(F.trim(F.regexp_replace("text", "[\t\r\f]", " ")) != "").alias("m_lines")).where(F.col("m_lines") > limit)
+    """Files with more substantive lines than the limit: file, m_lines. A match is what a line has from its first visible character on."""
+    return units.select("file", F.regexp_count("source", F.lit(SOLID)).cast("long").alias("m_lines")).where(F.col("m_lines") > limit)
+
+
+def _comments(source: Column, keep: bool) -> Column:
+    """A code text with all but its comments blank, or with its comments blank; lines and columns stay."""
+    is_comment = lambda p: p.rlike(r"^(?:/\*|//|#(?!\[))")
+    return F.array_join(F.transform(F.regexp_extract_all(source, F.lit(PIECE), F.lit(0)), lambda p: F.when(is_comment(p) == F.lit(keep), p).otherwise(F.regexp_replace(p, r"[^\n]", " "))), "")
+
+
+def whole_texts(units: DataFrame, rules: set[str], max_lines: int = 1000, max_markers: int = 10) -> DataFrame:
+    """Findings on files as a whole, in one narrow pass: file, line, rule_id, value.
+
+    Of code, lines without comments count for its length, and markers in comments for
+    their density, which is reported at the first of them; of other texts, all.
+    """
+    is_code, source, none = F.coalesce(F.col("type") == "php", F.lit(False)), F.col("source"), F.lit(None)
+    solid = F.regexp_count(F.when(is_code, _comments(source, False)).otherwise(source), F.lit(SOLID))
+    marked = F.when(source.rlike(TODO), F.when(is_code, _comments(source, True)).otherwise(source))
+    count = F.coalesce(F.regexp_count(marked, F.lit(TODO)), F.lit(0))
+    first = F.regexp_count(F.substring(marked, F.lit(1), F.regexp_instr(marked, F.lit(TODO))), F.lit("\n")) + 1
+    hit = lambda rule, line, value, limit: F.when((value > limit) & F.lit(rule in rules), F.struct(line.alias("line"), F.lit(rule).alias("rule_id"), value.cast("long").alias("value"))).otherwise(none)
+    found = F.array_compact(F.array(hit("size.file-length", F.lit(1), solid, max_lines), hit("docs.todo-density", first, count, max_markers)))
+    return units.select("file", F.inline(found))
 
 
 def line_prefix_sum(units: DataFrame) -> DataFrame:
@@ -218,12 +243,10 @@ def scan(units: DataFrame, rules: set[str] | None = None) -> DataFrame:
     by the same conditions as in the rules above.
     """
     t, low, value, detector = F.col("text"), F.lower("text"), F.col("value"), F.col("detector")
-    in_tests = F.col("file").rlike("(?i)(^|/)(tests?|fixtures?|__tests__)/")
-    url, health = t.contains("://"), F.col("in_health") & low.rlike(HEALTH_CONTEXT)
-    digit = t.rlike("[0-9]")
+    in_tests, url, health, digit = F.col("in_tests"), t.contains("://"), F.col("in_health") & low.rlike(HEALTH_CONTEXT), t.rlike("[0-9]")
     gates = [(name, p, 0, t.contains(API_KEY_PARTS[name])) for name, p in API_KEYS.items()] + [
         ("azure-sas", AZURE_SAS, 0, t.contains("sig=") | t.contains("SIG=")), ("aws-access-key", AWS_KEY, 0, t.contains("AKIA") | t.contains("ASIA")), ("private-key", PRIVATE_KEY, 0, t.contains("-----BEGIN ")),
-        ("jwt", JWT, 0, t.contains("eyJ")), ("database-url", DATABASE_URL, 0, url), ("url", WEB_URL, 0, url), ("env-style-secret", ENV_VALUE, 1, t.contains("=") & ~F.col("file").rlike(r"(^|/)\.env[^/]*$")),
+        ("jwt", JWT, 0, t.contains("eyJ")), ("database-url", DATABASE_URL, 0, url), ("url", WEB_URL, 0, url), ("env-style-secret", ENV_VALUE, 1, t.contains("=") & ~F.col("is_env")),
         ("high-entropy", LITERAL, 1, t.contains('"') | t.contains("'")), ("email", EMAIL, 0, in_tests & t.contains("@")), ("phone", PHONE, 0, in_tests & digit), ("address", ADDRESS, 0, in_tests & digit), *[(n, p, 0, health) for n, p in HEALTH.items()],
     ]
     gates = [x for x in gates if rules is None or RULE_OF[x[0]] in rules]
@@ -231,7 +254,8 @@ def scan(units: DataFrame, rules: set[str] | None = None) -> DataFrame:
     for gate in {str(x[3]): x[3] for x in gates}.values():
         likely |= gate  # most lines end here
     found = F.array(*[F.struct(F.lit(n).alias("detector"), F.when(gate, F.regexp_extract_all("text", F.lit(p), F.lit(g))).alias("values")) for n, p, g, gate in gates])
-    rows = units.select("file", F.col("source").rlike(HEALTH_WORD).alias("in_health"), F.posexplode(F.split("source", "\n")).alias("at", "text")).withColumn("line", F.col("at") + 1)
+    rows = units.select("file", F.col("source").rlike(HEALTH_WORD).alias("in_health"), F.col("file").rlike("(?i)(^|/)(tests?|fixtures?|__tests__)/").alias("in_tests"), F.col("file").rlike(r"(^|/)\.env[^/]*$").alias("is_env"), F.split("source", "\n").alias("texts"))
+    rows = rows.select("file", "in_health", "in_tests", "is_env", F.posexplode("texts").alias("at", "text")).withColumn("line", F.col("at") + 1)  # on its own, so that what is asked of a file is not asked of its lines
     rows = rows.where(likely).select("file", "line", "text", F.inline(found)).select("file", "line", "text", "detector", F.explode("values").alias("value"))
     small, bits = F.lower("value"), entropy(value)
     made_up = small.contains("@example.") | small.contains("@example-") | small.contains("@test.") | small.contains("example") | small.contains("555-010") | small.contains("555 010")

@@ -265,7 +265,7 @@ def test_service_account_keys(spark):
 
 
 def test_analyse_runs_only_what_is_selected(spark):
-    units = spark.createDataFrame([("tests/a", "text", "TODO jo@corp.io\n" + "x\n" * 12)], "file string, type string, source string")
+    units = spark.createDataFrame([("tests/a", "text", "TODO " * 11 + "jo@corp.io\n" + "x\n" * 12)], "file string, type string, source string")
     ids = lambda **o: sorted(r["rule_id"] for r in catalogue.analyse(units, catalogue.Selection(**o), max_lines=10).collect())
     assert ids() == ["docs.todo-density", "sensitive-data.pii-test-fixture", "size.file-length"]
     assert ids(rules=("docs.todo-density", "size.file-length")) == ["docs.todo-density", "size.file-length"]
