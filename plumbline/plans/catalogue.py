@@ -79,16 +79,16 @@ def all_rules(more: tuple[protocol.RuleSet, ...] = ()) -> dict[str, tuple[str, s
     return found
 
 
-def _evaluated(units: DataFrame, selection: Selection | None, max_lines: int, more: tuple[protocol.RuleSet, ...], observe: bool):
+def _evaluated(units: DataFrame, selection: Selection | None, max_lines: int, more: tuple[protocol.RuleSet, ...], observe: bool, limits: dict[str, float] | None = None, severities: dict[str, str] | None = None):
     known = all_rules(more)
-    names = (selection or Selection()).names(known)
+    names = {r: (p, (severities or {}).get(r, s), c) for r, (p, s, c) in (selection or Selection()).names(known).items()}
     texts = {r for r, *_ in RULES} & names.keys()
     whole = {"size.file-length", "docs.todo-density"}
     sets = [
         protocol.RuleSet("lines of texts", {r: known[r] for r in set(text.RULE_OF.values())}, lambda f: text.scan(f["units"], texts)),
         protocol.RuleSet("service accounts", {"sensitive-data.gcp-service-account-key": known["sensitive-data.gcp-service-account-key"]}, lambda f: text.service_account_keys(f["units"])),
         protocol.RuleSet("whole texts", {r: known[r] for r in whole}, lambda f: text.whole_texts(f["units"], texts, max_lines)),
-        *protocol.built_in(), *more,
+        *protocol.built_in(limits), *more,
     ]
     facts = protocol.Facts(units)
     over_code = {r for rules in protocol.built_in() for r in rules.rules} & names.keys()
@@ -107,14 +107,15 @@ def _evaluated(units: DataFrame, selection: Selection | None, max_lines: int, mo
     return rows.withColumns({"pillar": parts[0], "severity": parts[1], "confidence": parts[2]}), seen
 
 
-def analyse(units: DataFrame, selection: Selection | None = None, max_lines: int = 1000, more: tuple[protocol.RuleSet, ...] = ()) -> DataFrame:
+def analyse(units: DataFrame, selection: Selection | None = None, max_lines: int = 1000, more: tuple[protocol.RuleSet, ...] = (), limits: dict[str, float] | None = None, severities: dict[str, str] | None = None) -> DataFrame:
     """Findings of the selected rules on units (file, type, source).
 
     Columns: file, line, rule_id, symbol, value, detector, preview, pillar, severity,
     confidence. Only what selected rules need is in the plan; code rules read units of
     type php. ``more`` are rule sets of one's own, which share the facts of the others.
+    ``limits`` and ``severities`` are those of rules that settings change.
     """
-    return _evaluated(units, selection, max_lines, more, False)[0]
+    return _evaluated(units, selection, max_lines, more, False, limits, severities)[0]
 
 
 def analyse_observed(units: DataFrame, selection: Selection | None = None, max_lines: int = 1000, more: tuple[protocol.RuleSet, ...] = ()) -> tuple[DataFrame, dict]:

@@ -20,11 +20,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from plumbline.rules import code, flow, scopes, statements
+from plumbline.rules import code, flow, hierarchy, scopes, statements
 from plumbline.sources.staging import staged
 
 COLUMNS = {"file": "string", "line": "int", "rule_id": "string", "symbol": "string", "value": "bigint", "detector": "string", "preview": "string"}
-PILLARS = {"docs": "documentation", "waste": "dead-code"}
+PILLARS = {"docs": "documentation", "waste": "dead-code", "waste.one-line-method": "maintainability"}
 # fixed values: severity, confidence -> rules, by the module that has them
 CODE_RULES: dict[str, dict[tuple[str, str], tuple[str, ...]]] = {
     "code": {
@@ -48,6 +48,9 @@ CODE_RULES: dict[str, dict[tuple[str, str], tuple[str, ...]]] = {
         ("error", "high"): ("complexity.cognitive", "size.method-length"),
         ("warning", "high"): ("waste.unreachable-code",),
     },
+    "hierarchy": {
+        ("advisory", "medium"): ("waste.one-line-method",),
+    },
     "flow": {
         ("warning", "medium"): ("security.extract-compact-user-input", "security.header-injection", "security.path-traversal-file-access", "security.process-command-construction", "security.reflected-xss", "security.request-controlled-url", "security.sensitive-data-logging", "security.sql-concatenation", "security.unsafe-archive-extraction", "security.unsafe-xml-loading", "security.variable-include"),
     },
@@ -56,7 +59,7 @@ CODE_RULES: dict[str, dict[tuple[str, str], tuple[str, ...]]] = {
 
 def definitions(rules: dict[tuple[str, str], tuple[str, ...]]) -> dict[str, tuple[str, str, str]]:
     """rule -> pillar, severity, confidence."""
-    return {r: (PILLARS.get(r.split(".")[0], r.split(".")[0]), s, c) for (s, c), names in rules.items() for r in names}
+    return {r: (PILLARS.get(r) or PILLARS.get(r.split(".")[0], r.split(".")[0]), s, c) for (s, c), names in rules.items() for r in names}
 
 
 class Facts:
@@ -119,13 +122,14 @@ def project_rule(name: str, rules: dict[str, tuple[str, str, str]], fact: str, k
     return RuleSet(name, rules, plan, fact)
 
 
-def built_in() -> tuple[RuleSet, ...]:
-    """The rules over code."""
+def built_in(limits: dict[str, float] | None = None) -> tuple[RuleSet, ...]:
+    """The rules over code, with thresholds other than the usual."""
     rules = {name: definitions(groups) for name, groups in CODE_RULES.items()}
     return (
-        RuleSet("code", rules["code"], lambda f: code.code_findings(f["code"], f["lines"], f["declarations"]), "lines"),
+        RuleSet("code", rules["code"], lambda f: code.code_findings(f["code"], f["lines"], f["declarations"], limits), "lines"),
         RuleSet("scopes", rules["scopes"], lambda f: scopes.scope_findings(f["code"], f["lines"], f["declarations"]), "lines"),
-        RuleSet("statements", rules["statements"], lambda f: statements.statement_findings(f["code"], rows=f["segments"], metrics=f["metrics"]), "segments"),
+        RuleSet("statements", rules["statements"], lambda f: statements.statement_findings(f["code"], rows=f["segments"], metrics=f["metrics"], limits=limits), "segments"),
+        RuleSet("hierarchy", rules["hierarchy"], lambda f: hierarchy.one_line_methods(f["segments"]), "segments"),
         RuleSet("flow", rules["flow"], lambda f: flow.flow_findings(f["code"], f["segments"]), "segments"),
     )
 

@@ -12,7 +12,7 @@ from plumbline.functions.scores import threshold_severity
 from plumbline.functions.text import entropy, fingerprint, identifier_tokens, line_of, matches_path, path_regex, stable_identity
 from plumbline.operators import asof, measures, reconcile, regions, scoring
 from plumbline.plans import catalogue
-from plumbline.rules import code, flow, manifests, scopes, statements, text
+from plumbline.rules import code, flow, hierarchy, manifests, scopes, statements, text
 from plumbline.sinks import reports
 from plumbline.sources import files, samples, tables
 from plumbline.sources.staging import fresh_folder, staged
@@ -572,6 +572,16 @@ def flow_findings(spark, sf):
     return flow.flow_findings(samples.flow_units(spark, sf))
 
 
+@query(samples.ANCESTORS_SQL)
+def class_ancestors(spark, sf):
+    return hierarchy.ancestors(staged(statements.segments(samples.class_units(spark, sf)), "class-segments"))
+
+
+@query(samples.ONE_LINE_SQL)
+def one_line_methods(spark, sf):
+    return hierarchy.one_line_methods(staged(statements.segments(samples.class_units(spark, sf)), "class-segments"))
+
+
 @query("SELECT u.event_id, v.value AS last_purchase FROM (SELECT * FROM events WHERE event_type = 'error') u ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY user_id, ts) v ON u.user_id = v.user_id AND u.ts > v.ts")
 def last_value_before(spark, sf):
     """What a user last paid before each error."""
@@ -766,12 +776,25 @@ def event_windows(spark, sf):
     """Windows of an event stream that its watermark has closed."""
     folder, out = fresh_folder(spark, "events"), fresh_folder(spark, "windows")
     events = tables.table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    events.coalesce(1).write.parquet(folder)
+    events.write.parquet(folder)
     counts = incremental.event_counts(spark.readStream.schema(events.schema).parquet(folder)).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
     counts.writeStream.format("parquet").option("path", out).option("checkpointLocation", fresh_folder(spark, "windows-state")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(counts.schema).parquet(out)
 
 
+@query("SELECT DISTINCT md5(event_type || '/' || user_id) AS fingerprint, event_type, user_id FROM events")
+def stream_once(spark, sf):
+    """What arrives as a stream is kept once by fingerprint; its batches are then all replayed, which adds nothing."""
+    folder, out = fresh_folder(spark, "arriving"), fresh_folder(spark, "once")
+    key = F.md5(F.concat_ws("/", "event_type", F.col("user_id").cast("string")).cast("binary"))
+    events = tables.table(spark, sf, "events").where("event_type is not null and user_id is not null").select(key.alias("fingerprint"), F.col("ts").cast("timestamp").alias("ts"), "event_type", "user_id")
+    events.write.parquet(folder)
+    for _ in range(2):
+        arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(folder)
+        incremental.run_once(incremental.first_seen(arriving), out, fresh_folder(spark, "once-state")).awaitTermination()
+    return spark.read.parquet(out).select("fingerprint", "event_type", "user_id")
+
+
 # ---------------------------------------------------------------- comparisons of scores
 
 

@@ -116,17 +116,17 @@ def _report(rows: DataFrame, rules: dict[str, tuple[Column, Column | None]], lin
     return each.select("file", "line", "rule_id", "symbol", "value")
 
 
-def _over(rule: str, value: Column, where: Column | None = None) -> dict[str, tuple[Column, Column]]:
-    return {rule: ((value > LIMITS[rule]) if where is None else where & (value > LIMITS[rule]), value)}
+def _over(limits: dict[str, float], rule: str, value: Column, where: Column | None = None) -> dict[str, tuple[Column, Column]]:
+    return {rule: ((value > limits[rule]) if where is None else where & (value > limits[rule]), value)}
 
 
-def code_findings(units: DataFrame, lines: DataFrame | None = None, decls: DataFrame | None = None) -> DataFrame:
+def code_findings(units: DataFrame, lines: DataFrame | None = None, decls: DataFrame | None = None, limits: dict[str, float] | None = None) -> DataFrame:
     """file, line, rule_id, symbol, value of all lexical rules on code units.
 
     Lines and measured declarations are staged once; each of the passes below
     evaluates all rules that need the same rows.
     """
-    code, text = F.col("code"), units.select("file", "source")
+    code, text, limits = F.col("code"), units.select("file", "source"), LIMITS | (limits or {})
     lines = lines or staged(code_lines(text), "code-lines")
     decls = decls or staged(measured(lines, declarations(lines)), "code-declarations")
     methods = members(decls)
@@ -135,9 +135,9 @@ def code_findings(units: DataFrame, lines: DataFrame | None = None, decls: DataF
     parameters = F.size(F.filter(F.split(F.regexp_replace(F.regexp_extract("header", r"\bfunction\s+&?\s*\w+\s*\(((?:[^()]++|\([^()]*+\))*+)", 1), r"\([^()]*\)", ""), ","), lambda x: F.trim(x) != ""))
     out = [_report(lines, {rule: (code.rlike(p), None) for rule, p in CALLS.items()} | {"security.silent-catch": (code.rlike(r"\bcatch\s*\([^)]*\)\s*\{\s*\}"), None)}, "line", None)]
     out.append(_report(decls, {
-        **_over("size.class-length", F.col("m_solid"), is_class & (F.col("kind") != "interface")),
-        **_over("size.parameter-count", parameters, is_callable),
-        **_over("complexity.cyclomatic", F.col("m_branches") + 1, is_callable & ~F.col("bodyless")),
+        **_over(limits, "size.class-length", F.col("m_solid"), is_class & (F.col("kind") != "interface")),
+        **_over(limits, "size.parameter-count", parameters, is_callable),
+        **_over(limits, "complexity.cyclomatic", F.col("m_branches") + 1, is_callable & ~F.col("bodyless")),
         "docs.missing-class-phpdoc": (is_class & ~F.col("documented"), None),
         "naming.confusing-name": (is_class & name.isin(*CONFUSING), None),
         "naming.generic-method": (is_callable & F.lower("name").isin(*GENERIC), None),
@@ -146,12 +146,12 @@ def code_findings(units: DataFrame, lines: DataFrame | None = None, decls: DataF
     }))
     # methods in their class, and classes by their methods
     is_test = F.col("class_name").rlike("Tests?$") & name.rlike("^test")
-    out.append(_report(methods, {"docs.missing-public-phpdoc": (~F.col("documented"), None), "test-quality.no-assertions": (is_test & (F.col("m_assertions") == 0), None), **_over("test-quality.test-method-too-long", F.col("m_solid") - 2, is_test)}))
+    out.append(_report(methods, {"docs.missing-public-phpdoc": (~F.col("documented"), None), "test-quality.no-assertions": (is_test & (F.col("m_assertions") == 0), None), **_over(limits, "test-quality.test-method-too-long", F.col("m_solid") - 2, is_test)}))
     snake = F.substring("name", 5, 1 << 20).contains("_")
     per_class = methods.groupBy("file", "class_name", "class_start", "class_kind").agg(F.count_if(F.col("visibility") == "public").alias("n_public"), F.sum("m_solid").alias("total"), F.count("*").alias("n"), F.count_if(is_test).alias("n_tests"), F.count_if(is_test & snake).alias("n_snake"))
     out.append(_report(per_class, {
-        **_over("size.public-method-count", F.col("n_public"), F.col("class_kind").isin("class", "enum")),
-        **_over("size.average-method-length", F.floor(F.col("total") / F.col("n")), F.col("class_kind") != "interface"),
+        **_over(limits, "size.public-method-count", F.col("n_public"), F.col("class_kind").isin("class", "enum")),
+        **_over(limits, "size.average-method-length", F.floor(F.col("total") / F.col("n")), F.col("class_kind") != "interface"),
         "naming.test-naming-consistency": ((F.col("n_tests") >= 2) & (F.col("n_snake") > 0) & (F.col("n_snake") < F.col("n_tests")), None),
     }, "class_start", "class_name"))
     stem = F.regexp_extract("file", r"([^/]+)\.php$", 1)
@@ -161,7 +161,7 @@ def code_findings(units: DataFrame, lines: DataFrame | None = None, decls: DataF
     within = lines.select(F.col("file").alias("_file"), F.col("line").alias("_line"), F.greatest("depth", "peak").alias("_depth"), F.col("code").alias("_code"))
     inside = (F.col("file") == F.col("_file")) & (F.col("_line") >= F.col("start")) & (F.col("_line") <= F.col("end"))
     nested = decls.where(is_callable).join(within, inside).groupBy("file", "name", "start", "depth").agg((F.max("_depth") - F.first("depth") - 1).alias("m_depth"))
-    out.append(_report(nested, _over("complexity.nesting-depth", F.col("m_depth"))))
+    out.append(_report(nested, _over(limits, "complexity.nesting-depth", F.col("m_depth"))))
     bodies = methods.where(is_test).join(within, inside & (F.col("_line") > F.col("start")) & (F.col("_line") < F.col("end")))
     out.append(_report(bodies, {
         "test-quality.sleep-in-test": (F.col("_code").rlike(r"(?<![\w>:$])(?:sleep|usleep|time_nanosleep)\s*\("), None),
@@ -176,7 +176,7 @@ def code_findings(units: DataFrame, lines: DataFrame | None = None, decls: DataF
     held = held.join(at_class, (F.col("file") == F.col("_file")) & (F.col("before") == F.col("_depth")) & (F.col("line") > F.col("class_start")) & (F.col("line") <= F.col("_end"))).drop("_file")
     bare = ~F.coalesce(F.col("above").rlike(r"\*/\s*$"), F.lit(False))
     out.append(_report(held, {"docs.missing-property-phpdoc": (F.col("is_field") & bare, None), "docs.missing-constant-phpdoc": (~F.col("is_field") & bare, None), "modernisation.public-property": (F.col("is_field") & code.rlike(r"^\s*public\s+(?!static|readonly)"), None)}, "line"))
-    out.append(_report(held.where("is_field").groupBy("file", "class_name", "class_start").agg(F.count("*").alias("n")), _over("size.property-count", F.col("n")), "class_start", "class_name"))
+    out.append(_report(held.where("is_field").groupBy("file", "class_name", "class_start").agg(F.count("*").alias("n")), _over(limits, "size.property-count", F.col("n")), "class_start", "class_name"))
     # private members without a reference by name in their file
     private = methods.where((F.col("visibility") == "private") & ~name.startswith("__")).select("file", F.col("start").alias("line"), "name", F.lit("method").alias("what"))
     private = private.unionByName(held.where(code.rlike(r"^\s*private\b")).select("file", "line", "name", F.when(F.col("is_field"), "property").otherwise("constant").alias("what")))

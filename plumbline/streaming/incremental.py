@@ -22,3 +22,31 @@ def scan_stream(units: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
 def event_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Events per type and window; what is later than the watermark is left out."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
+
+
+def first_seen(findings: DataFrame, key: str = "fingerprint", time: str = "ts", late: str = "1 hour") -> DataFrame:
+    """A stream of findings without those whose key came before, within the watermark: the state holds no older keys."""
+    return findings.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+
+
+def commit_new(out: str, key: str = "fingerprint"):
+    """A batch writer that adds each key once, and nothing when a batch is replayed.
+
+    A batch replaces the folder of its own id with those of its rows whose key no
+    other batch holds; repeated keys of a batch count once.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(out)
+        new = batch.dropDuplicates([key])
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            held = spark.read.schema(f"{key} string, batch_id bigint").parquet(out).where(F.col("batch_id") != batch_id).select(F.col(key).alias("_held"))
+            new = new.join(held, F.col(key) == F.col("_held"), "left_anti")
+        new.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    return write
+
+
+def run_once(findings: DataFrame, out: str, checkpoint: str, key: str = "fingerprint") -> StreamingQuery:
+    """All that has arrived, committed by batch; stops when what is there is read."""
+    return findings.writeStream.foreachBatch(commit_new(out, key)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
