@@ -101,11 +101,24 @@ def measured(lines: DataFrame, decls: DataFrame) -> DataFrame:
     return out.select(*decls.columns, *[(F.col(f"{c}1") - F.coalesce(f"{c}0", F.lit(0))).alias(f"m_{c}") for c in counts])
 
 
+#: Lines of a bucket in which lines meet what spans them.
+BUCKET = 64
+
+
+def cut(spans: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
+    """spans with a row for each bucket of lines that they touch."""
+    return spans.withColumn("_cut", F.explode(F.sequence(F.floor(F.col(start) / BUCKET), F.floor(F.col(end) / BUCKET))))
+
+
+def bucket(line: str) -> Column:
+    return F.floor(F.col(line) / BUCKET)
+
+
 def members(decls: DataFrame) -> DataFrame:
     """Methods with the class that they stand in: class_name, class_kind, class_start."""
     c = decls.where("kind in ('class', 'interface', 'trait', 'enum')").select(F.col("file").alias("_file"), F.col("name").alias("class_name"), F.col("kind").alias("class_kind"), F.col("start").alias("class_start"), F.col("end").alias("_end"), (F.col("depth") + 1).alias("_depth"))
-    inside = (F.col("file") == F.col("_file")) & (F.col("depth") == F.col("_depth")) & (F.col("start") > F.col("class_start")) & (F.col("end") <= F.col("_end"))
-    return decls.where("kind = 'method'").join(c, inside).drop("_file", "_end", "_depth")
+    inside = (F.col("file") == F.col("_file")) & (F.col("_at") == F.col("_cut")) & (F.col("depth") == F.col("_depth")) & (F.col("start") > F.col("class_start")) & (F.col("end") <= F.col("_end"))
+    return decls.where("kind = 'method'").withColumn("_at", bucket("start")).join(cut(c, "class_start", "_end"), inside).drop("_file", "_end", "_depth", "_at", "_cut")
 
 
 def _report(rows: DataFrame, rules: dict[str, tuple[Column, Column | None]], line: str = "start", symbol: str | None = "name") -> DataFrame:
@@ -158,11 +171,11 @@ def code_findings(units: DataFrame, lines: DataFrame | None = None, decls: DataF
     solo = decls.where(is_class).groupBy("file").agg(F.count("*").alias("n"), F.first("name").alias("name"), F.min("start").alias("start"))
     out.append(_report(solo, {"naming.class-file-mismatch": ((F.col("n") == 1) & stem.rlike(r"^[A-Za-z_]\w*$") & (stem != name), None)}))
     # lines inside callables
-    within = lines.select(F.col("file").alias("_file"), F.col("line").alias("_line"), F.greatest("depth", "peak").alias("_depth"), F.col("code").alias("_code"))
-    inside = (F.col("file") == F.col("_file")) & (F.col("_line") >= F.col("start")) & (F.col("_line") <= F.col("end"))
-    nested = decls.where(is_callable).join(within, inside).groupBy("file", "name", "start", "depth").agg((F.max("_depth") - F.first("depth") - 1).alias("m_depth"))
+    within = lines.select(F.col("file").alias("_file"), bucket("line").alias("_at"), F.col("line").alias("_line"), F.greatest("depth", "peak").alias("_depth"), F.col("code").alias("_code"))
+    inside = (F.col("file") == F.col("_file")) & (F.col("_cut") == F.col("_at")) & (F.col("_line") >= F.col("start")) & (F.col("_line") <= F.col("end"))
+    nested = cut(decls.where(is_callable)).join(within, inside).groupBy("file", "name", "start", "depth").agg((F.max("_depth") - F.first("depth") - 1).alias("m_depth"))
     out.append(_report(nested, _over(limits, "complexity.nesting-depth", F.col("m_depth"))))
-    bodies = methods.where(is_test).join(within, inside & (F.col("_line") > F.col("start")) & (F.col("_line") < F.col("end")))
+    bodies = cut(methods.where(is_test)).join(within, inside & (F.col("_line") > F.col("start")) & (F.col("_line") < F.col("end")))
     out.append(_report(bodies, {
         "test-quality.sleep-in-test": (F.col("_code").rlike(r"(?<![\w>:$])(?:sleep|usleep|time_nanosleep)\s*\("), None),
         "test-quality.conditional-logic": (F.col("_code").rlike(r"\bif\s*\("), None),
@@ -173,7 +186,7 @@ def code_findings(units: DataFrame, lines: DataFrame | None = None, decls: DataF
     constant = r"^\s*(?:(?:public|protected|private|final)\s+)*const\s+(?:\w+\s+)?(\w+)\s*="
     at_class = decls.where(is_class).select(F.col("file").alias("_file"), F.col("name").alias("class_name"), F.col("start").alias("class_start"), F.col("end").alias("_end"), (F.col("depth") + 1).alias("_depth"))
     held = lines.withColumn("is_field", code.rlike(field)).where(F.col("is_field") | code.rlike(constant)).withColumn("name", F.when(F.col("is_field"), F.regexp_extract("code", field, 1)).otherwise(F.regexp_extract("code", constant, 1)))
-    held = held.join(at_class, (F.col("file") == F.col("_file")) & (F.col("before") == F.col("_depth")) & (F.col("line") > F.col("class_start")) & (F.col("line") <= F.col("_end"))).drop("_file")
+    held = held.withColumn("_at", bucket("line")).join(cut(at_class, "class_start", "_end"), (F.col("file") == F.col("_file")) & (F.col("_at") == F.col("_cut")) & (F.col("before") == F.col("_depth")) & (F.col("line") > F.col("class_start")) & (F.col("line") <= F.col("_end"))).drop("_file")
     bare = ~F.coalesce(F.col("above").rlike(r"\*/\s*$"), F.lit(False))
     out.append(_report(held, {"docs.missing-property-phpdoc": (F.col("is_field") & bare, None), "docs.missing-constant-phpdoc": (~F.col("is_field") & bare, None), "modernisation.public-property": (F.col("is_field") & code.rlike(r"^\s*public\s+(?!static|readonly)"), None)}, "line"))
     out.append(_report(held.where("is_field").groupBy("file", "class_name", "class_start").agg(F.count("*").alias("n")), _over(limits, "size.property-count", F.col("n")), "class_start", "class_name"))

@@ -2,7 +2,7 @@
 
 Every line carries the first line of the comment block that it lies in, and every
 declaration that of the block above it, so that blocks meet declarations by an
-equi-join. Lines of bodies meet declarations by file; a file is the unit of work.
+equi-join. Lines of bodies meet declarations by file and bucket of lines.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.rules.code import _report, code_lines, declarations, measured, members
+from plumbline.rules.code import _report, bucket, code_lines, cut, declarations, measured, members
 from plumbline.sources.staging import staged
 
 # fixed values: words that negate a boolean name, and calls that the rules look for
@@ -62,9 +62,9 @@ def scope_findings(units: DataFrame, lines: DataFrame | None = None, decls: Data
         F.max(F.col("said").rlike(r"^@return\s+\S+$")).alias("bare_return"), F.max(F.col("said").contains("@dataProvider")).alias("provides"),
         F.collect_set(F.when(tag == "param", F.regexp_extract("said", r"\$(\w+)", 1))).alias("described"),
     )
-    body = lines.select(F.col("file").alias("_f"), F.col("line").alias("_l"), F.col("code").alias("_code"))
-    inside = (F.col("file") == F.col("_f")) & (F.col("_l") >= F.col("start")) & (F.col("_l") <= F.col("end"))
-    acts = callables.join(body, inside).groupBy(F.col("file").alias("_f2"), F.col("start").alias("_s2"), F.col("name").alias("_n2")).agg(
+    body = lines.select(F.col("file").alias("_f"), bucket("line").alias("_at"), F.col("line").alias("_l"), F.col("code").alias("_code"))
+    inside = (F.col("file") == F.col("_f")) & (F.col("_cut") == F.col("_at")) & (F.col("_l") >= F.col("start")) & (F.col("_l") <= F.col("end"))
+    acts = cut(callables).join(body, inside).groupBy(F.col("file").alias("_f2"), F.col("start").alias("_s2"), F.col("name").alias("_n2")).agg(
         F.max(F.col("_code").rlike(r"\bthrow\b")).alias("does_throw"), F.max(F.col("_code").rlike(r"\breturn\s+[^;\s]")).alias("gives"),
         F.flatten(F.collect_list(F.when(F.col("_l") > F.col("start"), F.regexp_extract_all("_code", F.lit(r"\$(\w+)"), F.lit(1))).otherwise(F.regexp_extract_all(F.regexp_extract("_code", r"\{(.*)", 1), F.lit(r"\$(\w+)"), F.lit(1))))).alias("reads"),
     )
@@ -98,7 +98,7 @@ def scope_findings(units: DataFrame, lines: DataFrame | None = None, decls: Data
     # test scopes
     in_tests = members(decls).where(F.col("class_name").rlike("Tests?$"))
     tests = in_tests.where(F.col("name").rlike("^test"))
-    steps = tests.join(body, inside & (F.col("_l") > F.col("start")) & (F.col("_l") < F.col("end")))
+    steps = cut(tests).join(body, inside & (F.col("_l") > F.col("start")) & (F.col("_l") < F.col("end")))
     same_literal = r"assert(?:Same|Equals|Not(?:Same|Equals))\s*\(\s*(\d+|true|false|null|'_*'|\$\w+(?:->\w+)*)\s*,\s*\1\s*[,)]"
     out.append(_report(steps, {"test-quality.private-reflection": (F.col("_code").rlike(REFLECTION), None), "test-quality.trivial-assertion": (F.col("_code").rlike(same_literal) & ~F.col("_code").rlike(r"'_+'"), None)}, "_l"))
     expected = steps.groupBy("file", "start", "name").agg(F.max(F.col("_code").rlike(r"->expectException\s*\(")).alias("kind"), F.max(F.col("_code").rlike(r"->expectException(?:Message\w*|Code|Object)\s*\(")).alias("more"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import matches_path
+from plumbline.sources.staging import staged
 
 # fixed values: what counts as text, and what is skipped by default
 TEXT_EXTENSIONS = ("conf", "config", "env", "ini", "json", "md", "neon", "sh", "toml", "xml", "yaml", "yml")
@@ -49,6 +54,77 @@ def discover(spark: SparkSession, root: str, patterns: list[str] = (), include_i
     return files.select("file", "type", F.decode("content", "UTF-8").alias("source"))
 
 
+def _listed(root: str):
+    """Entries directly below each folder: folder, path (relative), canonical, is_folder, size; folders that cannot be listed give none."""
+    names = ["path", "canonical", "is_folder", "size"]
+
+    def run(batches):
+        system, base = fs.FileSystem.from_uri(root)
+        local = isinstance(system, fs.LocalFileSystem)
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                try:
+                    entries = system.get_file_info(fs.FileSelector(f"{base.rstrip('/')}/{folder}".rstrip("/") or "/"))
+                except OSError:  # gone, or not ours to see
+                    continue
+                rows = [(f"{folder}/{e.base_name}".lstrip("/"), os.path.realpath(e.path) if local else e.path, e.type == fs.FileType.Directory, e.size or 0) for e in entries]
+                if rows:
+                    kinds = (pa.string(), pa.string(), pa.bool_(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return run
+
+
+def walk(spark: SparkSession, root: str, patterns: list[str] = (), include_ignored: bool = False, most_levels: int = 200) -> tuple[DataFrame, DataFrame]:
+    """Files below a folder (path, canonical, size), and what was ignored (path, source, pattern), level by level.
+
+    The folders of a level are listed by tasks; those that are ignored are recorded and
+    not entered, so nothing below them is listed. A folder or file that is reached twice by
+    links counts once, under its first path by name.
+    """
+    frontier = spark.createDataFrame([("",)], "path string")
+    files = ignored = None
+    system, base = fs.FileSystem.from_uri(root)
+    seen = spark.createDataFrame([(os.path.realpath(base) if isinstance(system, fs.LocalFileSystem) else base.rstrip("/"),)], "canonical string")
+    for level in range(most_levels):
+        found = staged(frontier.repartition(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(_listed(root), "path string, canonical string, is_folder boolean, size long"), f"walk-{level}")
+        decision = ignore_decision(F.when(F.col("is_folder"), F.concat("path", F.lit("/_"))).otherwise(F.col("path")), patterns, include_ignored)
+        found = found.withColumn("ignored", decision)
+        out = found.where("ignored is not null").select("path", "ignored.source", "ignored.pattern")
+        new = found.where("ignored is null").groupBy("canonical", "is_folder").agg(F.min("path").alias("path"), F.first("size").alias("size"))
+        folders = new.where("is_folder").join(seen, "canonical", "left_anti")
+        folders = staged(folders.select("canonical", "path"), f"walk-folders-{level}")
+        seen = seen.unionByName(folders.select("canonical"))
+        own = new.where("not is_folder").select("path", "canonical", "size")
+        files, ignored = (own, out) if files is None else (files.unionByName(own), ignored.unionByName(out))
+        if folders.isEmpty():
+            break
+        frontier = folders.select("path")
+    else:
+        raise ValueError(f"folders nest deeper than {most_levels}")
+    return files.groupBy("canonical").agg(F.min("path").alias("path"), F.first("size").alias("size")).select("path", "canonical", "size"), ignored
+
+
+def _contents(root: str):
+    def run(batches):
+        system, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for path, kind in zip(batch.column("path").to_pylist(), batch.column("type").to_pylist(), strict=True):
+                with system.open_input_stream(f"{base.rstrip('/')}/{path}") as stream:
+                    text = stream.read().decode("utf-8", "replace")
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([kind]), pa.array([text])], ["file", "type", "source"])
+
+    return run
+
+
+def read_tree(spark: SparkSession, root: str, patterns: list[str] = (), include_ignored: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Units (file, type, source) of the text and code files that walk finds, names with a leading dot included, and what was ignored."""
+    files, ignored = walk(spark, root, patterns, include_ignored)
+    typed = files.withColumn("type", file_type(F.col("path"))).where("type is not null").select("path", "type")
+    parts = max(1, spark.sparkContext.defaultParallelism)
+    return typed.repartition(parts).mapInArrow(_contents(root), "file string, type string, source string"), ignored
+
+
 def missing_paths(requested: DataFrame, units: DataFrame) -> DataFrame:
     """Requested paths below which there is no file."""
     parts = F.split("file", "/")
