@@ -182,7 +182,7 @@ def test_warc_members_stand_alone(spark):
 
 
 def test_every_query_is_registered():
-    assert [int(k[2:].split("_")[0]) for k in registry.QUERIES] == list(range(1, 11))
+    assert [int(k[2:].split("_")[0]) for k in registry.QUERIES] == list(range(1, 14))
 
 
 def test_pipeline_stages_against_brute_force(spark, documents, nothing, tmp_path):
