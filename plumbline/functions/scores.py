@@ -39,6 +39,7 @@ def letter(score: Column) -> Column:
     return out
 
 
-def threshold_severity(value: Column, warning: float, error: float) -> Column:
-    """Severity of a metric that is strictly above one of two limits, else null."""
-    return F.when(value > error, "error").when(value > warning, "warning")
+def threshold_severity(value: Column, warning: float, error: float, low: bool = False) -> Column:
+    """Severity of a metric that is strictly above (low: below) one of two limits, else null."""
+    past = (lambda limit: value < limit) if low else (lambda limit: value > limit)
+    return F.when(past(error), "error").when(past(warning), "warning")

@@ -620,7 +620,7 @@ def manifest_scripts(spark, sf):
     return manifests.risky_scripts(_manifests(spark, sf))
 
 
-@query("SELECT 'p' || p_partkey || '/phpunit.xml' AS file, 'failOnWarning' AS flag FROM part WHERE p_size % 2 = 1 UNION ALL SELECT 'p' || p_partkey || '/phpunit.xml', 'failOnRisky' FROM part")
+@query("SELECT 'p' || p_partkey || '/phpunit.xml' AS file, 'failOnWarning' AS flag FROM part WHERE p_size % 2 = 1 UNION ALL SELECT 'p' || p_partkey || '/phpunit.xml', unnest(['failOnRisky', 'beStrictAboutTestsThatDoNotTestAnything', 'beStrictAboutChangesToGlobalState']) FROM part")
 def test_runner_flags(spark, sf):
     source = F.concat(F.lit('<phpunit failOnWarning="'), F.when(F.col("p_size") % 2 == 0, "true").otherwise("false"), F.lit('" beStrictAboutOutputDuringTests="TRUE"/>'))
     return manifests.test_runner_flags(tables.table(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit("/phpunit.xml")).alias("file"), source.alias("source")))

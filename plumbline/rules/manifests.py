@@ -38,7 +38,11 @@ def risky_scripts(units: DataFrame) -> DataFrame:
     return rows.where(F.col("event").isin(*INSTALL_EVENTS) & F.col("command").rlike(RISKY_COMMAND))
 
 
-def test_runner_flags(units: DataFrame, flags=("failOnWarning", "failOnRisky", "beStrictAboutOutputDuringTests")) -> DataFrame:
+# fixed values: the strictness flags of a test runner
+STRICT_FLAGS = ("failOnRisky", "failOnWarning", "beStrictAboutTestsThatDoNotTestAnything", "beStrictAboutOutputDuringTests", "beStrictAboutChangesToGlobalState")
+
+
+def test_runner_flags(units: DataFrame, flags=STRICT_FLAGS) -> DataFrame:
     """Strictness flags that a test-runner file does not set to true: file, flag."""
     rows = units.where(F.col("file").rlike(r"(^|/)phpunit\.xml(\.dist)?$"))
     each = F.array(*[F.struct(F.lit(f).alias("flag"), F.coalesce(F.lower(F.xpath_string("source", F.lit(f"/phpunit/@{f}"))) == "true", F.lit(False)).alias("is_set")) for f in flags])

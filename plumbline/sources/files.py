@@ -169,11 +169,17 @@ def read_mutants(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.inline(each))
 
 
+HISTORY = "timestamp string, score double, grade string, scope string, findings long"
+
+
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """Score history: a JSON array of flat entries, or the folder that ``append_history`` adds to."""
-    head = spark.read.text(path).where("value <> ''").first()
-    in_lines = head is not None and head[0].startswith("{")
-    return spark.read.schema("timestamp string, score double, grade string, scope string, findings long").json(path, multiLine=not in_lines, mode="FAILFAST")
+    """Score history: a JSON array of flat entries, or the folder that ``append_history`` adds to; none where there is no file, or only blank ones. Other text is an error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    head = spark.read.text(path).where("trim(value) <> ''").first() if system.exists(at) else None
+    if head is None:
+        return spark.createDataFrame([], HISTORY)
+    return spark.read.schema(HISTORY).json(path, multiLine=not head[0].startswith("{"), mode="FAILFAST")
 
 
 def cache_key(run_digest: str) -> Column:

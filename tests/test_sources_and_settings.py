@@ -99,3 +99,22 @@ def test_a_replayed_batch_adds_nothing(spark, tmp_path):
     write(batch("a", "b"), 0)
     write(batch(), 2)
     assert sorted(r["fingerprint"] for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+
+
+def test_no_history_counts_as_none(spark, tmp_path):
+    (tmp_path / "empty.json").write_text("")
+    (tmp_path / "blank.json").write_text("\n \n")
+    (tmp_path / "broken.json").write_text("[{")
+    for name in ("absent.json", "empty.json", "blank.json"):
+        found = files.read_history(spark, f"file://{tmp_path}/{name}")
+        assert found.count() == 0 and "score" in found.columns
+    with pytest.raises(Exception):  # noqa: B017
+        files.read_history(spark, f"file://{tmp_path}/broken.json").collect()
+
+
+def test_severity_past_high_and_low_limits(spark):
+    from plumbline.functions.scores import threshold_severity
+
+    rows = spark.createDataFrame([(v,) for v in (5, 20, 21, 40, 41)], "v int").select(threshold_severity(F.col("v"), 20, 40).alias("high"), threshold_severity(F.col("v"), 40, 20, low=True).alias("low")).collect()
+    assert [r["high"] for r in rows] == [None, None, "warning", "warning", "error"]
+    assert [r["low"] for r in rows] == ["error", "warning", "warning", None, None]
