@@ -12,7 +12,7 @@ from plumbline.functions.scores import threshold_severity
 from plumbline.functions.text import entropy, fingerprint, identifier_tokens, line_of, matches_path, path_regex, stable_identity
 from plumbline.operators import asof, measures, reconcile, regions, scoring
 from plumbline.plans import catalogue
-from plumbline.rules import code, flow, hierarchy, manifests, scopes, statements, text
+from plumbline.rules import code, exemptions, flow, hierarchy, manifests, scopes, statements, text
 from plumbline.sinks import reports
 from plumbline.sources import files, samples, tables
 from plumbline.sources.staging import fresh_folder, staged
@@ -185,13 +185,66 @@ DUMMY_SQL = f"(regexp_matches({{v}}, '(?i)example|placeholder|changeme|dummy') O
 SHORT = f"substr(value, 1, 4) || {REDACTED}"
 
 
-def literals_sql(units: str, least: float) -> str:
+def _case_sql(tests: dict[str, str]) -> str:
+    return "CASE " + " ".join(f"WHEN {test} THEN '{name}'" for name, test in tests.items()) + " END"
+
+
+def _full(value: str, pattern: str) -> str:
+    return f"regexp_matches({value}, '{pattern}')"
+
+
+def literal_exemption_sql(value: str = "value", line: str = "text") -> str:
+    """Why a literal is no secret: letters of a part's words are counted after its humps are cut with spaces."""
+    part_words = f"CASE WHEN {_full('p', '^[A-Za-z]{3,}$')} THEN len(p) ELSE coalesce(list_sum([len(w) FOR w IN regexp_extract_all(regexp_replace(p, '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '[A-Z]?[a-z]+|[A-Z]+') IF len(w) >= 3]), 0) END"
+    counts = f"[{{'n': len(p), 'w': {part_words}}} FOR p IN string_split_regex({value}, '[/._-]+') IF p <> '']"
+    words = f"{_full(value, exemptions.COMPOUND)} AND len([1 FOR c IN {counts} IF c.n >= 16 AND 2 * c.w <= c.n]) = 0 AND list_sum([2 * c.w - c.n FOR c IN {counts}]) > 0"
+    prefixes = " OR ".join(f"starts_with({value}, '{p}')" for p in exemptions.OWNED)
+    return _case_sql({
+        "other-rule": f"({prefixes} OR {_full(value, '^' + text.JWT + '$')} OR {_full(value, '^[A-Za-z]{1,48}$')})",
+        "path": f"(regexp_matches(regexp_extract({value}, '{exemptions.ROUTE}', 1), '[A-Za-z]{{3}}') OR {_full(value, exemptions.FILE_NAME)})",
+        "setting": _full(value, exemptions.SETTING), "words": words, "keyspace": f"{value} IN {exemptions.KEYSPACES}", "provider": f"{_full(value, exemptions.IDENTIFIER)} AND {_full(line, exemptions.PROVIDER)}",
+        "clinical-code": f"{_full(line, exemptions.CLINICAL_LINE)} AND ({_full(value, exemptions.CLINICAL_CODE)} OR contains({value}, 'HL7') AND {_full(line, exemptions.CLINICAL_FIELD)})",
+    })
+
+
+def assignment_exemption_sql(key: str, value: str) -> str:
+    plain = f"NOT {_full(value, exemptions.MATERIAL)}"
+    return _case_sql({
+        "label": _full(value, exemptions.LABEL), "period": f"{plain} AND (upper({key}) LIKE '%\\_EXPIRES\\_AT' ESCAPE '\\' OR upper({key}) LIKE '%\\_VALID\\_PERIOD' ESCAPE '\\')",
+        "lookup-name": f"{plain} AND upper({key}) LIKE '%\\_KEY' ESCAPE '\\' AND {_full(value, exemptions.LOOKUP_NAME)}", "field-name": f"{plain} AND {_full(value, exemptions.FIELD_NAME)}",
+    })
+
+
+def random_literals_sql(units: str, least: float) -> str:
+    """Literals that look random, other than keys: what follows a literal is matched with it, and a colon or arrow there makes it a key."""
+    pattern = text.LITERAL + "(\\s*(?::|=>))?"
+    found = f"(SELECT file, line, text, regexp_extract(value, '{text.LITERAL.replace(chr(39), chr(39) * 2)}', 1) AS value, regexp_matches(value, '(:|=>)$') AS is_key FROM {matches_sql(units, {'literal': pattern})} m0)"
     long_hex = "(len(value) >= 64 AND regexp_full_match(value, '[0-9a-fA-F]+'))"
-    return f"(SELECT file, line, 'sensitive-data.high-entropy-string' AS rule_id, 'high-entropy' AS detector, {SHORT} AS preview FROM {matches_sql(units, {'literal': text.LITERAL}, 1)} m WHERE (round({entropy_sql('value')}, 6) >= {least} OR {long_hex}) AND NOT {DUMMY_SQL.format(v='value')} AND NOT regexp_full_match(value, '{text.JWT}'))"
+    return f"(SELECT file, line, 'high-entropy' AS detector, value, {literal_exemption_sql()} AS exemption FROM {found} m WHERE NOT is_key AND (round({entropy_sql('value')}, 6) >= {least} OR {long_hex}))"
+
+
+def literals_sql(units: str, least: float) -> str:
+    return f"(SELECT file, line, 'sensitive-data.high-entropy-string' AS rule_id, detector, {SHORT} AS preview FROM {random_literals_sql(units, least)} r WHERE exemption IS NULL AND NOT {DUMMY_SQL.format(v='value')})"
+
+
+def assignments_sql(units: str, pattern: str) -> str:
+    cut = f"(SELECT file, line, regexp_extract(value, '{text.ENV_KEY}', 1) AS key, regexp_extract(value, '{text.ENV_GIVEN.replace(chr(39), chr(39) * 2)}', 1) AS value FROM {matches_sql(units, {'env': pattern})} m)"
+    return f"(SELECT file, line, 'env-style-secret' AS detector, key, value, {assignment_exemption_sql('key', 'value')} AS exemption FROM {cut} c)"
 
 
 def env_sql(units: str, pattern: str, least: float) -> str:
-    return f"(SELECT file, line, 'sensitive-data.hardcoded-env-value' AS rule_id, 'env-style-secret' AS detector, {SHORT} AS preview FROM {matches_sql(units, {'env': pattern}, 1)} m WHERE len(value) >= 20 AND NOT {DUMMY_SQL.format(v='value')} AND {entropy_sql('value')} >= {least})"
+    return f"(SELECT file, line, 'sensitive-data.hardcoded-env-value' AS rule_id, detector, {SHORT} AS preview FROM {assignments_sql(units, pattern)} a WHERE exemption IS NULL AND len(value) >= 20 AND NOT {DUMMY_SQL.format(v='value')} AND {entropy_sql('value')} >= {least})"
+
+
+@query(random_literals_sql(samples.LITERALS_SQL, 4.2))
+def literal_exemptions(spark, sf):
+    """Each random-looking literal with the reason why it is no secret, or null."""
+    return text.random_literals(samples.literal_units(spark, sf))
+
+
+@query(assignments_sql(samples.LITERALS_SQL, text.ENV_VALUE))
+def assignment_exemptions(spark, sf):
+    return text.assignments(samples.literal_units(spark, sf))
 
 
 @query(literals_sql(UNITS, 3.0))

@@ -2,6 +2,8 @@
 
 Each text is cut into lines once; a cheap test of the line comes before any
 pattern is extracted, and all patterns are applied to the same pass over lines.
+What stands in a comment of code is documentation and no finding, but for headers of
+private keys. Comments are lexical: ``//`` in markup outside code counts as one.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions.text import entropy, redacted
+from plumbline.rules import exemptions
 from plumbline.rules.code import PIECE
 
 # fixed values: the formats that providers publish
@@ -57,23 +60,40 @@ TODO = r"(?i)\b(?:TODO|FIXME|HACK|XXX)\b"
 SOLID = r"[^ \t\r\f\n][^\n]*"
 #: Values that are plainly not secrets; a definition of our own.
 DUMMY = r"(?i)example|placeholder|changeme|dummy|^(.)\1*$"
+ENV_FILE = r"(^|/)\.env[^/]*$"
+
+
+#: Key and value of an assignment that ENV_VALUE matched.
+ENV_KEY, ENV_GIVEN = r"^([A-Za-z0-9_]+)", r"^[A-Za-z0-9_]+\s*=\s*[\"']?(.*)$"
+#: A literal that is no key of an array or object: a colon or arrow on the same line does not follow.
+VALUE_LITERAL = LITERAL + r"(?!\s*(?::|=>))"
+
+
+def _texts(units: DataFrame) -> Column:
+    """The lines of a text as (text, code); code is null where it is the text, and has no comments in units of type php."""
+    texts, none = F.split("source", "\n"), F.array().cast("array<string>")
+    if "type" not in units.columns:
+        return F.arrays_zip(texts.alias("text"), none.alias("code"))
+    commented = (F.col("type") == "php") & F.col("source").rlike("/[/*]|#")
+    return F.arrays_zip(texts.alias("text"), F.when(commented, F.split(_comments(F.col("source"), False), "\n")).otherwise(none).alias("code"))
 
 
 def lines(units: DataFrame) -> DataFrame:
-    """file, line, text."""
-    return units.select("file", F.posexplode(F.split("source", "\n")).alias("at", "text")).select("file", (F.col("at") + 1).alias("line"), "text")
+    """file, line, text, and code: the text without comments of code."""
+    rows = units.select("file", F.posexplode(_texts(units)).alias("at", "both"))
+    return rows.select("file", (F.col("at") + 1).alias("line"), "both.text", F.coalesce("both.code", "both.text").alias("code"))
 
 
 def dummy(value: Column) -> Column:
     return value.rlike(DUMMY)
 
 
-def matches(rows: DataFrame, detectors: dict[str, str], group: int = 0) -> DataFrame:
+def matches(rows: DataFrame, detectors: dict[str, str], group: int = 0, column: str = "code") -> DataFrame:
     """One row per match: file, line, text, detector, value."""
     any_ = F.lit(False)
     for pattern in detectors.values():
-        any_ |= F.col("text").rlike(pattern)
-    found = F.array(*[F.struct(F.lit(name).alias("detector"), F.regexp_extract_all("text", F.lit(pattern), F.lit(group)).alias("values")) for name, pattern in detectors.items()])
+        any_ |= F.col(column).rlike(pattern)
+    found = F.array(*[F.struct(F.lit(name).alias("detector"), F.regexp_extract_all(column, F.lit(pattern), F.lit(group)).alias("values")) for name, pattern in detectors.items()])
     each = rows.where(any_).select("file", "line", "text", F.inline(found))
     return each.select("file", "line", "text", "detector", F.explode("values").alias("value"))
 
@@ -100,7 +120,7 @@ def aws_keys(units: DataFrame) -> DataFrame:
 
 
 def private_keys(units: DataFrame) -> DataFrame:
-    return _findings(matches(lines(units).where(F.col("text").contains("-----BEGIN ")), {"private-key": PRIVATE_KEY}), "sensitive-data.private-key", F.col("value"))
+    return _findings(matches(lines(units).where(F.col("text").contains("-----BEGIN ")), {"private-key": PRIVATE_KEY}, column="text"), "sensitive-data.private-key", F.col("value"))
 
 
 def jwt_tokens(units: DataFrame) -> DataFrame:
@@ -135,16 +155,22 @@ def service_account_keys(units: DataFrame, least: int = 100) -> DataFrame:
     held = F.when(has_field, key).when(pem != "", pem)
     body = F.regexp_replace(F.regexp_replace(held, "-----[^-]*-----", ""), "[^A-Za-z0-9+/=]", "")
     files = files.where(held.isNull() | (F.length(body) >= least)).withColumn("shown", F.when(has_field, preview(key)).otherwise("<redacted service-account key>"))
-    rows = files.select("file", "shown", F.posexplode(F.split("source", "\n")).alias("at", "text"))
-    rows = rows.select("file", (F.col("at") + 1).alias("line"), "shown", F.explode(F.regexp_extract_all("text", F.lit(SERVICE_ACCOUNT), F.lit(0))))
+    rows = files.select("file", "shown", F.posexplode(_texts(files)).alias("at", "both"))
+    rows = rows.select("file", (F.col("at") + 1).alias("line"), "shown", F.explode(F.regexp_extract_all(F.coalesce("both.code", "both.text"), F.lit(SERVICE_ACCOUNT), F.lit(0))))
     return rows.select("file", "line", F.lit("sensitive-data.gcp-service-account-key").alias("rule_id"), F.lit("gcp-service-account-key").alias("detector"), F.col("shown").alias("preview"))
 
 
+def assignments(units: DataFrame, any_case: bool = False) -> DataFrame:
+    """Values given to secret-like upper-case keys: file, line, detector, key, value, exemption (why it is no secret, or null)."""
+    found = matches(lines(units), {"env-style-secret": ("(?i)" if any_case else "") + ENV_VALUE})
+    key, value = F.regexp_extract("value", ENV_KEY, 1), F.regexp_extract("value", ENV_GIVEN, 1)
+    return found.select("file", "line", "detector", key.alias("key"), value.alias("value"), exemptions.of_assignment(key, value).alias("exemption"))
+
+
 def env_values(units: DataFrame, min_length: int = 20, min_entropy: float = 3.5, any_case: bool = False) -> DataFrame:
-    """Values of secret-like upper-case keys; .env files are where they belong."""
-    rows = lines(units.where(~F.col("file").rlike(r"(^|/)\.env[^/]*$")))
-    found = matches(rows, {"env-style-secret": ("(?i)" if any_case else "") + ENV_VALUE}, 1)
+    """Values of secret-like upper-case keys without an exemption; .env files are where they belong."""
     value = F.col("value")
+    found = assignments(units.where(~F.col("file").rlike(ENV_FILE)), any_case).where("exemption is null")
     return _findings(found.where(~dummy(value) & (F.length(value) >= min_length)).where(entropy(value) >= min_entropy), "sensitive-data.hardcoded-env-value", preview(value))
 
 
@@ -154,10 +180,17 @@ def literals(units: DataFrame) -> DataFrame:
     return found.select("file", "line", F.col("value").alias("literal"), F.round(entropy(F.col("value")), 6).alias("entropy"))
 
 
+def random_literals(units: DataFrame, min_length: int = 32, min_entropy: float = 4.2) -> DataFrame:
+    """Literals that look random, other than keys: file, line, detector, value, exemption (why it is no secret, or null)."""
+    value = F.col("value")
+    found = matches(lines(units), {"high-entropy": VALUE_LITERAL}, 1).where(F.length(value) >= min_length)
+    found = found.where((F.round(entropy(value), 6) >= min_entropy) | ((F.length(value) >= 64) & value.rlike("^[0-9a-fA-F]+$")))
+    return found.select("file", "line", "detector", "value", exemptions.of_literal(value, F.col("text"), JWT).alias("exemption"))
+
+
 def high_entropy(units: DataFrame, min_length: int = 32, min_entropy: float = 4.2) -> DataFrame:
-    value = F.col("literal")
-    rows = literals(units).where((F.length(value) >= min_length) & ((F.col("entropy") >= min_entropy) | ((F.length(value) >= 64) & value.rlike("^[0-9a-fA-F]+$"))) & ~dummy(value) & ~value.rlike(f"^{JWT}$"))
-    return _findings(rows.withColumn("detector", F.lit("high-entropy")), "sensitive-data.high-entropy-string", preview(value))
+    rows = random_literals(units, min_length, min_entropy).where(~dummy(F.col("value")) & F.col("exemption").isNull())
+    return _findings(rows, "sensitive-data.high-entropy-string", preview(F.col("value")))
 
 
 def health_ids(units: DataFrame) -> DataFrame:
@@ -226,7 +259,7 @@ def line_prefix_sum(units: DataFrame) -> DataFrame:
 
 def license_lines(units: DataFrame) -> DataFrame:
     """Lines that state a licence or copyright: file, line, text."""
-    return lines(units).where(F.col("text").rlike(r"(?i)\b(licen[cs]e|copyright)\b"))
+    return lines(units).where(F.col("text").rlike(r"(?i)\b(licen[cs]e|copyright)\b")).select("file", "line", "text")
 
 
 #: The rule of each detector of ``scan``.
@@ -243,31 +276,38 @@ def scan(units: DataFrame, rules: set[str] | None = None) -> DataFrame:
     Each detector stands behind a cheap test of the line; what it found is judged
     by the same conditions as in the rules above.
     """
-    t, low, value, detector = F.col("text"), F.lower("text"), F.col("value"), F.col("detector")
+    raw, t, low, value, detector = F.col("text"), F.col("code"), F.lower("text"), F.col("value"), F.col("detector")
     in_tests, url, health, digit = F.col("in_tests"), t.contains("://"), F.col("in_health") & low.rlike(HEALTH_CONTEXT), t.rlike("[0-9]")
     gates = [(name, p, 0, t.contains(API_KEY_PARTS[name])) for name, p in API_KEYS.items()] + [
-        ("azure-sas", AZURE_SAS, 0, t.contains("sig=") | t.contains("SIG=")), ("aws-access-key", AWS_KEY, 0, t.contains("AKIA") | t.contains("ASIA")), ("private-key", PRIVATE_KEY, 0, t.contains("-----BEGIN ")),
-        ("jwt", JWT, 0, t.contains("eyJ")), ("database-url", DATABASE_URL, 0, url), ("url", WEB_URL, 0, url), ("env-style-secret", ENV_VALUE, 1, t.contains("=") & ~F.col("is_env")),
-        ("high-entropy", LITERAL, 1, t.contains('"') | t.contains("'")), ("email", EMAIL, 0, in_tests & t.contains("@")), ("phone", PHONE, 0, in_tests & digit), ("address", ADDRESS, 0, in_tests & digit), *[(n, p, 0, health) for n, p in HEALTH.items()],
+        ("azure-sas", AZURE_SAS, 0, t.contains("sig=") | t.contains("SIG=")), ("aws-access-key", AWS_KEY, 0, t.contains("AKIA") | t.contains("ASIA")), ("private-key", PRIVATE_KEY, 0, raw.contains("-----BEGIN ")),
+        ("jwt", JWT, 0, t.contains("eyJ")), ("database-url", DATABASE_URL, 0, url), ("url", WEB_URL, 0, url), ("env-style-secret", ENV_VALUE, 0, t.contains("=") & ~F.col("is_env")),
+        ("high-entropy", VALUE_LITERAL, 1, t.contains('"') | t.contains("'")), ("email", EMAIL, 0, in_tests & t.contains("@")), ("phone", PHONE, 0, in_tests & digit), ("address", ADDRESS, 0, in_tests & digit), *[(n, p, 0, health) for n, p in HEALTH.items()],
     ]
     gates = [x for x in gates if rules is None or RULE_OF[x[0]] in rules]
     likely = F.lit(False)
     for gate in {str(x[3]): x[3] for x in gates}.values():
         likely |= gate  # most lines end here
-    found = F.array(*[F.struct(F.lit(n).alias("detector"), F.when(gate, F.regexp_extract_all("text", F.lit(p), F.lit(g))).alias("values")) for n, p, g, gate in gates])
-    rows = units.select("file", F.col("source").rlike(HEALTH_WORD).alias("in_health"), F.col("file").rlike("(?i)(^|/)(tests?|fixtures?|__tests__)/").alias("in_tests"), F.col("file").rlike(r"(^|/)\.env[^/]*$").alias("is_env"), F.split("source", "\n").alias("texts"))
-    rows = rows.select("file", "in_health", "in_tests", "is_env", F.posexplode("texts").alias("at", "text")).withColumn("line", F.col("at") + 1)  # on its own, so that what is asked of a file is not asked of its lines
-    rows = rows.where(likely).select("file", "line", "text", F.inline(found)).select("file", "line", "text", "detector", F.explode("values").alias("value"))
+    found = F.array(*[F.struct(F.lit(n).alias("detector"), F.when(gate, F.regexp_extract_all(raw if n == "private-key" else t, F.lit(p), F.lit(g))).alias("values")) for n, p, g, gate in gates])
+    rows = units.select("file", F.col("source").rlike(HEALTH_WORD).alias("in_health"), F.col("file").rlike("(?i)(^|/)(tests?|fixtures?|__tests__)/").alias("in_tests"), F.col("file").rlike(ENV_FILE).alias("is_env"), _texts(units).alias("texts"))
+    rows = rows.select("file", "in_health", "in_tests", "is_env", F.posexplode("texts").alias("at", "both"))  # on its own, so that what is asked of a file is not asked of its lines
+    rows = rows.select("file", "in_health", "in_tests", "is_env", (F.col("at") + 1).alias("line"), "both.text", F.coalesce("both.code", "both.text").alias("code"))
+    rows = rows.where(likely).select("file", "line", "text", F.inline(found))
+    assigned = detector == "env-style-secret"
+    parts = lambda v: F.struct(F.when(assigned, F.regexp_extract(v, ENV_KEY, 1)).alias("key"), F.when(assigned, F.regexp_extract(v, ENV_GIVEN, 1)).otherwise(v).alias("value"))
+    rows = rows.select("file", "line", "text", "detector", F.inline(F.transform("values", parts)))
     small, bits = F.lower("value"), entropy(value)
     made_up = small.contains("@example.") | small.contains("@example-") | small.contains("@test.") | small.contains("example") | small.contains("555-010") | small.contains("555 010")
     credit = low.contains("@author") | low.contains("copyright") | small.rlike(RESERVED)
     long_hex = (F.length(value) >= 64) & value.rlike("^[0-9a-fA-F]+$")
-    is_ = detector.isin
+    is_, run = detector.isin, {x[0] for x in gates}
+    secret_value = exemptions.of_assignment(F.col("key"), value).isNull() if "env-style-secret" in run else F.lit(True)
+    secret_literal = exemptions.of_literal(value, raw, JWT).isNull() if "high-entropy" in run else F.lit(True)
     password = F.when(is_("database-url"), _password(DATABASE_URL)).when(is_("url"), _password(WEB_URL))
     kept = (
-        F.when(is_("private-key"), True).when(is_(*HEALTH), ~_placeholder_id()).when(is_("database-url", "url"), ~dummy(password)).when(is_("email"), ~made_up & ~credit).when(is_("phone"), ~made_up).when(is_("address"), ~made_up & ~t.rlike(MARKER))
+        F.when(is_("private-key"), True).when(is_(*HEALTH), ~_placeholder_id()).when(is_("database-url", "url"), ~dummy(password)).when(is_("email"), ~made_up & ~credit).when(is_("phone"), ~made_up).when(is_("address"), ~made_up & ~raw.rlike(MARKER))
         .when(dummy(value), False).when(is_("azure-sas"), value.rlike(r"(?i)\bsv=") & value.rlike(r"(?i)\bsig="))
-        .when(is_("env-style-secret"), (F.length(value) >= 20) & (bits >= 3.5)).when(is_("high-entropy"), ~value.rlike(f"^{JWT}$") & ((F.round(bits, 6) >= 4.2) | long_hex)).otherwise(True)
+        .when(is_("env-style-secret"), (F.length(value) >= 20) & (bits >= 3.5) & secret_value)
+        .when(is_("high-entropy"), ((F.round(bits, 6) >= 4.2) | long_hex) & secret_literal).otherwise(True)
     )
     rule = F.element_at(F.create_map(*[F.lit(x) for pair in RULE_OF.items() for x in pair]), detector)
     shown = F.when(is_("private-key"), value).when(is_("database-url", "url"), _without_password(password)).when(is_("email", "phone", "address", *HEALTH), redacted(value)).otherwise(preview(value))
