@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from plumbline.rules import code, flow, hierarchy, scopes, statements
+from plumbline.rules import code, conventions, flow, hierarchy, scopes, statements
 from plumbline.sources.staging import staged
 
 COLUMNS = {"file": "string", "line": "int", "rule_id": "string", "symbol": "string", "value": "bigint", "detector": "string", "preview": "string"}
@@ -51,6 +51,12 @@ CODE_RULES: dict[str, dict[tuple[str, str], tuple[str, ...]]] = {
     "hierarchy": {
         ("advisory", "medium"): ("waste.one-line-method",),
     },
+    "conventions": {
+        ("advisory", "high"): ("naming.abbreviation-allowlist",),
+        ("advisory", "medium"): ("docs.missing-file-phpdoc", "modernisation.mixed-type-overuse"),
+        ("warning", "high"): ("docs.var-annotation-description",),
+        ("warning", "medium"): ("security.permissive-cors",),
+    },
     "flow": {
         ("warning", "medium"): ("security.extract-compact-user-input", "security.header-injection", "security.path-traversal-file-access", "security.process-command-construction", "security.reflected-xss", "security.request-controlled-url", "security.sensitive-data-logging", "security.sql-concatenation", "security.unsafe-archive-extraction", "security.unsafe-xml-loading", "security.variable-include"),
     },
@@ -130,6 +136,7 @@ def built_in(limits: dict[str, float] | None = None) -> tuple[RuleSet, ...]:
         RuleSet("scopes", rules["scopes"], lambda f: scopes.scope_findings(f["code"], f["lines"], f["declarations"]), "lines"),
         RuleSet("statements", rules["statements"], lambda f: statements.statement_findings(f["code"], rows=f["segments"], metrics=f["metrics"], limits=limits), "segments"),
         RuleSet("hierarchy", rules["hierarchy"], lambda f: hierarchy.one_line_methods(f["segments"]), "segments"),
+        RuleSet("conventions", rules["conventions"], lambda f: conventions.convention_findings(f["lines"], f["declarations"], f["segments"]), "segments"),
         RuleSet("flow", rules["flow"], lambda f: flow.flow_findings(f["code"], f["segments"]), "segments"),
     )
 

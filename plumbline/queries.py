@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from plumbline.functions.scores import threshold_severity
 from plumbline.functions.text import entropy, fingerprint, identifier_tokens, line_of, matches_path, path_regex, stable_identity
 from plumbline.operators import asof, measures, reconcile, regions, scoring
-from plumbline.plans import catalogue
-from plumbline.rules import code, exemptions, flow, hierarchy, manifests, scopes, statements, text
+from plumbline.plans import catalogue, protocol
+from plumbline.rules import code, conventions, exemptions, flow, hierarchy, manifests, scopes, statements, text
 from plumbline.sinks import reports
 from plumbline.sources import files, samples, tables
 from plumbline.sources.staging import fresh_folder, staged
@@ -324,6 +324,12 @@ def analyse(spark, sf):
     return catalogue.analyse(tables.units(spark, sf).unionByName(tables.page_units(spark, sf)).unionByName(tables.conversation_units(spark, sf)))
 
 
+@query(samples.CONVENTION_FINDINGS_SQL)
+def convention_findings(spark, sf):
+    facts = protocol.Facts(samples.convention_units(spark, sf))
+    return conventions.convention_findings(facts["lines"], facts["declarations"], facts["segments"])
+
+
 @query(samples.analyse_code_sql())
 def analyse_code(spark, sf):
     """All security rules, lexical, by scope and by flow, over the same staged facts."""

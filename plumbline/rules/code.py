@@ -87,8 +87,8 @@ def declarations(lines: DataFrame) -> DataFrame:
     )
     closers = lines.where("closes > 0").select("file", "line", F.explode(F.sequence(F.col("depth"), F.greatest("depth", F.col("before")))).alias("at")).select("file", "at", F.col("line").alias("closed"))
     both = found.withColumn("closed", F.lit(None).cast("int")).unionByName(closers, allowMissingColumns=True)
-    place = Window.partitionBy("file", "at").orderBy(F.coalesce("start", "closed"), F.col("closed").asc_nulls_first()).rowsBetween(0, Window.unboundedFollowing)
-    ended = both.withColumn("end", F.first("closed", ignorenulls=True).over(place)).where("start is not null")
+    place = Window.partitionBy("file", "at").orderBy(F.desc(F.coalesce("start", "closed")), F.col("closed").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)  # from the end: one pass
+    ended = both.withColumn("end", F.last("closed", ignorenulls=True).over(place)).where("start is not null")
     return ended.select("file", "kind", "name", "start", F.when(F.col("bodyless"), F.col("start")).otherwise(F.coalesce("end", "start")).alias("end"), F.col("at").alias("depth"), "visibility", "documented", "header", "bodyless")
 
 
