@@ -18,9 +18,10 @@ partitions. Ranks come from a count by task and length and a running sum over
 those counts.
 
 Token ids are those of the tokenizer file. White space never lies within a token of
-its pattern, so words between single spaces are encoded one by one and met again in
-a bounded cache; words with characters beyond the Latin blocks, control characters or
-the marks of added tokens go through the tokenizer itself.
+its pattern, so words between white space are encoded one by one: each distinct word
+of some megabytes of text once, most of them from a bounded cache, and Arrow deals
+their ids out to the texts. Words with characters beyond the Latin blocks, control
+characters or the marks of added tokens go through the tokenizer itself.
 
 Nulls and edges: a null or empty text is the end token alone; a null doc_id and repeated
 rows are packed like others; a document longer than a sequence is cut into full pieces
@@ -35,6 +36,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -45,6 +47,7 @@ from .shared import materialise, table
 
 SEQUENCE = 2048
 END = 0
+PORTION = 8 << 20  # bytes of text whose words are looked up together; affects cost only
 PIECES = "doc_id long, piece int, start long, length long, sequence_id long, offset long, ids binary"
 # fixed values: the pre-token pattern of word_bpe_49k.json
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -53,7 +56,7 @@ PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa0-įı-ɏ]*")  # without İ, whose sm
 
 
 class WordIds(dict):
-    """Token ids, as bytes of 16-bit numbers, of what stands between two spaces; the first ``limit`` plain words that are met stay."""
+    """Token ids, as bytes of 16-bit numbers, of what stands between white space; the first ``limit`` plain words that are met stay."""
 
     def __init__(self, tokenizer: str, limit: int):
         from tokenizers import Tokenizer
@@ -67,12 +70,18 @@ class WordIds(dict):
         return array("H", [t.id for t in self.tokenize(part if part.isascii() else self.letters(part)[0][0])]).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if not PLAIN.fullmatch(word) or "<|" in word:
+        plain = word.isascii()
+        if plain and word.isalpha():
+            small = word.lower()
+            if small != word:
+                return self[small]
+            found = self.part_ids(word)
+        elif plain and word[:-1].isalpha():
+            return self[word[:-1]] + self[word[-1:]]
+        elif not PLAIN.fullmatch(word) or "<|" in word:
             return array("H", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        if word.isalpha():
+        elif word.isalpha():
             found = self.part_ids(word.lower())
-        elif "\n" in word:
-            return b"".join([self[x] for x in word.split("\n")])
         elif word[:-1].isalpha():
             return self[word[:-1]] + self[word[-1:]]
         else:
@@ -81,8 +90,25 @@ class WordIds(dict):
             self[word] = found
         return found
 
+    def texts_ids(self, texts: pa.Array) -> pa.Array:
+        """The ids of each text; a word is looked up once however often the texts have it."""
+        words = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
+        coded = words.flatten().dictionary_encode()
+        ids = pa.array([self[word] for word in coded.dictionary.to_numpy(zero_copy_only=False).tolist()], pa.large_binary())
+        return pc.binary_join(pa.ListArray.from_arrays(words.offsets, ids.take(coded.indices)), pa.scalar(b"", pa.large_binary()))
+
     def text_ids(self, text: str) -> bytes:
-        return b"".join([self[word] for word in text.split(" ")])
+        return self.texts_ids(pa.array([text], pa.string()))[0].as_py()
+
+
+def _portions(texts: pa.Array, size: int):
+    """Ranges of consecutive texts of about ``size`` bytes, and of one text at least."""
+    ends, at = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        after = max(at + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield at, after - at
+        at = after
 
 
 _known: dict[tuple[str, int], WordIds] = {}
@@ -97,10 +123,11 @@ def _tokenised(tokenizer: str, end: int, sequence: int, words_in_memory: int):
         words, closing = _known[tokenizer, words_in_memory], array("H", [end]).tobytes()
         part, met = TaskContext.get().partitionId(), [0] * (sequence + 1)
         for batch in batches:
-            for row in range(0, batch.num_rows, 500):
+            texts = batch.column("text")
+            for row, n in _portions(texts, PORTION):
                 out = ([], [], [], [], [], [], [])
-                for doc_id, text in zip(batch.column("doc_id").slice(row, 500).to_pylist(), batch.column("text").slice(row, 500).to_pylist(), strict=True):
-                    ids = words.text_ids(text or "") + closing
+                for doc_id, ids in zip(batch.column("doc_id").slice(row, n).to_pylist(), words.texts_ids(texts.slice(row, n)), strict=True):
+                    ids = ids.as_py() + closing
                     for piece, at in enumerate(range(0, len(ids), 2 * sequence)):
                         own = ids[at : at + 2 * sequence]
                         n = len(own) // 2

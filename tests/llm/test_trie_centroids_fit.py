@@ -4,8 +4,10 @@ import hashlib
 import math
 import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from plumbline.llm import prefix_trie, ptolemaic, vector_packing
@@ -240,3 +242,32 @@ def test_word_ids_are_the_tokenizers():
     words = vector_packing.WordIds(vector_packing.public_tokenizer(), 500)
     assert [np.frombuffer(words.text_ids(t), dtype="<u2").tolist() + [0] for t in texts] == ids_of(texts)
     assert len(words) <= 500
+
+
+def test_word_ids_around_white_space_and_capitals():
+    texts = ["a\vb\fc", "\x0b", "a\x1cb", "b\x1d", "x\r\ny\t\tz", "\u0301a \u0301b\n\u0301", "Alpha alpha, ALPHA. É é Éa, \xa0 a\xa0b", "a\x00", "\x7f ", "don't  DON'T", " lead", "trail \n", "a<", "<|", "<|endoftext|>", "w" * 40 + " W" + "w" * 39]
+    words = vector_packing.WordIds(vector_packing.public_tokenizer(), 500)
+    whole = words.texts_ids(pa.array([None, *texts, ""]).slice(1))  # of an array that begins further on
+    assert [np.frombuffer(x, dtype="<u2").tolist() + [0] for x in whole.to_pylist()] == ids_of([*texts, ""])
+    assert "Alpha" not in words and "alpha" in words
+
+
+def test_portions_cover_every_text():
+    for sizes in ([], [0], [5, 0, 3, 9, 1, 1, 1], [100], [0, 0, 100, 0]):
+        texts = pa.array(["x" * n or None for n in sizes], pa.string())
+        found = list(vector_packing._portions(texts, 6))
+        assert [i for at, n in found for i in range(at, at + n)] == list(range(len(sizes)))
+        assert all(n == 1 or sum(sizes[at : at + n]) <= 6 for at, n in found)
+
+
+def test_a_word_is_tokenised_once_where_the_cache_is_full(monkeypatch):
+    words, asked = vector_packing.WordIds(vector_packing.public_tokenizer(), 0), []
+    tokenize = words.tokenize
+    words.tokenize = lambda word: asked.append(word) or tokenize(word)
+    monkeypatch.setitem(vector_packing._known, ("counted", 0), words)
+    monkeypatch.setattr(vector_packing.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    texts = ["alpha beta gamma"] * 300
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    pieces = [p for b in vector_packing._tokenised("counted", 0, 2048, 0)([batch]) for p in b.to_pylist()]
+    assert [np.frombuffer(p["ids"], dtype="<u2").tolist() for p in pieces] == ids_of(texts)
+    assert sorted(asked) == ["alpha", "beta", "gamma"]
