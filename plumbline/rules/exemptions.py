@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import identifier_tokens
+from plumbline.functions.text import HUMPS
 
 # fixed values: shapes and limits that decide what is exempt; results equal others' only with these as they stand
 OWNED = ("AKIA", "ASIA", "sk_live_", "sk-proj-", "sk-ant-", "ghp_", "gho_", "ghr_", "ghs_", "ghu_", "github_pat_", "glpat-", "npm_", "AIza", "xox", "https://hooks.slack.com/services/")
@@ -57,14 +57,13 @@ def route(value: Column) -> Column:
 def compound(value: Column) -> Column:
     """An identifier or slug of two parts or more that is mostly words."""
     def letters(part: Column) -> Column:
-        words = F.filter(F.when(part.rlike("^[A-Za-z]+$"), F.array(part)).otherwise(identifier_tokens(part)), lambda w: w.rlike(f"^[A-Za-z]{{{WORD},}}$"))
-        return F.aggregate(words, F.lit(0), lambda n, w: n + F.length(w))
-
-    parts = F.filter(F.split(value, "[/._-]+"), lambda p: p != "")
-    weighed = F.transform(parts, lambda p: F.struct(F.length(p).alias("all"), letters(p).alias("words")))
-    random_part = F.exists(weighed, lambda p: (p["all"] >= LONG_PART) & (2 * p["words"] <= p["all"]))
-    excess = F.aggregate(weighed, F.lit(0), lambda n, p: n + 2 * p["words"] - p["all"])
-    return F.when(value.rlike(COMPOUND), ~random_part & (excess > 0)).otherwise(False)
+        words = F.filter(F.regexp_extract_all(part, F.lit(HUMPS), F.lit(0)), lambda w: w.rlike(f"^[A-Za-z]{{{WORD},}}$"))
+        return F.when(part.rlike("^[A-Za-z]*$"), F.when(F.length(part) >= WORD, F.length(part)).otherwise(0)).otherwise(F.length(F.array_join(words, "")))
+
+    weighed = F.transform(F.split(value, "[/._-]+"), lambda p: F.struct(F.length(p).alias("all"), letters(p).alias("words")))
+    start = F.struct(F.lit(False).alias("random_part"), F.lit(0).alias("excess"))
+    add = lambda s, p: F.struct((s["random_part"] | ((p["all"] >= LONG_PART) & (2 * p["words"] <= p["all"]))).alias("random_part"), (s["excess"] + 2 * p["words"] - p["all"]).alias("excess"))
+    return F.when(value.rlike(COMPOUND), F.aggregate(weighed, start, add, lambda s: ~s["random_part"] & (s["excess"] > 0))).otherwise(False)
 
 
 def clinical(value: Column, line: Column) -> Column:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from plumbline.rules import exemptions, text
+from plumbline.sources import samples
 
 RANDOM = "M7qP2vL9xZ4aB8nC3dF6gH1jK5mN0rS2tV9wY4zQ"
 LITERALS = [  # literal, line, exemption
@@ -109,3 +110,11 @@ def test_one_pass_agrees_with_single_rules_on_exempt_values_and_comments(spark):
     rules = (text.api_keys, text.aws_keys, text.private_keys, text.jwt_tokens, text.url_credentials, text.env_values, text.high_entropy, text.health_ids, text.personal_data)
     single = sorted(str(tuple(r)) for rule in rules for r in rule(units).collect())
     assert sorted(str(tuple(r)) for r in text.scan(units).collect()) == single and len(single) > 20
+
+
+def test_files_of_one_small_table_are_many_tasks(spark, tmp_path):
+    """A million short rows are one input split; the texts made of them are not one task's."""
+    spark.range(1, 5001).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    units = samples.literal_units(spark, str(tmp_path))
+    assert units.select(F.spark_partition_id().alias("p")).distinct().count() == 3
+    assert units.select("file").distinct().count() == 5000
