@@ -76,13 +76,14 @@ class Facts:
         self._makers: dict[str, Callable[[Facts], DataFrame]] = {
             "lines": lambda f: scopes.comment_blocks(code.code_lines(f["code"])),
             "declarations": lambda f: code.measured(f["lines"], code.declarations(f["lines"])),
-            "segments": lambda f: statements.segments(f["code"]),
+            "segments": lambda f: statements.staged_segments(f["code"], "facts-segments"),
             "metrics": lambda f: statements.function_metrics(f["segments"]),
         }
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._held:
-            self._held[name] = staged(self._makers[name](self), f"facts-{name}")
+            made = self._makers[name](self)
+            self._held[name] = made if name == "segments" else staged(made, f"facts-{name}")  # segments are written in buckets
         return self._held[name]
 
     @property

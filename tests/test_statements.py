@@ -1,5 +1,7 @@
 """Statements, blocks, metrics and flow on hand-counted texts."""
 
+import re
+
 import pytest
 
 from plumbline.operators import asof
@@ -152,3 +154,15 @@ def test_last_before_by_key_and_place(spark):
     uses = spark.createDataFrame([(1, "a", 5), (2, "a", 1), (3, "b", 9), (4, None, 3)], "id int, k string, at int")
     values = spark.createDataFrame([("a", 1, "x"), ("a", 4, "y"), ("a", 4, "z"), ("a", 5, "late"), (None, 2, "n")], "k string, at int, v string")
     assert {r["id"]: r["v"] for r in asof.last_before(uses, values, ("k",), "at", ("v",)).collect()} == {1: "z", 2: None, 3: None, 4: "n"}
+
+
+def test_segments_are_dealt_out_once(spark):
+    """What groups or orders the written segments by file takes them from their bucket."""
+    units = spark.createDataFrame([(f"{i}.php", "<?php\nclass A {\n function f($a) { if ($a) { return 1; } return 2; }\n}\n") for i in range(20)], UNITS)
+    rows = statements.staged_segments(units)
+    plans = [found._jdf.queryExecution().executedPlan().toString() for found in (statements.function_metrics(rows), statements.callables(rows), statements.statement_findings(units))]
+    assert all("Window" in plan for plan in plans[:2]) and not any("Exchange hashpartitioning(file#" in plan for plan in plans[:2])
+    assert not re.search(r"Exchange hashpartitioning\(file#\d+, \d+\)", plans[2])
+    assert rows.count() == statements.segments(units).count()
+    assert sorted(map(str, rows.collect())) == sorted(map(str, statements.segments(units).collect()))
+    assert rows.sparkSession.catalog.listTables() == []
