@@ -79,40 +79,60 @@ def under_paths(files: DataFrame, requested: DataFrame) -> DataFrame:
     return hits.select("file").distinct()
 
 
+#: Where the sections of a patch and the hunks of a section begin; lines end with \n only.
+SECTION, HUNK = r"(?dm)(?=^diff --git )", r"(?dm)(?=^@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@)"
+
+
+def _hunk_ranges(hunk: Column, file: Column, new: Column) -> Column:
+    """(file, start, end) of the runs of new lines of a hunk; of one that only deletes, the line at which it does."""
+    at = lambda p: F.regexp_extract(hunk, p, 1).try_cast("int").cast("long")
+    start, length = at(r"^@@ -\d+(?:,\d+)? \+(\d+)"), F.coalesce(at(r"^@@ -\d+(?:,\d+)? \+\d+,(\d+)"), F.lit(1))
+    # a character for each line that the new file has
+    marks = F.array_join(F.regexp_extract_all(hunk, F.lit("(?dm)^[+ ]"), F.lit(0)), "")
+    runs = F.regexp_extract_all(marks, F.lit(r" +|\++"), F.lit(0))
+    state = F.struct(start.alias("next"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("found"))
+    step = lambda s, run: F.struct((s["next"] + F.length(run)).alias("next"), F.when(run.startswith("+"), F.concat(s["found"], F.array(F.struct(s["next"].alias("start"), (s["next"] + F.length(run) - 1).alias("end"))))).otherwise(s["found"]).alias("found"))
+    found = F.aggregate(runs, state, step, lambda s: s["found"])
+    here = F.greatest(F.lit(1).cast("long"), start)
+    emptied = F.when((length == 0) & (new != "/dev/null"), F.array(F.struct(here.alias("start"), here.alias("end")))).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))
+    return F.transform(F.concat(found, emptied), lambda r: F.struct(file.alias("file"), r["start"].alias("start"), r["end"].alias("end")))
+
+
 def parse_unified_diff(patches: DataFrame) -> DataFrame:
     """Changed ranges of unified diffs (patch_id, text): patch_id, file, start, end; null ranges for a file that only changed.
 
-    Every line is a row; headers carry forward over the lines below them, the new
-    line number is a running count in each hunk, and neighbouring new lines merge.
+    A patch is cut into sections, a section into its header and hunks. In a header the
+    last names of the old and the new file count, and each that stood there was named.
+    Ranges of one file that touch are merged in order of their lines.
     """
-    lines = patches.select("patch_id", F.posexplode(F.split("text", "\r?\n")).alias("at", "text"))
-    w = Window.partitionBy("patch_id").orderBy("at")
-    last = lambda c: F.last(c, ignorenulls=True).over(w)
-    hunk = F.when(F.col("text").rlike(r"^@@ -\d+(,\d+)? \+\d+(,\d+)? @@"), F.col("at"))
-    lines = lines.withColumn("hunk", last(hunk)).withColumn("section", last(F.when(F.col("text").startswith("diff --git "), F.col("at"))))
-    # a header is only looked for above the first hunk of its section
-    outside = F.col("hunk").isNull() | (F.col("section") > F.col("hunk"))
-    path = lambda prefix: F.regexp_replace(F.regexp_replace(F.substring(F.col("text"), len(prefix) + 1, 1 << 20), r"\t.*$", ""), '^"?[ab]/(.*?)"?$', "$1")
-    named = lambda prefix: F.when(outside & F.col("text").startswith(prefix), path(prefix))
-    per_section = Window.partitionBy("patch_id", "section").orderBy("at")
-    carry = lambda c: F.last(c, ignorenulls=True).over(per_section)
-    lines = lines.withColumn("old", carry(named("--- "))).withColumn("new", carry(named("+++ "))).withColumn("is_hunk", hunk.isNotNull())
-    lines = lines.withColumn("file", F.when(F.col("new").isNotNull() & (F.col("new") != "/dev/null"), F.col("new")).otherwise(F.when(F.col("old") != "/dev/null", F.col("old"))))
-    renamed = lines.where(F.col("text").rlike("^rename (from|to) ")).select("patch_id", F.regexp_replace("text", '^rename (from|to) "?(.*?)"?$', "$2").alias("file"))
-    in_hunk = lines.where(F.col("hunk").isNotNull() & ~outside)
-    head = Window.partitionBy("patch_id", "hunk").orderBy("at")
-    start = F.first(F.regexp_extract("text", r"^@@ -\d+(?:,\d+)? \+(\d+)", 1).try_cast("int")).over(head)
-    length = F.first(F.coalesce(F.regexp_extract("text", r"^@@ -\d+(?:,\d+)? \+\d+,(\d+)", 1).try_cast("int"), F.lit(1))).over(head)
-    before = F.sum(F.when(F.col("is_hunk") | ~F.col("text").rlike(r"^[+ ]"), 0).otherwise(1)).over(head)
-    numbered = in_hunk.withColumn("start_", start).withColumn("length_", length).withColumn("number", F.col("start_") + before - 1)
-    added = numbered.where(~F.col("is_hunk") & F.col("text").startswith("+")).select("patch_id", "file", "number").distinct()
-    emptied = numbered.where("is_hunk and length_ = 0 and new <> '/dev/null'").select("patch_id", "file", F.greatest(F.lit(1), F.col("start_")).alias("number"))
-    points = added.unionByName(emptied).distinct()
-    islands = points.withColumn("_island", F.col("number") - F.row_number().over(Window.partitionBy("patch_id", "file").orderBy("number")))
-    ranges = islands.groupBy("patch_id", "file", "_island").agg(F.min("number").alias("start"), F.max("number").alias("end")).drop("_island")
-    named_files = lines.where("file is not null").select("patch_id", "file").unionByName(renamed).distinct()
-    bare = named_files.join(ranges.select("patch_id", "file").distinct(), ["patch_id", "file"], "left_anti")
-    return ranges.unionByName(bare.select("patch_id", "file", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end")))
+    text = F.replace(F.col("text"), F.lit("\r\n"), F.lit("\n"))
+    sections = patches.select("patch_id", F.explode(F.split(text, SECTION)).alias("section"))
+    sections = sections.select("patch_id", "section", F.split("section", HUNK).alias("pieces"))
+    header = F.when(F.col("pieces")[0].rlike("^" + HUNK), "").otherwise(F.col("pieces")[0])
+    path = lambda line: F.regexp_replace(F.regexp_replace(F.substring(line, 5, 1 << 20), r"\t.*$", ""), '^"?[ab]/(.*?)"?$', "$1")
+    known = lambda old, new: F.when(new.isNotNull() & (new != "/dev/null"), new).otherwise(F.when(old != "/dev/null", old))
+    none = F.lit(None).cast("string")
+    state = F.struct(none.alias("old"), none.alias("new"), F.array().cast("array<string>").alias("files"))
+
+    def read(s: Column, line: Column) -> Column:
+        old, new = F.when(line.startswith("-"), path(line)).otherwise(s["old"]), F.when(line.startswith("+"), path(line)).otherwise(s["new"])
+        file = known(old, new)
+        seen = file.isNull() | F.array_contains(s["files"], F.coalesce(file, F.lit("")))
+        return F.struct(old.alias("old"), new.alias("new"), F.when(seen, s["files"]).otherwise(F.concat(s["files"], F.array(file))).alias("files"))
+
+    named = F.aggregate(F.regexp_extract_all(header, F.lit(r"(?dm)^(?:--- |\+\+\+ ).*$"), F.lit(0)), state, read)
+    sections = sections.withColumn("names", named).withColumn("file", known(F.col("names.old"), F.col("names.new")))
+    renamed = F.transform(F.regexp_extract_all("section", F.lit("(?dm)^rename (?:from|to) .*$"), F.lit(0)), lambda x: F.regexp_replace(x, '^rename (from|to) "?(.*?)"?$', "$2"))
+    bare = F.transform(F.concat("names.files", renamed), lambda f: F.struct(f.alias("file"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end")))
+    hunks = F.when(F.col("section").startswith("diff --git "), F.slice("pieces", 2, F.size("pieces"))).otherwise(F.array().cast("array<string>"))
+    ranges = F.flatten(F.transform(hunks, lambda h: _hunk_ranges(h, F.col("file"), F.col("names.new"))))
+    rows = sections.select("patch_id", F.inline(F.concat(ranges, bare)))
+    # rows without a range come last: they join the last range of their file, or stay alone
+    w = Window.partitionBy("patch_id", "file").orderBy(F.col("start").asc_nulls_last(), "end")
+    reached = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_apart", (F.col("start").isNotNull() & (reached.isNull() | (F.col("start") > reached + 1))).cast("int"))
+    rows = rows.withColumn("_island", F.sum("_apart").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return rows.groupBy("patch_id", "file", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
 
 
 def explicit_ranges(spec: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from plumbline.plans import catalogue, protocol
 from plumbline.rules import code, conventions, exemptions, flow, hierarchy, manifests, scopes, statements, text
 from plumbline.sinks import reports
 from plumbline.sources import files, samples, tables
-from plumbline.sources.staging import fresh_folder, staged
+from plumbline.sources.staging import fresh_folder, spread, staged
 from plumbline.streaming import incremental
 from plumbline.sources.tables import ACCEPTED, BASE, CONFIGS_SQL, CURRENT, DECLARATIONS_SQL, HISTORY_SQL, MUTANTS_SQL, RANGES_SQL, findings_sql
 
@@ -547,7 +547,7 @@ def enclosing_interval(spark, sf):
 
 @query("SELECT o_orderkey AS patch_id, 'src/f' || (o_custkey % 9) || '.php' AS file, (o_orderkey % 50 + 2)::INT AS start, (o_orderkey % 50 + 3)::INT AS \"end\" FROM orders UNION ALL SELECT o_orderkey, 'old' || (o_custkey % 9) || '.php', NULL, NULL FROM orders")
 def unified_diff(spark, sf):
-    o = tables.table(spark, sf, "orders")
+    o = spread(tables.table(spark, sf, "orders").select("o_orderkey", "o_custkey"), 50_000)
     n, name = F.col("o_orderkey") % 50, (F.col("o_custkey") % 9).cast("string")
     patch = F.concat(
         F.lit("diff --git a/src/f"), name, F.lit(".php b/src/f"), name, F.lit(".php\n--- a/src/f"), name, F.lit(".php\n+++ b/src/f"), name,

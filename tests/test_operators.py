@@ -120,6 +120,16 @@ def test_unified_diff(spark):
     assert found == {("x.php", 3, 4), ("x.php", 12, 12), ("from.php", None, None), ("to.php", None, None), ("dead.php", None, None)}
 
 
+def test_unified_diff_of_many_patches_is_grouped_once(spark):
+    touching = "diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1 +1,2 @@\n+a\n+b\n@@ -5 +3,2 @@\n+c\n k\r\ndiff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -9 +9 @@\n+d\n"
+    patches = spark.createDataFrame([(1, DIFF), (2, touching), (None, touching), (3, "no patch"), (4, None)], "patch_id long, text string")
+    found = regions.parse_unified_diff(patches)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    rows = [tuple(r) for r in found.collect()]
+    assert sorted(r[1:] for r in rows if r[0] == 2) == sorted(r[1:] for r in rows if r[0] is None) == [("x", 1, 3), ("x", 9, 9)]
+    assert len(rows) == 9
+
+
 def test_explicit_ranges_reject_other_text(spark):
     df = lambda spec: regions.explicit_ranges(spark.createDataFrame([("f", spec)], "file string, spec string")).collect()
     assert [tuple(r) for r in df("3-3,8-10,4")] == [("f", 3, 3), ("f", 8, 10), ("f", 4, 4)]
