@@ -20,10 +20,10 @@ ASCII-lower-cased words; a shorter text is one shingle). Two documents link when
    in groups of bounded size. A family of more than ``block_docs`` is dealt into
    blocks; every block is verified with about ``pivots`` documents of the whole
    family, which joins near copies of one text at a cost that is linear in their
-   number. What is then outside the greatest component of a family, and shares a
-   prefix token with another component, is compared with all that share such a
-   token, block by block. Two documents of one component need no comparison. Tasks
-   emit stars, not pairs.
+   number. Then each listed pair of two components is compared, and for each token of
+   more than ``hot`` documents those outside the token's greatest component with all
+   that have it, block by block. Two documents of one component need no comparison.
+   Tasks emit stars, not pairs.
 5. The components of the verified links are the result; copies follow the
    document that they collapsed to.
 
@@ -101,8 +101,12 @@ def signatures(documents: DataFrame, size: int, percent: int, most_matches: int
     return materialise(documents.mapInArrow(_signatures(size, percent, most_matches, common[order], top["n"].to_numpy(dtype=np.int64)[order]), SIGNATURE), "ngram-signatures")
 
 
-def candidates(sets: DataFrame, percent: int, most_matches: int, hot: int) -> tuple[DataFrame, DataFrame]:
-    """Edges (src, dst) whose components hold all links of sets (doc, n, tokens), and the shared prefix tokens (token, doc, ...)."""
+def candidates(sets: DataFrame, percent: int, most_matches: int, hot: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Listed candidate pairs (src, dst), edges that chain the documents of a hot token, and the hot tokens (token, doc) of prefixes.
+
+    The components of pairs and edges together hold all links of sets (doc, n, tokens);
+    linked documents are a listed pair, or have a hot token in common.
+    """
     tokens = sets.select("doc", "n", F.posexplode("tokens").alias("at", "token"))
     tokens = tokens.select("token", "doc", "n", F.greatest(F.lit(1), F.col("at") + 1 - F.expr(f"n - ({percent} * n + 99) div 100")).cast("int").alias("level"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("n_docs"), F.min("doc").alias("first")).where("n_docs > 1")
@@ -120,7 +124,8 @@ def candidates(sets: DataFrame, percent: int, most_matches: int, hot: int) -> tu
         " and greatest(a.level, b.level) <= least(a.matches, b.matches)), b -> struct(a.doc as src, b.doc as dst, least(a.matches, b.matches) as need))))"
     )
     pairs = held.where("size(docs) > 1").select(F.explode(F.expr(pair)).alias("p")).select("p.*")
-    return pairs.groupBy("src", "dst").agg(F.count("*").alias("hits"), F.first("need").alias("need")).where("hits >= need").select("src", "dst").unionByName(chained), postings
+    pairs = pairs.groupBy("src", "dst").agg(F.count("*").alias("hits"), F.first("need").alias("need")).where("hits >= need").select("src", "dst")
+    return materialise(pairs, "ngram-pairs"), chained, postings.where(F.col("n_docs") > hot).select("token", "doc")
 
 
 def links(sets: list[np.ndarray], percent: int, strip: int = 256, cells: int = 4_000_000):
@@ -192,7 +197,7 @@ def _uniform(salt: str, doc: str = "doc"):
     return F.shiftrightunsigned(F.xxhash64(F.lit(salt), F.col(doc)), 11) / float(1 << 53)
 
 
-def verify(documents: DataFrame, sets: DataFrame, families: DataFrame, postings: DataFrame, size: int, percent: int, block_docs: int = 500, block_shingles: int = 1_000_000, pivots: int = 48) -> tuple[DataFrame, bool]:
+def verify(documents: DataFrame, sets: DataFrame, families: DataFrame, pairs: DataFrame, hot_tokens: DataFrame, size: int, percent: int, block_docs: int = 500, block_shingles: int = 1_000_000, pivots: int = 48) -> tuple[DataFrame, bool]:
     """Stars (src, dst) of the verified links, and whether a family was dealt into blocks."""
     member = families.join(sets.select("doc", "n"), F.col("node") == F.col("doc")).select("doc", "n", F.col("component").alias("family"))
     blocks = member.groupBy("family").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
@@ -209,22 +214,28 @@ def verify(documents: DataFrame, sets: DataFrame, families: DataFrame, postings:
     joined = connected_components(found)
     large = large.join(joined, F.col("doc") == F.col("node"), "left").select("doc", "n", "family", F.coalesce("component", "doc").alias("component"))
     large = materialise(large, "ngram-large")
-    # tokens that documents of several components share, and the documents that have such a token
-    shared = postings.select("token", F.col("doc").alias("_doc")).join(large, F.col("_doc") == F.col("doc")).select("token", "doc", "component")
+    needed = lambda docs, total: F.greatest(F.lit(1), F.ceil(docs / block_docs), F.ceil(total / block_shingles)).cast("int")
+    # listed pairs of two components: a document meets its partners, in as many groups as they need
+    end = lambda doc, name: large.select(F.col("doc").alias(doc), F.col("component").alias(f"{name}_component"), F.col("n").alias(f"{name}_n")).distinct()
+    apart = materialise(pairs.join(end("src", "a"), "src").join(end("dst", "b"), "dst").where("a_component <> b_component").select("src", "dst", "b_n"), "ngram-apart")
+    sizes = apart.groupBy("src").agg(needed(F.count("*"), F.sum("b_n")).alias("parts"))
+    family = F.concat(F.lit("pair/"), F.col("src").cast("string")).alias("family")
+    partners = apart.join(sizes, "src").select(F.col("dst").alias("doc"), family, F.array(F.floor(_uniform("pair", "dst") * F.col("parts")).cast("string")).alias("parts"))
+    dealt = partners.unionByName(sizes.select(F.col("src").alias("doc"), family, F.sequence(F.lit(0), F.col("parts") - 1).cast("array<string>").alias("parts")))
+    # hot tokens that documents of several components share
+    shared = hot_tokens.select("token", F.col("doc").alias("_doc")).join(large, F.col("_doc") == F.col("doc")).select("token", "doc", "n", "component").distinct()
     shared = materialise(shared, "ngram-shared")
     open_ = shared.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select(F.col("token").alias("_token"))
-    open_ = shared.join(open_, F.col("token") == F.col("_token")).select(F.col("doc").alias("_doc")).distinct()
-    left = materialise(large.join(open_, F.col("doc") == F.col("_doc")).drop("_doc"), "ngram-open")
-    sizes = left.groupBy("family", "component").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
-    needed = lambda docs, total: F.greatest(F.lit(1), F.ceil(docs / block_docs), F.ceil(total / block_shingles)).cast("int")
+    left = materialise(shared.join(open_, F.col("token") == F.col("_token")).drop("_token"), "ngram-open")
+    sizes = left.groupBy("token", "component").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
     greatest = F.max(F.struct("docs", "total", "component"))
-    sizes = sizes.groupBy(F.col("family").alias("_family")).agg(greatest.alias("most"), F.sum("docs").alias("docs"), F.sum("total").alias("total"))
-    sizes = sizes.select("_family", F.col("most.component").alias("most"), needed(F.col("docs"), F.col("total")).alias("holders"), needed(F.col("docs") - F.col("most.docs"), F.col("total") - F.col("most.total")).alias("askers"))
-    left = left.join(sizes, F.col("family") == F.col("_family")).withColumn("asks", F.col("component") != F.col("most"))
-    # all documents outside the greatest component meet all others: a group for each pair of a block of those that ask and a block of all
+    sizes = sizes.groupBy(F.col("token").alias("_token")).agg(greatest.alias("most"), F.sum("docs").alias("docs"), F.sum("total").alias("total"))
+    sizes = sizes.select("_token", F.col("most.component").alias("most"), needed(F.col("docs"), F.col("total")).alias("holders"), needed(F.col("docs") - F.col("most.docs"), F.col("total") - F.col("most.total")).alias("askers"))
+    left = left.join(sizes, F.col("token") == F.col("_token")).withColumn("asks", F.col("component") != F.col("most"))
+    # a token's documents outside its greatest component meet all that have it: a group for each pair of a block of those that ask and a block of all
     mine = F.when(F.col("asks"), F.transform(F.sequence(F.lit(0), F.col("holders") - 1), lambda i: F.concat_ws("/", F.floor(_uniform("ask") * F.col("askers")), i))).otherwise(F.array().cast("array<string>"))
     held = F.transform(F.sequence(F.lit(0), F.col("askers") - 1), lambda i: F.concat_ws("/", i, F.floor(_uniform("hold") * F.col("holders"))))
-    dealt = left.select("doc", "family", F.array_union(mine, held).alias("parts"))
+    dealt = dealt.unionByName(left.select("doc", F.concat(F.lit("token/"), F.col("token").cast("string")).alias("family"), F.array_union(mine, held).alias("parts")))
     return found.unionByName(_stars(documents, dealt, size, percent)), True
 
 
@@ -234,8 +245,8 @@ def jaccard_components(documents: DataFrame, size: int = 5, percent: int = 80, m
     rows = signatures(documents, size, percent, most_matches)
     known = rows.where("n > 0 and doc_id is not null")
     sets = materialise(known.groupBy("set_id", "n").agg(F.min(F.struct("doc_id", "tokens")).alias("x")).select("set_id", F.col("x.doc_id").alias("doc"), "n", F.col("x.tokens").alias("tokens")), "ngram-sets")
-    edges, postings = candidates(sets, percent, most_matches, hot)
-    stars, dealt = verify(documents, sets, connected_components(edges), postings, size, percent, block_docs=block_docs, pivots=pivots)
+    pairs, chained, hot_tokens = candidates(sets, percent, most_matches, hot)
+    stars, dealt = verify(documents, sets, connected_components(pairs.unionByName(chained)), pairs, hot_tokens, size, percent, block_docs=block_docs, pivots=pivots)
     copies = known.select("doc_id", "set_id").join(sets.select(F.col("set_id").alias("_set"), "doc"), F.col("set_id") == F.col("_set"))
     # rows that repeat a doc_id with other texts pool their links
     pooled = copies.where("doc_id <> doc").groupBy("doc_id").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least <> most")

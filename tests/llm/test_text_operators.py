@@ -164,6 +164,20 @@ def test_ngram_join_deals_large_families_into_blocks(spark):
         assert {r["doc_id"]: r["component_id"] for r in found.collect()} == label
 
 
+def test_ngram_join_compares_a_chained_family_by_token(spark, monkeypatch):
+    """Unlike texts that passages chain into one family are not dealt out block by block against the whole family."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    passages = [" ".join(word() for _ in range(8)) for _ in range(300)]
+    rows = [(i, " ".join(x for j in range(6) for x in (passages[(i + j) % 300], word()))) for i in range(300)]
+    rows += [(1000 + i, rows[i][1].replace(" ", "\n", 3) + " more") for i in range(0, 300, 50)]
+    dealt, stars = [], ngram_join._stars
+    monkeypatch.setattr(ngram_join, "_stars", lambda documents, parts, *a: (dealt.append(sum(len(r["parts"]) for r in parts.collect())), stars(documents, parts, *a))[1])
+    found = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), size=4, percent=85, hot=3, block_docs=5, pivots=0)
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == brute_components(rows, 4, 85)[0]
+    assert len(dealt) == 2 and dealt[1] < 20 * len(rows)
+
+
 def test_ngram_join_keeps_clashing_columns(documents):
     found = collected(ngram_join.keep_first(with_clashing_columns(documents)))
     assert_rows_are_whole(found)
